@@ -35,7 +35,9 @@ LOOKALIKES = {
 
 INVISIBLE = [0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x180F), *range(0x200B, 0x2010),
              *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0,
-             *range(0xFFF9, 0xFFFC), *range(0xE0000, 0xE0080)]
+             *range(0xFFF9, 0xFFFC)]
+#: Invisible too, but beyond the range in which a character class is one look-up; texts without them skip it.
+TAGS = re.compile("[\U000e0000-\U000e007f]")
 SPACES = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 WIDTHS = [*range(0xFF01, 0xFF5F), *range(0xFFE0, 0xFFE7)]
 JOINED = [*range(0xFB00, 0xFB07), *range(0x0132, 0x0134), *range(0x01C4, 0x01CD), *range(0x01F1, 0x01F4)]
@@ -110,6 +112,8 @@ class Transducer:
 
     def apply(self, text: str) -> tuple[str, dict[str, int]]:
         counts: dict[str, int] = {}
+        if len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text):
+            text, counts["invisible"] = TAGS.subn("", text)
         if text.isascii() or not self.any.search(text):
             return text, counts
 
