@@ -1 +1,237 @@
-QUERIES = {}
+"""Problem 8: evaluation items that stand in the training text.
+
+Texts become sequences of words (runs of letters and digits, case dropped), so that punctuation, line
+breaks and the marks of diff lines and comments don't count. Windows of ``w`` words, w derived from
+the shortest item, are laid over items at every word and over documents at a stride that every passage
+of half an item must contain in full. Each window is embedded by a CGK random walk (edit distance of
+sequences becomes Hamming distance of their embeddings); repeated bit-sampling LSH puts a window into
+one bucket per repetition, and a document window in an item's bucket is a candidate.
+
+A candidate is verified exactly: banded edit distance of the windows, then the longest run of item words
+that stands in the document in order and without a gap. Whole texts are read; nothing is capped.
+
+The items are the stated query set; their buckets are sent to the tasks in blocks of at most
+``BROADCAST_KEYS``, one pass over the documents for each. Null and empty texts have no windows.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+
+import numpy as np
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textmend.plans.arrow import map_batches
+from textmend.plans.runtime import stage, table
+
+#: Repetitions and sampled positions of the LSH. Equal windows always meet; with ``EDITS`` of the words changed a window
+#: is missed with a probability of (1 - p^SAMPLED)^REPETITIONS.
+REPETITIONS = 3
+SAMPLED = 12
+EDITS = 0.1
+BROADCAST_KEYS = 2_000_000
+SEED = 20240817
+
+_WORD = re.compile(r"[^\W_]+")
+
+
+def words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+class _Hashes(dict):
+    """Word -> 64-bit hash, remembered."""
+
+    def __missing__(self, w: str) -> int:
+        h = xxhash.xxh64_intdigest(w, SEED) >> 1
+        if len(self) > 1_000_000:
+            self.clear()
+        self[w] = h
+        return h
+
+
+def _mix(x: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit finaliser: well-mixed bits of x and a salt."""
+    x = x ^ np.uint64(salt)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def embed(windows: np.ndarray, repetition: int, steps: int | None = None) -> np.ndarray:
+    """CGK: a walk of 3w steps (or its first ``steps``) copies the word it stands on and goes on by one or none, by a random bit of step and
+    word; past the end it copies a filler. windows: (n, w) hashes."""
+    n, w = windows.shape
+    padded = np.concatenate([windows, np.zeros((n, 1), dtype=np.uint64)], axis=1)
+    at = np.zeros(n, dtype=np.int64)
+    rows = np.arange(n)
+    steps = 3 * w if steps is None else steps
+    out = np.empty((n, steps), dtype=np.uint64)
+    for j in range(steps):
+        c = padded[rows, np.minimum(at, w)]
+        out[:, j] = c
+        at += (_mix(c, SEED + 7919 * repetition + 104729 * (j + 1)) & np.uint64(1)).astype(np.int64)
+    return out
+
+
+def buckets(windows: np.ndarray) -> np.ndarray:
+    """(n, REPETITIONS) bucket keys: each repetition hashes a sample of positions of its own embedding."""
+    n, w = windows.shape
+    keys = np.empty((n, REPETITIONS), dtype=np.uint64)
+    for r in range(REPETITIONS):
+        # the walk advances every other step: positions in its first two thirds still copy words
+        sample = np.random.default_rng(SEED + r).choice(2 * w, size=min(SAMPLED, 2 * w), replace=False)
+        e = embed(windows, r, int(sample.max()) + 1)
+        h = np.full(n, SEED + r, dtype=np.uint64)
+        for p in np.sort(sample):
+            h = _mix(h * np.uint64(31) + e[:, p], 0x9E3779B97F4A7C15)
+        keys[:, r] = h
+    return keys
+
+
+class Items:
+    """The items' words and the buckets of their windows."""
+
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
+        self.words = {i: words(t) for i, t in rows if t and words(t)}
+        self.need = {i: (len(w) + 1) // 2 for i, w in self.words.items()}
+        shortest = min(self.need.values(), default=1)
+        # a run of `shortest` words holds a whole window at every stride
+        self.w = max(1, (shortest * 2 + 2) // 3)
+        self.stride = max(1, shortest - self.w + 1)
+        hashes = _Hashes()
+        self.keys: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, ws in self.words.items():
+            h = np.array([hashes[x] for x in ws], dtype=np.uint64)
+            if len(h) < self.w:
+                continue
+            b = buckets(np.lib.stride_tricks.sliding_window_view(h, self.w))
+            for p, row in enumerate(b.tolist()):
+                for k in row:
+                    self.keys[k].append((i, p))
+        self.sorted = np.array(sorted(self.keys), dtype=np.uint64)
+
+
+def within(a: list[str], b: list[str], most: int) -> bool:
+    """Edit distance of word sequences of at most ``most``, by a band."""
+    if a == b:
+        return True
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i] + [most + 1] * len(b)
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
+        if min(new) > most:
+            return False
+        row = new
+    return row[-1] <= most
+
+
+def longest_run(item: list[str], doc: list[str], shifts: set[int]) -> int:
+    """Longest run of item words that stands without a gap in the document, over the given alignments."""
+    best = 0
+    for s in shifts:
+        run = 0
+        for p in range(max(0, -s), min(len(item), len(doc) - s)):
+            run = run + 1 if item[p] == doc[p + s] else 0
+            best = max(best, run)
+    return best
+
+
+class Search:
+    """Looks a document's windows up among the items' buckets and verifies what it finds."""
+
+    def __init__(self, items: Items) -> None:
+        self.items = items
+        self.hashes = _Hashes()
+
+    def batch(self, texts: list[str | None]) -> list[tuple[int, int, int, bool]]:
+        """(position in the batch, item, longest run, an aligned window is within the edits) of all verified candidates."""
+        it = self.items
+        all_words = [words(t) if t else [] for t in texts]
+        starts: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+        where: list[int] = []
+        for n, ws in enumerate(all_words):
+            if len(ws) < it.w:
+                continue
+            h = np.fromiter(map(self.hashes.__getitem__, ws), dtype=np.uint64, count=len(ws))
+            view = np.lib.stride_tricks.sliding_window_view(h, it.w)
+            at = np.arange(0, len(view), it.stride)
+            if at[-1] != len(view) - 1:
+                at = np.append(at, len(view) - 1)
+            parts.append(view[at])
+            starts.append(at)
+            where.append(n)
+        if not parts or not len(it.sorted):
+            return []
+        counts = [len(a) for a in starts]
+        doc_of = np.repeat(np.array(where), counts)
+        start = np.concatenate(starts)
+        keys = buckets(np.concatenate(parts))
+        shifts: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for r in range(REPETITIONS):
+            slot = np.minimum(np.searchsorted(it.sorted, keys[:, r]), len(it.sorted) - 1)
+            for x in np.nonzero(it.sorted[slot] == keys[:, r])[0].tolist():
+                for item, p in it.keys[int(keys[x, r])]:
+                    shifts[int(doc_of[x]), item].add(int(start[x]) - p)
+        out = []
+        most = max(1, int(EDITS * it.w))
+        for (n, item), ss in shifts.items():
+            a, d = it.words[item], all_words[n]
+            near = any(within(a[max(0, -s) : max(0, -s) + it.w], d[max(0, s) : max(0, s) + it.w], most) for s in ss)
+            # an edit before the window shifts what follows it
+            around = {s + e for s in ss for e in range(-most, most + 1)}
+            out.append((n, item, longest_run(a, d, around), near))
+        return out
+
+
+def leaked(spark: SparkSession, documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id, run, need): items of which at least half the words stand in a document without a gap."""
+    rows = [(r["item_id"], r["item_text"]) for r in items.select("item_id", "item_text").dropDuplicates(["item_id"]).collect()]
+    blocks: list[list[tuple[int, str]]] = [[]]
+    size = 0
+    for row in sorted(rows):
+        n = REPETITIONS * len(words(row[1] or ""))
+        if blocks[-1] and size + n > BROADCAST_KEYS:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(row)
+        size += n
+    out = [_leaked(documents, Items(b)) for b in blocks]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
+def _leaked(documents: DataFrame, query: Items) -> DataFrame:
+    made: list[Search] = []
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        if not made:
+            made.append(Search(query))
+        hits = [h for h in made[0].batch(cols["text"]) if h[2] >= query.need[h[1]]]
+        return {
+            "item_id": [h[1] for h in hits], "doc_id": [cols["doc_id"][h[0]] for h in hits], "run": [h[2] for h in hits], "words": [len(query.words[h[1]]) for h in hits],
+        }
+
+    return map_batches(documents.select("doc_id", "text"), "item_id long, doc_id long, run int, words int", run)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items that leaked into them."""
+    return leaked(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with the number of documents it leaked into and the longest passage found; 0 where none."""
+    items = table(spark, sf_dir, "eval_items").select("item_id", "benchmark_name").dropDuplicates(["item_id"])
+    hits = stage(leaked(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")), "leaks")
+    n = hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"), F.max("run").alias("longest_run"))
+    return items.join(n, "item_id", "left").na.fill(0, ["docs", "longest_run"])
+
+
+QUERIES = {"p8_found": p8_found, "p8_items": p8_items}
