@@ -1 +1,406 @@
-QUERIES = {}
+"""Problem 10: subject areas of each document.
+
+Only a commit's message and changed lines count. The labelled snippets give the first terms of each area;
+how the other words go together with the areas is counted over all documents (two rounds, each knowing
+the terms of the one before), which adds the rest of the areas' vocabulary, in every language of the
+corpus. Terms, source and structure of a document (merge, automatic author, binary, changes of white space
+only) are the features of a classifier chain: one logistic model per area, each seeing the decisions of
+those before it, so that subjects that go together are modelled. It is trained on at most ``SAMPLE``
+documents, chosen by hash, whose labels are plain from their lines, and calibrated on a held-out fifth of
+them. Combinations are decoded by a beam search over the chain; a document with no other area is software.
+
+Null and empty texts are about nothing else either and so are software. Repeated rows are labelled alike.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textmend.plans.arrow import map_batches
+from textmend.plans.runtime import stage, table
+
+DEFAULT = "software"
+#: Most training documents; terms kept (both bound what is sent to the tasks); documents a term is counted in at least.
+SAMPLE = 20_000
+TERMS = 6_000
+LEAST = 8
+BEAM = 6
+#: A word is a term of an area if so much of its use falls into that area, and so many times more than chance.
+SHARE = 0.3
+LIFT = 3.0
+
+_WORD = re.compile(r"[^\W\d_]+")
+#: Sentences that say what a commit isn't about, or what it was found beside.
+PASSING = re.compile(r"(?i)^\W*(?:(?:not|un) ?related to|found (?:while|when|during)|noticed (?:while|when)|reported (?:together|along) with|see also|by the way|inspired by|as with)\b")
+_AUTOMATIC = re.compile(r"(?i)\[bot\]|\bbot\b|-bot\b|\bci-|runner|automat|robot|noreply")
+_TRAILER = re.compile(r"^(?:[A-Z][\w-]+-by|Closes|Fixes|Refs|See|Issue|Cc|Change-Id)\b[:# ]")
+
+
+# --- fixed values: words that say nothing of a subject ---------------------------------------------------------
+COMMON = frozenset(
+    "a about after all also an and any are as at be been before between both but by can could did do does done each either every few for from had has have he her here his how if in into is it its itself just keep keeps least less many may "
+    "might missing more most much must neither next no nor not note of off on once one only or other our out over own same shall she should shows since so some still such than that the their them then there these they this those through to "
+    "together too under until up us used very was we were what when where which while who why will with without would yet you your smallest first near counted asked wrong usual case list number numbers wip oops tmp asdf fix update misc stuff "
+    "test more add".split()
+)
+
+
+class Commit:
+    """The parts of a document that say what it is about."""
+
+    __slots__ = ("automatic", "binary", "blank_only", "changed", "lines", "merge", "message")
+
+    def __init__(self, text: str | None) -> None:
+        self.message: list[str] = []
+        self.changed: list[str] = []
+        self.merge = self.automatic = self.binary = self.blank_only = False
+        if not text:
+            return
+        lines = text.split("\n")
+        header = True
+        message = False
+        hunk = False
+        minus: list[str] = []
+        plus: list[str] = []
+        is_commit = text.startswith("commit ") or "\ndiff --git" in text
+        if not is_commit:
+            self.message = [x.strip() for x in lines if x.strip()]
+            return
+        for line in lines:
+            if line.startswith("diff --git") or line.startswith("--- a/") or line.startswith("+++ b/"):
+                header, message, hunk = False, False, line.startswith("+++")
+                continue
+            if header:
+                if line.startswith("Merge:"):
+                    self.merge = True
+                elif line.startswith("Author:"):
+                    self.automatic = bool(_AUTOMATIC.search(line))
+                elif line.startswith("    ") or message and line.startswith("\t"):
+                    message = True
+                    if line.strip():
+                        self.message.append(line.strip())
+                elif message and line.strip() and not re.match(r"^[A-Z][A-Za-z]+:", line):
+                    self.message.append(line.strip())
+                continue
+            if line.startswith(("GIT binary patch", "Binary files")):
+                self.binary, hunk = True, False
+            elif line.startswith("@@"):
+                hunk = True
+            elif hunk and line[:1] == "+":
+                plus.append(line[1:])
+            elif hunk and line[:1] == "-":
+                minus.append(line[1:])
+        # lines that only changed their white space say nothing
+        same = Counter("".join(x.split()) for x in minus) & Counter("".join(x.split()) for x in plus)
+        self.blank_only = bool(minus or plus) and sum(same.values()) == max(len(minus), len(plus))
+        for side in (minus, plus):
+            left = Counter(same)
+            for x in side:
+                key = "".join(x.split())
+                if left[key] > 0:
+                    left[key] -= 1
+                elif x.strip():
+                    self.changed.append(x)
+
+    def told(self) -> list[tuple[bool, str]]:
+        """(in the message, line) of all lines that count."""
+        if self.merge:
+            return []
+        out = [(True, x) for x in self.message if not PASSING.match(x) and not _TRAILER.match(x)]
+        return out + [(False, x) for x in self.changed if not PASSING.match(x.lstrip(" #/*-"))]
+
+
+def sentences(line: str) -> list[set[str]]:
+    """The sets of words of a line's sentences."""
+    return [w for s in re.split(r"(?<=[.!?])\s+", line) if (w := set(_WORD.findall(s.lower())))]
+
+
+class Terms:
+    """Terms with their weight in each area."""
+
+    def __init__(self, areas: list[str], weights: dict[str, list[float]]) -> None:
+        self.areas = areas
+        # plural and singular forms share a term
+        self.weights = {w: np.array(x) for w, x in weights.items()}
+
+    def get(self, word: str) -> np.ndarray | None:
+        v = self.weights.get(word)
+        if v is None and word.endswith("s") and len(word) > 3:
+            v = self.weights.get(word[:-1])
+        return v
+
+    def score(self, words: set[str]) -> tuple[int, int, float]:
+        """(best area or -1, distinct terms of it, margin over the next one) of a sentence."""
+        found = [v for w in words if (v := self.get(w)) is not None]
+        if not found:
+            return -1, 0, 0.0
+        total = np.sum(found, axis=0)
+        best = int(total.argmax())
+        n = sum(1 for v in found if v[best] >= SHARE)
+        rest = np.delete(total, best)
+        return best, n, float(total[best] - (rest.max() if len(rest) else 0.0))
+
+
+FEATURES = 6
+
+
+def features(text: str | None, terms: Terms) -> np.ndarray:
+    """(areas, FEATURES) of a document: strong and weak sentences of the message and of the changed lines, in the
+    subject line, and the share of the document's evidence; the last row holds its structure."""
+    c = Commit(text)
+    out = np.zeros((len(terms.areas) + 1, FEATURES))
+    subject = True
+    for message, line in c.told():
+        for words in sentences(line):
+            best, n, margin = terms.score(words)
+            if best >= 0 and n and margin > 0.05:
+                strong = n >= 2
+                out[best, (0 if strong else 2) + (0 if message else 1)] += 1
+                if message and subject:
+                    out[best, 4] += 1
+        if message:
+            subject = False
+    total = out[:-1, :4].sum()
+    if total:
+        out[:-1, 5] = out[:-1, :4].sum(axis=1) / total
+    out[-1] = c.merge, c.automatic, c.binary, c.blank_only, not c.changed, len(c.message) <= 1
+    return out
+
+
+def plain_labels(f: np.ndarray, areas: list[str]) -> np.ndarray | None:
+    """Labels of a document whose lines leave no doubt: None if some area is neither clearly there nor clearly absent."""
+    x = f[:-1]
+    if f[-1, 0] or f[-1, 3]:
+        y = np.zeros(len(areas), dtype=bool)
+    else:
+        sure = (x[:, 0] >= 1) | (x[:, 4] >= 1) | (x[:, 1] >= 2) | (x[:, 2] + x[:, 3] >= 4)
+        absent = x[:, :4].sum(axis=1) == 0
+        if not (sure | absent).all():
+            return None
+        y = sure.copy()
+    if not y.any():
+        y[areas.index(DEFAULT)] = True
+    return y
+
+
+def row(f: np.ndarray, area: int, previous: np.ndarray, source: int, sources: int) -> np.ndarray:
+    """Input of one model of the chain."""
+    mine = np.log1p(f[area, :5])
+    others = np.delete(f[:-1], area, axis=0)
+    hot = np.zeros(sources)
+    if source >= 0:
+        hot[source] = 1
+    return np.concatenate([[1.0], mine, f[area, 5:6], f[area, :5] > 0, [np.log1p(others[:, 0].sum()), np.log1p(others[:, 1:4].sum()), float((others[:, :5].sum() == 0))], f[-1], hot, previous])
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Ridge logistic regression by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - y) + penalty * w
+        h = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
+        step = np.linalg.solve(h, g)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+class Chain:
+    """Classifier chain with calibrated probabilities and beam search."""
+
+    def __init__(self, areas: list[str], sources: list[str]) -> None:
+        self.areas, self.sources = areas, sources
+        # the default area comes last, when all others are decided
+        self.order = [i for i, a in enumerate(areas) if a != DEFAULT] + [areas.index(DEFAULT)]
+        self.models: list[np.ndarray] = []
+        self.scale: list[tuple[float, float]] = []
+
+    def fit(self, docs: list[np.ndarray], source: list[int], labels: np.ndarray) -> None:
+        n = len(docs)
+        held = np.arange(n) % 5 == 0
+        for k, a in enumerate(self.order):
+            done = np.zeros((n, len(self.areas)))
+            for b in self.order[:k]:
+                done[:, b] = labels[:, b]
+            x = np.array([row(f, a, d, s, len(self.sources)) for f, d, s in zip(docs, done, source, strict=True)])
+            y = labels[:, a].astype(float)
+            w = fit_logistic(x[~held], y[~held])
+            # Platt scaling on the held-out part
+            z = x[held] @ w
+            a1, a0 = fit_logistic(np.stack([z, np.ones_like(z)], axis=1), y[held], penalty=1e-2) if 0 < y[held].sum() < held.sum() else (1.0, 0.0)
+            self.models.append(w)
+            self.scale.append((float(a1), float(a0)))
+
+    def decode(self, f: np.ndarray, source: int) -> list[int]:
+        """The most probable combination of areas."""
+        if not f[:-1, :4].any():
+            return [self.areas.index(DEFAULT)]
+        beam = [(0.0, np.zeros(len(self.areas)))]
+        for w, (a1, a0), a in zip(self.models, self.scale, self.order, strict=True):
+            wider = []
+            for logp, y in beam:
+                p = 1 / (1 + np.exp(-np.clip(a1 * float(row(f, a, y, source, len(self.sources)) @ w) + a0, -30, 30)))
+                p = min(max(p, 1e-9), 1 - 1e-9)
+                if p < 0.999:
+                    wider.append((logp + np.log(1 - p), y))
+                if p > 0.001:
+                    z = y.copy()
+                    z[a] = 1
+                    wider.append((logp + np.log(p), z))
+            beam = sorted(wider, key=lambda t: -t[0])[:BEAM]
+        best = next((y for _, y in beam if y.any()), None)
+        return [self.areas.index(DEFAULT)] if best is None else [int(i) for i in np.nonzero(best)[0]]
+
+
+def first_terms(samples: list[tuple[str, str]]) -> Terms:
+    """Terms of the labelled snippets: words used in one area only."""
+    areas = sorted({a for a, _ in samples})
+    used: dict[str, Counter[str]] = defaultdict(Counter)
+    for a, t in samples:
+        for w in set(_WORD.findall(t.lower())):
+            used[w][a] += 1
+    weights = {w: [float(c[a] > 0) for a in areas] for w, c in used.items() if len(c) == 1 and len(w) > 2}
+    return Terms(areas, weights)
+
+
+def term_counts(documents: DataFrame, terms: Terms) -> DataFrame:
+    """(word, area, n): sentences with the word that go to the area; area '' counts all sentences with it. A sentence goes
+    to the area of its known terms, or else to that of its document if one area has most of that."""
+    areas = terms.areas
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        n: Counter[tuple[str, str]] = Counter()
+        for text in cols["text"]:
+            told = [(words, terms.score(words)) for _, line in Commit(text).told() for words in sentences(line)]
+            votes = Counter(best for _, (best, k, m) in told if best >= 0 and m > 0.05 for _ in range(k))
+            top = votes.most_common(1)
+            whole = top[0][0] if top and top[0][1] >= 3 and top[0][1] >= 0.75 * votes.total() else -1
+            for words, (best, k, m) in told:
+                to = best if best >= 0 and (k >= 2 or best == whole) and m > 0.05 else whole if best < 0 else -1
+                for w in words - COMMON:
+                    n[w, ""] += 1
+                    # a word doesn't speak for itself: its sentence or document has to go to the area without it
+                    v = terms.get(w) if to >= 0 else None
+                    own = v is not None and v[to] >= SHARE
+                    if to >= 0 and (not own or k >= 2 or to == whole and votes[to] >= 4):
+                        n[w, areas[to]] += 1
+        return {"word": [w for w, _ in n], "area": [a for _, a in n], "n": list(n.values())}
+
+    return map_batches(documents.select("text"), "word string, area string, n long", run).groupBy("word", "area").agg(F.sum("n").alias("n"))
+
+
+def more_terms(counts: DataFrame, areas: list[str]) -> Terms:
+    """The words whose use falls mostly into few areas; at most ``TERMS`` of them, the most frequent ones."""
+    by_area = counts.where("area <> ''")
+    sums = {r["area"]: r["n"] for r in by_area.groupBy("area").agg(F.sum("n").alias("n")).collect()}
+    all_n = sum(sums.values()) or 1
+    prior = {a: (sums.get(a, 0) + 1) / (all_n + len(areas)) for a in areas}
+    rows = (
+        by_area.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("area", "n"))).alias("c"), F.sum("n").alias("n"))
+        .where((F.col("n") >= LEAST) & (F.length("word") > 2))
+        .join(counts.where("area = ''").select("word", F.col("n").alias("all")), "word")
+        .where("n >= 0.25 * all")
+        .where(F.array_max(F.map_values("c")) >= SHARE * F.col("n"))
+        .orderBy(F.desc("n"), "word").limit(TERMS).collect()
+    )
+    weights = {}
+    for r in rows:
+        x = [r["c"].get(a, 0) / r["n"] for a in areas]
+        # the expected shares are those of the areas; a general word has about these
+        keep = [s if s >= SHARE and s >= min(0.85, LIFT * prior[a]) else 0.0 for s, a in zip(x, areas, strict=True)]
+        if any(keep):
+            weights[r["word"]] = keep
+    return Terms(areas, weights)
+
+
+def learn(spark: SparkSession, sf_dir: str) -> tuple[Terms, Chain]:
+    """Terms from all documents, and the chain trained on a bounded sample of them."""
+    samples = [(r["subject_area"], r["sample_text"]) for r in table(spark, sf_dir, "subject_samples").where("subject_area IS NOT NULL AND sample_text IS NOT NULL").collect()]
+    documents = table(spark, sf_dir, "documents")
+    terms = first_terms(samples)
+    for _ in range(2):
+        terms = more_terms(stage(term_counts(documents, terms), "term-counts"), terms.areas)
+    total = documents.count()
+    part = min(1.0, SAMPLE / max(1, total))
+    chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).select("doc_id", "text", "source").limit(SAMPLE)
+    sources = sorted(r["source"] for r in table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy("source").count().orderBy(F.desc("count"), "source").limit(50).collect())
+    where = {s: i for i, s in enumerate(sources)}
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"doc_id": [], "source": [], "x": [], "y": []}
+        for k, t, s in zip(cols["doc_id"], cols["text"], cols["source"], strict=True):
+            f = features(t, terms)
+            y = plain_labels(f, terms.areas)
+            if y is not None:
+                for name, v in zip(out, (k, where.get(s, -1), f.ravel().tolist(), y.tolist()), strict=True):
+                    out[name].append(v)
+        return out
+
+    rows = map_batches(chosen, "doc_id long, source int, x array<double>, y array<boolean>", run).orderBy("doc_id").collect()
+    chain = Chain(terms.areas, sources)
+    docs = [np.array(r["x"]).reshape(-1, FEATURES) for r in rows]
+    given = composed(samples, terms)
+    chain.fit(
+        docs + [f for f, _ in given], [r["source"] for r in rows] + [-1] * len(given), np.array([r["y"] for r in rows] + [y.tolist() for _, y in given]).reshape(-1, len(terms.areas))
+    )
+    return terms, chain
+
+
+def composed(samples: list[tuple[str, str]], terms: Terms) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The labelled snippets as training rows: each alone, and each beside one of another area, with both labels."""
+    out = []
+    for i, (a, t) in enumerate(samples):
+        for step in (0, 9, 17, 31):
+            b, u = samples[(i + step) % len(samples)]
+            y = np.zeros(len(terms.areas), dtype=bool)
+            y[terms.areas.index(a)] = True
+            text = t
+            if step:
+                if a == b:
+                    continue
+                y[terms.areas.index(b)] = True
+                text = f"{t}\n{u}"
+            out.append((features(text, terms), y))
+    return out
+
+
+def labelled(documents: DataFrame, terms: Terms, chain: Chain) -> DataFrame:
+    """(doc_id, source, subject_area) of every document and area."""
+    where = {s: i for i, s in enumerate(chain.sources)}
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"doc_id": [], "source": [], "subject_area": []}
+        remembered: dict[tuple, list[int]] = {}
+        for k, t, s in zip(cols["doc_id"], cols["text"], cols["source"], strict=True):
+            f = features(t, terms)
+            key = (f.tobytes(), s)
+            if key not in remembered:
+                remembered[key] = chain.decode(f, where.get(s, -1)) if chain.models else [terms.areas.index(DEFAULT)]
+            for a in remembered[key]:
+                for name, v in zip(out, (k, s, terms.areas[a]), strict=True):
+                    out[name].append(v)
+        return out
+
+    return map_batches(documents.select("doc_id", "text", "source"), "doc_id long, source string, subject_area string", run)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with each of its subject areas."""
+    terms, chain = learn(spark, sf_dir)
+    return labelled(table(spark, sf_dir, "documents"), terms, chain).select("doc_id", "subject_area").distinct()
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source and subject area; a document counts in each of its areas."""
+    terms, chain = learn(spark, sf_dir)
+    return labelled(table(spark, sf_dir, "documents"), terms, chain).distinct().groupBy("source", "subject_area").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_composition": p10_composition}
