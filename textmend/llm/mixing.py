@@ -189,4 +189,4 @@ def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select(F.hex("text_id").alias("text_id"), "source", "uses", "tokens")
 
 
-QUERIES = {"p9_mix": p9_mix, "p9_documents": p9_documents}
+QUERIES = {"p9_documents": p9_documents, "p9_mix": p9_mix}
