@@ -14,6 +14,7 @@ Null and empty texts are about nothing else either and so are software. Repeated
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -72,32 +73,44 @@ class Commit:
             self.message = [x.strip() for x in lines if x.strip()]
             return
         for line in lines:
-            if line.startswith("diff --git") or line.startswith("--- a/") or line.startswith("+++ b/"):
-                header, message, hunk = False, False, line.startswith("+++")
+            first = line[:1]
+            if not header:
+                # most lines: context and changes of a hunk
+                if hunk and first == "+":
+                    if line.startswith("+++ b/"):
+                        continue
+                    plus.append(line[1:])
+                elif hunk and first == "-":
+                    if line.startswith("--- a/"):
+                        continue
+                    minus.append(line[1:])
+                elif first == "@":
+                    hunk = hunk or line.startswith("@@")
+                elif first in "dGB" and line.startswith(("diff --git", "GIT binary patch", "Binary files")):
+                    hunk = False
+                    self.binary = self.binary or first != "d"
                 continue
-            if header:
-                if line.startswith("Merge:"):
-                    self.merge = True
-                elif line.startswith("Author:"):
-                    self.automatic = bool(_AUTOMATIC.search(line))
-                elif line.startswith("    ") or message and line.startswith("\t"):
-                    message = True
-                    if line.strip():
-                        self.message.append(line.strip())
-                elif message and line.strip() and not re.match(r"^[A-Z][A-Za-z]+:", line):
+            if line.startswith("diff --git"):
+                header = hunk = False
+            elif line.startswith("    ") or message and first == "\t":
+                message = True
+                if line.strip():
                     self.message.append(line.strip())
-                continue
-            if line.startswith(("GIT binary patch", "Binary files")):
-                self.binary, hunk = True, False
-            elif line.startswith("@@"):
-                hunk = True
-            elif hunk and line[:1] == "+":
-                plus.append(line[1:])
-            elif hunk and line[:1] == "-":
-                minus.append(line[1:])
+            elif line.startswith("Merge:"):
+                self.merge = True
+            elif line.startswith("Author:"):
+                self.automatic = bool(_AUTOMATIC.search(line))
+            elif message and line.strip() and not re.match(r"^[A-Z][A-Za-z]+:", line):
+                self.message.append(line.strip())
         # lines that only changed their white space say nothing
+        if not (minus and plus):
+            self.changed = [x for x in minus or plus if x.strip()]
+            return
         same = Counter("".join(x.split()) for x in minus) & Counter("".join(x.split()) for x in plus)
-        self.blank_only = bool(minus or plus) and sum(same.values()) == max(len(minus), len(plus))
+        self.blank_only = sum(same.values()) == max(len(minus), len(plus))
+        if not any(same):
+            self.changed = [x for x in minus + plus if x.strip()]
+            return
         for side in (minus, plus):
             left = Counter(same)
             for x in side:
@@ -115,9 +128,16 @@ class Commit:
         return out + [(False, x) for x in self.changed if not PASSING.match(x.lstrip(" #/*-"))]
 
 
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+
+
 def sentences(line: str) -> list[set[str]]:
     """The sets of words of a line's sentences."""
-    return [w for s in re.split(r"(?<=[.!?])\s+", line) if (w := set(_WORD.findall(s.lower())))]
+    low = line.lower()
+    if ". " not in low and "? " not in low and "! " not in low:
+        w = set(_WORD.findall(low))
+        return [w] if w else []
+    return [w for s in _SENTENCE.split(low) if (w := set(_WORD.findall(s)))]
 
 
 class Terms:
@@ -125,25 +145,50 @@ class Terms:
 
     def __init__(self, areas: list[str], weights: dict[str, list[float]]) -> None:
         self.areas = areas
-        # plural and singular forms share a term
-        self.weights = {w: np.array(x) for w, x in weights.items()}
+        self.weights = {w: tuple((i, x) for i, x in enumerate(v) if x > 0) for w, v in weights.items()}
+        self.seen: dict[str, list[tuple[int, int, float]]] = {}
 
-    def get(self, word: str) -> np.ndarray | None:
+    def get(self, word: str) -> tuple[tuple[int, float], ...] | None:
+        """(area, weight) pairs of a term; plural and singular forms share one."""
         v = self.weights.get(word)
-        if v is None and word.endswith("s") and len(word) > 3:
+        if v is None and word[-1] == "s" and len(word) > 3:
             v = self.weights.get(word[:-1])
         return v
 
     def score(self, words: set[str]) -> tuple[int, int, float]:
         """(best area or -1, distinct terms of it, margin over the next one) of a sentence."""
-        found = [v for w in words if (v := self.get(w)) is not None]
-        if not found:
+        total: dict[int, float] = {}
+        n: dict[int, int] = {}
+        get = self.weights.get
+        for w in words:
+            v = get(w)
+            if v is None:
+                if w[-1] != "s" or (v := get(w[:-1])) is None or len(w) <= 3:
+                    continue
+            for i, x in v:
+                total[i] = total.get(i, 0.0) + x
+                if x >= SHARE:
+                    n[i] = n.get(i, 0) + 1
+        if not total:
             return -1, 0, 0.0
-        total = np.sum(found, axis=0)
-        best = int(total.argmax())
-        n = sum(1 for v in found if v[best] >= SHARE)
-        rest = np.delete(total, best)
-        return best, n, float(total[best] - (rest.max() if len(rest) else 0.0))
+        if len(total) == 1:
+            best = next(iter(total))
+            return best, n.get(best, 0), total[best]
+        best = min(total, key=lambda i: (-total[i], i))
+        return best, n.get(best, 0), total[best] - max(x for i, x in total.items() if i != best)
+
+    def line(self, line: str) -> list[tuple[int, int, float]]:
+        """Scores of a line's sentences that hold a term; lines are often repeated and so are remembered."""
+        out = self.seen.get(line)
+        if out is None:
+            out = [s for words in sentences(line) if (s := self.score(words))[0] >= 0]
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[line] = out
+        return out
+
+    def __getstate__(self) -> dict:
+        return {"areas": self.areas, "weights": self.weights, "seen": {}}
 
 
 FEATURES = 6
@@ -153,18 +198,17 @@ def features(text: str | None, terms: Terms) -> np.ndarray:
     """(areas, FEATURES) of a document: strong and weak sentences of the message and of the changed lines, in the
     subject line, and the share of the document's evidence; the last row holds its structure."""
     c = Commit(text)
-    out = np.zeros((len(terms.areas) + 1, FEATURES))
+    rows = [[0.0] * FEATURES for _ in range(len(terms.areas) + 1)]
     subject = True
     for message, line in c.told():
-        for words in sentences(line):
-            best, n, margin = terms.score(words)
-            if best >= 0 and n and margin > 0.05:
-                strong = n >= 2
-                out[best, (0 if strong else 2) + (0 if message else 1)] += 1
+        for best, n, margin in terms.line(line):
+            if n and margin > 0.05:
+                rows[best][(0 if n >= 2 else 2) + (0 if message else 1)] += 1
                 if message and subject:
-                    out[best, 4] += 1
+                    rows[best][4] += 1
         if message:
             subject = False
+    out = np.array(rows)
     total = out[:-1, :4].sum()
     if total:
         out[:-1, 5] = out[:-1, :4].sum(axis=1) / total
@@ -240,23 +284,26 @@ class Chain:
 
     def decode(self, f: np.ndarray, source: int) -> list[int]:
         """The most probable combination of areas."""
+        areas = len(self.areas)
         if not f[:-1, :4].any():
             return [self.areas.index(DEFAULT)]
-        beam = [(0.0, np.zeros(len(self.areas)))]
+        nothing = np.zeros(areas)
+        beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for w, (a1, a0), a in zip(self.models, self.scale, self.order, strict=True):
+            # the part of the sum that earlier decisions don't touch is the same for the whole beam
+            base = float(row(f, a, nothing, source, len(self.sources)) @ w)
+            after = w[-areas:]
             wider = []
             for logp, y in beam:
-                p = 1 / (1 + np.exp(-np.clip(a1 * float(row(f, a, y, source, len(self.sources)) @ w) + a0, -30, 30)))
-                p = min(max(p, 1e-9), 1 - 1e-9)
+                z = a1 * (base + sum(after[i] for i in y)) + a0
+                p = 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
                 if p < 0.999:
-                    wider.append((logp + np.log(1 - p), y))
+                    wider.append((logp + math.log(max(1 - p, 1e-9)), y))
                 if p > 0.001:
-                    z = y.copy()
-                    z[a] = 1
-                    wider.append((logp + np.log(p), z))
+                    wider.append((logp + math.log(max(p, 1e-9)), (*y, a)))
             beam = sorted(wider, key=lambda t: -t[0])[:BEAM]
-        best = next((y for _, y in beam if y.any()), None)
-        return [self.areas.index(DEFAULT)] if best is None else [int(i) for i in np.nonzero(best)[0]]
+        best = next((y for _, y in beam if y), None)
+        return sorted(best) if best else [self.areas.index(DEFAULT)]
 
 
 def first_terms(samples: list[tuple[str, str]]) -> Terms:
@@ -288,7 +335,7 @@ def term_counts(documents: DataFrame, terms: Terms) -> DataFrame:
                     n[w, ""] += 1
                     # a word doesn't speak for itself: its sentence or document has to go to the area without it
                     v = terms.get(w) if to >= 0 else None
-                    own = v is not None and v[to] >= SHARE
+                    own = v is not None and any(i == to and x >= SHARE for i, x in v)
                     if to >= 0 and (not own or k >= 2 or to == whole and votes[to] >= 4):
                         n[w, areas[to]] += 1
         return {"word": [w for w, _ in n], "area": [a for _, a in n], "n": list(n.values())}
@@ -374,10 +421,12 @@ def composed(samples: list[tuple[str, str]], terms: Terms) -> list[tuple[np.ndar
 def labelled(documents: DataFrame, terms: Terms, chain: Chain) -> DataFrame:
     """(doc_id, source, subject_area) of every document and area."""
     where = {s: i for i, s in enumerate(chain.sources)}
+    remembered: dict[tuple, list[int]] = {}
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": [], "source": [], "subject_area": []}
-        remembered: dict[tuple, list[int]] = {}
+        if len(remembered) > 200_000:
+            remembered.clear()
         for k, t, s in zip(cols["doc_id"], cols["text"], cols["source"], strict=True):
             f = features(t, terms)
             key = (f.tobytes(), s)
