@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("textmend.operators.typography", "textmend.operators.repairs", "textmend.operators.chapters")
+MODULES: tuple[str, ...] = ("textmend.operators.typography", "textmend.operators.repairs", "textmend.operators.chapters", "textmend.operators.navigation", "textmend.operators.structure")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
