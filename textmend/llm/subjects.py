@@ -232,14 +232,15 @@ def plain_labels(f: np.ndarray, areas: list[str]) -> np.ndarray | None:
     return y
 
 
-def row(f: np.ndarray, area: int, previous: np.ndarray, source: int, sources: int) -> np.ndarray:
-    """Input of one model of the chain."""
-    mine = np.log1p(f[area, :5])
-    others = np.delete(f[:-1], area, axis=0)
-    hot = np.zeros(sources)
-    if source >= 0:
-        hot[source] = 1
-    return np.concatenate([[1.0], mine, f[area, 5:6], f[area, :5] > 0, [np.log1p(others[:, 0].sum()), np.log1p(others[:, 1:4].sum()), float((others[:, :5].sum() == 0))], f[-1], hot, previous])
+def matrix(f: np.ndarray, area: int, previous: np.ndarray, source: np.ndarray, sources: int) -> np.ndarray:
+    """Inputs of one model of the chain for documents f (n, areas + 1, FEATURES); the earlier decisions come last."""
+    n = len(f)
+    mine = f[:, area, :5]
+    others = np.delete(f[:, :-1], area, axis=1)
+    hot = np.zeros((n, sources))
+    hot[np.nonzero(source >= 0)[0], source[source >= 0]] = 1
+    rest = np.stack([np.log1p(others[:, :, 0].sum(axis=1)), np.log1p(others[:, :, 1:4].sum(axis=(1, 2))), (others[:, :, :5].sum(axis=(1, 2)) == 0).astype(float)], axis=1)
+    return np.concatenate([np.ones((n, 1)), np.log1p(mine), f[:, area, 5:6], mine > 0, rest, f[:, -1], hot, previous], axis=1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -266,14 +267,14 @@ class Chain:
         self.models: list[np.ndarray] = []
         self.scale: list[tuple[float, float]] = []
 
-    def fit(self, docs: list[np.ndarray], source: list[int], labels: np.ndarray) -> None:
+    def fit(self, docs: np.ndarray, source: np.ndarray, labels: np.ndarray) -> None:
         n = len(docs)
         held = np.arange(n) % 5 == 0
         for k, a in enumerate(self.order):
             done = np.zeros((n, len(self.areas)))
             for b in self.order[:k]:
                 done[:, b] = labels[:, b]
-            x = np.array([row(f, a, d, s, len(self.sources)) for f, d, s in zip(docs, done, source, strict=True)])
+            x = matrix(docs, a, done, source, len(self.sources))
             y = labels[:, a].astype(float)
             w = fit_logistic(x[~held], y[~held])
             # Platt scaling on the held-out part
@@ -287,11 +288,11 @@ class Chain:
         areas = len(self.areas)
         if not f[:-1, :4].any():
             return [self.areas.index(DEFAULT)]
-        nothing = np.zeros(areas)
+        one, at, nothing = f[None], np.array([source]), np.zeros((1, areas))
         beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for w, (a1, a0), a in zip(self.models, self.scale, self.order, strict=True):
             # the part of the sum that earlier decisions don't touch is the same for the whole beam
-            base = float(row(f, a, nothing, source, len(self.sources)) @ w)
+            base = float(matrix(one, a, nothing, at, len(self.sources))[0] @ w)
             after = w[-areas:]
             wider = []
             for logp, y in beam:
@@ -376,7 +377,7 @@ def learn(spark: SparkSession, sf_dir: str) -> tuple[Terms, Chain]:
         terms = more_terms(stage(term_counts(documents, terms), "term-counts"), terms.areas)
     total = documents.count()
     part = min(1.0, SAMPLE / max(1, total))
-    chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).select("doc_id", "text", "source").limit(SAMPLE)
+    chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).select("doc_id", "text", "source")
     sources = sorted(r["source"] for r in table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy("source").count().orderBy(F.desc("count"), "source").limit(50).collect())
     where = {s: i for i, s in enumerate(sources)}
 
@@ -390,13 +391,13 @@ def learn(spark: SparkSession, sf_dir: str) -> tuple[Terms, Chain]:
                     out[name].append(v)
         return out
 
-    rows = map_batches(chosen, "doc_id long, source int, x array<double>, y array<boolean>", run).orderBy("doc_id").collect()
+    rows = map_batches(chosen, "doc_id long, source int, x array<double>, y array<boolean>", run).orderBy("doc_id").limit(SAMPLE).collect()
     chain = Chain(terms.areas, sources)
-    docs = [np.array(r["x"]).reshape(-1, FEATURES) for r in rows]
     given = composed(samples, terms)
-    chain.fit(
-        docs + [f for f, _ in given], [r["source"] for r in rows] + [-1] * len(given), np.array([r["y"] for r in rows] + [y.tolist() for _, y in given]).reshape(-1, len(terms.areas))
-    )
+    docs = np.array([np.reshape(r["x"], (-1, FEATURES)) for r in rows] + [f for f, _ in given])
+    labels = np.array([r["y"] for r in rows] + [y.tolist() for _, y in given])
+    if len(docs):
+        chain.fit(docs, np.array([r["source"] for r in rows] + [-1] * len(given)), labels)
     return terms, chain
 
 
