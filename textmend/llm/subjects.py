@@ -27,7 +27,7 @@ from textmend.plans.runtime import stage, table
 
 DEFAULT = "software"
 #: Most training documents; terms kept (both bound what is sent to the tasks); documents a term is counted in at least.
-SAMPLE = 20_000
+SAMPLE = 6_000
 TERMS = 6_000
 LEAST = 8
 BEAM = 6
@@ -283,29 +283,38 @@ class Chain:
             self.models.append(w)
             self.scale.append((float(a1), float(a0)))
 
-    def decode(self, f: np.ndarray, source: int) -> list[int]:
-        """The most probable combination of areas."""
+    def decode_all(self, docs: np.ndarray, source: np.ndarray) -> list[list[int]]:
+        """The most probable combination of areas of each document."""
         areas = len(self.areas)
-        if not f[:-1, :4].any():
-            return [self.areas.index(DEFAULT)]
-        one, at, nothing = f[None], np.array([source]), np.zeros((1, areas))
+        none = self.areas.index(DEFAULT)
+        if not len(docs) or not self.models:
+            return [[none] for _ in docs]
+        # the part of each model's sum that earlier decisions don't touch, for all documents at once
+        nothing = np.zeros((len(docs), areas))
+        base = [(matrix(docs, a, nothing, source, len(self.sources)) @ w).tolist() for w, a in zip(self.models, self.order, strict=True)]
+        after = [w[-areas:].tolist() for w in self.models]
+        silent = ~docs[:, :-1, :4].any(axis=(1, 2))
+        return [[none] if silent[n] else self._beam([b[n] for b in base], after) for n in range(len(docs))]
+
+    def _beam(self, base: list[float], after: list[list[float]]) -> list[int]:
         beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for w, (a1, a0), a in zip(self.models, self.scale, self.order, strict=True):
-            # the part of the sum that earlier decisions don't touch is the same for the whole beam
-            base = float(matrix(one, a, nothing, at, len(self.sources))[0] @ w)
-            after = w[-areas:]
+        for k, a in enumerate(self.order):
+            a1, a0 = self.scale[k]
             wider = []
             for logp, y in beam:
-                z = a1 * (base + sum(after[i] for i in y)) + a0
+                z = a1 * (base[k] + sum([after[k][i] for i in y])) + a0
                 p = 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
                 if p < 0.999:
                     wider.append((logp + math.log(max(1 - p, 1e-9)), y))
                 if p > 0.001:
                     wider.append((logp + math.log(max(p, 1e-9)), (*y, a)))
-            beam = sorted(wider, key=lambda t: -t[0])[:BEAM]
+            beam = sorted(wider, key=lambda t: -t[0])[:BEAM] if len(wider) > 1 else wider
         best = next((y for _, y in beam if y), None)
         return sorted(best) if best else [self.areas.index(DEFAULT)]
 
+    def decode(self, f: np.ndarray, source: int) -> list[int]:
+        return self.decode_all(f[None], np.array([source]))[0]
+
 
 def first_terms(samples: list[tuple[str, str]]) -> Terms:
     """Terms of the labelled snippets: words used in one area only."""
@@ -428,12 +437,15 @@ def labelled(documents: DataFrame, terms: Terms, chain: Chain) -> DataFrame:
         out: dict[str, list] = {"doc_id": [], "source": [], "subject_area": []}
         if len(remembered) > 200_000:
             remembered.clear()
-        for k, t, s in zip(cols["doc_id"], cols["text"], cols["source"], strict=True):
-            f = features(t, terms)
-            key = (f.tobytes(), s)
-            if key not in remembered:
-                remembered[key] = chain.decode(f, where.get(s, -1)) if chain.models else [terms.areas.index(DEFAULT)]
-            for a in remembered[key]:
+        # documents with the same features are decoded once
+        keys = [(features(t, terms), s) for t, s in zip(cols["text"], cols["source"], strict=True)]
+        names = [(f.tobytes(), s) for f, s in keys]
+        new = {n: f for n, (f, _) in zip(names, keys, strict=True) if n not in remembered}
+        if new:
+            found = chain.decode_all(np.array(list(new.values())), np.array([where.get(s, -1) for _, s in new]))
+            remembered.update(zip(new, found, strict=True))
+        for k, s, n in zip(cols["doc_id"], cols["source"], names, strict=True):
+            for a in remembered[n]:
                 for name, v in zip(out, (k, s, terms.areas[a]), strict=True):
                     out[name].append(v)
         return out
