@@ -9,6 +9,7 @@ have no elements.
 
 from __future__ import annotations
 
+from html import escape
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -138,4 +139,51 @@ def slots(pages: DataFrame, html: str, *keys: str) -> DataFrame:
     return parsed(pages, html, *keys).select(*keys, F.inline("slots"))
 
 
-__all__ = ["BLOCKS", "INLINE", "PROTECTED", "elements", "parse", "parsed", "slots"]
+__all__ = ["BLOCKS", "INLINE", "PROTECTED", "elements", "parse", "parsed", "render", "slots"]
+
+
+def render(html: str, texts: list[str], removed: set[int], merged: list[tuple[int, int]]) -> str:
+    """The page with its text slots replaced, elements removed (what follows them stays) and paragraphs merged."""
+    b = _Builder()
+    b.feed(html)
+    b.close()
+    new = iter(texts)
+
+    def fill(n: _Node) -> None:
+        for i, c in enumerate(n.children):
+            if isinstance(c, _Node):
+                fill(c)
+            else:
+                n.children[i] = next(new, c)
+
+    roots = [n for n in b.all if n.parent is None]
+    for n in roots:
+        fill(n)
+    # from the last pair to the first: a second half may already hold what follows it
+    for first, second in sorted(merged, reverse=True):
+        a, z = b.all[first], b.all[second]
+        rest = list(z.children)
+        if rest and isinstance(rest[0], str):
+            rest[0] = rest[0].lstrip()
+        a.children += [" ", *rest]
+        removed = removed | {second}
+    out: list[str] = []
+
+    def write(n: _Node) -> None:
+        if n.no in removed:
+            return
+        attrs = "".join(f' {k}="{escape(v, quote=True)}"' for k, v in n.attrs.items())
+        if n.tag in VOID:
+            out.append(f"<{n.tag}{attrs}/>")
+            return
+        out.append(f"<{n.tag}{attrs}>")
+        for c in n.children:
+            if isinstance(c, _Node):
+                write(c)
+            else:
+                out.append(c if n.tag in ("script", "style") else escape(c, quote=False))
+        out.append(f"</{n.tag}>")
+
+    for n in roots:
+        write(n)
+    return '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n' + "".join(out)
