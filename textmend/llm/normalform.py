@@ -104,11 +104,13 @@ class Transducer:
         drop = _class([*INVISIBLE, SOFT_HYPHEN])
         # alternatives in order of length: a word with a look-alike, a cluster with marks, one character
         self.word = rf"(?P<word>(?:[^\W\d_]|{self.marks}|[{drop}])*?[{look}](?:[^\W\d_]|{self.marks}|[{drop}])*)"
-        self.inner = re.compile(rf"(?P<cluster>[^\W_]{self.marks}+)|(?P<single>[{''.join(map(re.escape, singles))}])")
+        # what is invisible may stand between a letter and its marks
+        joined = rf"(?P<cluster>[^\W_](?:[{drop}]*{self.marks})+)"
+        self.inner = re.compile(rf"{joined}|(?P<single>[{''.join(map(re.escape, singles))}])")
         self.look = re.compile(f"[{look}]")
         self.any = re.compile(rf"[{look}{''.join(map(re.escape, singles))}{self.marks[1:]}")
         # a word can only begin where no letter stands before it, so the search doesn't restart inside words
-        self.outer = re.compile(rf"(?<![^\W\d_]){self.word}|(?P<cluster>[^\W_]{self.marks}+)|(?P<single>[{''.join(map(re.escape, singles))}])")
+        self.outer = re.compile(rf"(?<![^\W\d_]){self.word}|{joined}|(?P<single>[{''.join(map(re.escape, singles))}])")
 
     def apply(self, text: str) -> tuple[str, dict[str, int]]:
         counts: dict[str, int] = {}
@@ -128,6 +130,10 @@ class Transducer:
             return to
 
         def cluster(c: str) -> str:
+            for ch in c[1:]:
+                if ch in self.table:
+                    add(self.table[ch][1])
+            c = c[0] + "".join(ch for ch in c[1:] if ch not in self.table)
             base = self.table[c[0]][0] if c[0] in self.table else c[0]
             if c[0] in self.table:
                 add(self.table[c[0]][1])

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass, field
 from itertools import pairwise
 
@@ -63,6 +62,8 @@ _BREAKS = frozenset(_DIVISION)
 BROKEN = re.compile(rf"(?P<left>[^\W\d_|!]*[^\W_])(?P<sign>[{_DIVISION}])[ \t]*$")
 _TOKEN = re.compile(r"[\w|!]+(?:[’'][\w|!]+)*")
 _SPACED = re.compile(r"(?:\S ){3,}\S")
+#: A sentence ends inside the line: no title.
+_INSIDE = re.compile(r"[^\W\d_]{3,}[.!?;:,][”\"»’“]? ")
 _ENTRY = re.compile(r"^\(?\d{1,3}[.)]\s")
 _ENDS = frozenset(".,;:!?”\"»“…" + _DIVISION)
 _ITEM_SIGNS = frozenset("-*•–—0123456789")
@@ -312,10 +313,9 @@ def edges(page: Page) -> None:
                 page.numbers.add(i)
     # titles: lines that could stand at the top of a printed page
     marks: dict[int, tuple[str, bool]] = {}
-    again = Counter(page.lines[i].strip() for i in filled)
     for pos, i in enumerate(filled):
         line = page.lines[i].strip()
-        if pos == 0 or i in page.numbers or i in page.candidates or not line[0].isalnum() or len(line) > max(64, page.width + 8) or line.islower():
+        if pos == 0 or i in page.numbers or i in page.candidates or not line[0].isalnum() or len(line) > max(64, page.width + 8) or line[0].islower() or _INSIDE.search(line):
             continue
         loud = line.isupper() or _spaced(line)
         if line[-1] in _ENDS and (not loud or line[-1] in ".!?,;:") or ".." in line or _ENTRY.match(line):
@@ -325,8 +325,8 @@ def edges(page: Page) -> None:
         capital = len(words) >= 2 and all(w[0].isupper() for w in words if len(w) > 3)
         short = len(line) < 0.72 * page.width and len(words) <= 9
         blanks = (i > 0 and not page.lines[i - 1].strip()) or (i + 1 < len(page.lines) and not page.lines[i + 1].strip())
-        sure = beside and len(words) <= 9 or loud or short and (capital or blanks or _midway(page, i))
-        if (sure or capital or again[line] > 1) and len(_LETTERS.findall(line)) >= 3:
+        sure = loud or (short or capital) and (beside or capital or blanks or _midway(page, i))
+        if (sure or beside and len(words) <= 9) and len(_LETTERS.findall(line)) >= 3:
             marks[i] = skeleton(line), sure
     by: dict[str, list[int]] = {}
     for i, (s, _) in marks.items():
@@ -351,12 +351,16 @@ def edges(page: Page) -> None:
 
 def heading(page: Page) -> list[str]:
     """The heading's lines and their parts: number and title may stand in one line or two."""
-    filled = [x.strip() for x in page.lines if x.strip()][:2]
-    out = []
-    for k, x in enumerate(filled):
-        if len(x) <= 70 and not (k and x.endswith((".", ",", ";"))):
-            out += [x, *re.split(r"^\S+ \S+\.\s+", x)[1:]]
-    return out
+    block: list[str] = []
+    for line in page.lines:
+        if line.strip():
+            block.append(line.strip())
+        elif block:
+            break
+    # what stands before the first blank line is a heading only if it is that short
+    if len(block) > 3:
+        return []
+    return [y for x in block if len(x) <= 70 for y in (x, *re.split(r"^\S+ \S+\.\s+", x)[1:])]
 
 
 def known_headers(page: Page, titles: list[str], skeletons: set[str] = frozenset()) -> None:
@@ -395,6 +399,19 @@ def repair(page: Page, vocabulary: Vocabulary) -> Repair:
     gap = edge = False
     previous = ""
     first = True
+    # blank lines that stand around an edge anyway; one more of them is the end of a paragraph
+    around: dict[int, int] = {}
+    blanks, cut = 0, False
+    for i, raw in enumerate([*page.lines, "."]):
+        if i in drop:
+            cut = True
+        elif raw.strip():
+            if cut:
+                around[i] = blanks
+            blanks, cut = 0, False
+        else:
+            blanks += 1
+    usual = min(around.values(), default=0)
 
     def flush() -> None:
         nonlocal current
@@ -434,7 +451,7 @@ def repair(page: Page, vocabulary: Vocabulary) -> Repair:
             new = True if gap or indented or not page.printed else False
         elif edge:
             short = len(previous.rstrip()) < 0.72 * page.width
-            new = indented or _ended(previous) and short
+            new = indented or _ended(previous) and (short or around.get(i, 0) > usual)
         else:
             new = gap or indented
         if new:
