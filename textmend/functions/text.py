@@ -123,9 +123,14 @@ def ellipses(c: Column, target: str = "…") -> Column:
 
 def contractions(c: Column, apostrophe: str = "'") -> Column:
     """Apostrophes put back into split contractions and before archaic short forms; upper and lower case kept."""
+    # few texts hold a lone fragment; one look for any of them spares the rest the whole chain
+    lone = rf"(?i)[a-z] (?:t|ll|ve|re|d|m|s){EDGE_R}|y all{EDGE_R}|o clock{EDGE_R}|ma am{EDGE_R}"
+    out = c
     for fragment, heads in CONTRACTIONS.items():
-        c = sub(c, rf"(?i){EDGE_L}({'|'.join(heads)}) (?={fragment}{EDGE_R}(?!/))", f"$1{apostrophe}")
-    return sub(c, rf"(?i)(?<![‘’']){EDGE_L}({'|'.join(LEADING_WORDS)}){EDGE_R}", f"{apostrophe}$1")
+        out = sub(out, rf"(?i){EDGE_L}({'|'.join(heads)}) (?={fragment}{EDGE_R}(?!/))", f"$1{apostrophe}")
+    out = F.when(c.rlike(lone), out).otherwise(c)
+    short = sub(out, rf"(?i)(?<![‘’']){EDGE_L}({'|'.join(LEADING_WORDS)}){EDGE_R}", f"{apostrophe}$1")
+    return F.when(out.rlike("(?i)t(?:is|was|were|would)|gainst"), short).otherwise(out)
 
 
 def bare_s(c: Column) -> Column:
@@ -141,10 +146,10 @@ RULES = ("leading", "trailing", "repeated", "tabs", "before_punctuation", "missi
 
 def missing_spaces(c: Column) -> Column:
     """A blank after . ! ? before a capitalised word, and after , ; : between letters."""
-    c = sub(c, rf"(?:(?<![A-Za-z])|\G)(?!(?i:{'|'.join(ABBREVIATIONS)})\.)([A-Za-z]{{2,}})([.!?])([A-Z][a-z])", "$1$2 $3")
+    out = sub(c, rf"(?:(?<![A-Za-z])|\G)(?!(?i:{'|'.join(ABBREVIATIONS)})\.)([A-Za-z]{{2,}})([.!?])([A-Z][a-z])", "$1$2 $3")
     for sign in ",;:":
-        c = sub(c, f"([A-Za-z]){sign}([A-Za-z])", f"$1{sign} $2")
-    return c
+        out = sub(out, f"([A-Za-z]){sign}([A-Za-z])", f"$1{sign} $2")
+    return F.when(c.rlike("[A-Za-z][.!?,;:][A-Za-z]"), out).otherwise(c)
 
 
 def whitespace(c: Column, leading_glue: Column, trailing_glue: Column, rules: tuple[str, ...] = RULES) -> dict[str, Column]:
