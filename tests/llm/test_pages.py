@@ -123,6 +123,17 @@ def test_restored(spark, chapters):
     assert back[71] == clean and back[72] == clean and back[74] == clean and back[75] == clean
 
 
+def test_frequent_garbled_words_are_found(spark, chapters):
+    clean = [page(k, "They didn’t go, they wasn’t „Ich and c’est. " * 3) for k in range(1, 40)]
+    bad = [page(100 + k, f"They {w} go. ") for k, w in enumerate(["didnÔÇÖt", "Ð”а", "wasnвЂ™t", "cÔÇÖest"] * 60) if k % 4 != 1]
+    assert {r["chapter_id"] for r in mojibake.p5_found(spark, chapters(clean + bad)).collect()} == {r[0] for r in bad}
+
+
+def test_known_words_change_no_result(spark):
+    words = spark.createDataFrame([("didn’t", 500), ("didnÔÇÖt", 400), ("größte", 300), ("xÔÇÖy", 200), ("naïve", 100)], "word string, n long")
+    assert mojibake.known_words(words) == {"didn’t", "größte", "naïve"}
+
+
 # --- statistics ----------------------------------------------------------------------------------------------
 
 

@@ -27,7 +27,7 @@ from textmend.plans.runtime import stage, table
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850")
 READ_ONCE = ("cp1250", "cp1251", "iso8859_15")
 ONE_BYTE = (("cp1252", "latin-1"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp437", "cp1252"))
-#: The most frequent words are known to every task, so that they needn't be looked up; all others are joined.
+#: Of the most frequent words, those that are no garbled form are known to every task and needn't be looked up; all others are joined.
 FREQUENT = 50_000
 LOST = "�"
 
@@ -179,11 +179,27 @@ def page_tokens(pages: DataFrame, key: str, text: str, known: frozenset[str]) ->
     return map_batches(pages.select(key, text), f"page {dict(pages.dtypes)[key]}, token string, word string, runs array<string>", run)
 
 
+def known_words(words: DataFrame, most: int = FREQUENT) -> frozenset[str]:
+    """Those of the ``most`` most frequent words that are no key of the table of garbled forms, nor any run in them.
+
+    The joins would find nothing for them, so leaving them out changes no result.
+    """
+    common = frequent(words, most, 1)
+    wanted = {False: frozenset(common), True: frozenset(r for w in common for r in _RUN.findall(w))}
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        keys = {(k, is_run) for k, is_run in zip(cols["key"], cols["is_run"], strict=True) if k in wanted[is_run]}
+        return {"key": [k for k, _ in keys], "is_run": [r for _, r in keys]}
+
+    rows = map_batches(garbled_table(words).select("key", "is_run"), "key string, is_run boolean", run).distinct().collect()
+    forms = {(r["key"], r["is_run"]) for r in rows}
+    return frozenset(w for w in common if (w, False) not in forms and not any((r, True) in forms for r in _RUN.findall(w)))
+
+
 def hits(spark: SparkSession, pages: DataFrame, key: str, text: str) -> DataFrame:
     """(page, token, garbled, original, chain, is_run): garbled tokens of each page with their verified originals."""
     words = stage(foreign_words(pages, text), "foreign-words")
-    known = frozenset(w for w in frequent(words, FREQUENT, 50) if not _UNCLEAN.search(w))
-    suspects = stage(page_tokens(pages, key, text, known), "suspect-tokens")
+    suspects = stage(page_tokens(pages, key, text, known_words(words)), "suspect-tokens")
     # one row per garbled form: of several originals the most frequent one; a form that is itself a far more
     # frequent clean word is none
     forms = garbled_table(words).groupBy("key", "is_run").agg(
