@@ -236,6 +236,29 @@ def test_close_is_the_edit_distance(a, b):
     assert scans.close(a, b) == (row[-1] <= max(1, min(len(a), len(b)) // 6))
 
 
+@pytest.mark.parametrize("size", [1, 10, 1000])
+def test_misread_words_dont_depend_on_the_size_of_the_corpus(size):
+    counts = {"moon": 400, "rnoon": 4, "Collected": 36, "Collectecl": 2, "Olivia": 33, "Olivio": 2, "modern": 60, "modem": 30}
+    v = scans.Vocabulary({w: n * size for w, n in counts.items()})
+    assert [v.corrected(w) for w in ("rnoon", "Collectecl", "Olivio", "modem", "moon")] == ["moon", "Collected", "Olivia", None, None]
+
+
+@pytest.mark.parametrize("bound", [1, 12, 25])
+def test_rarer_words_are_joined(spark, chapters, monkeypatch, bound):
+    paragraphs = [(PROSE * 3).strip(), (PROSE * 2).strip()]
+    clean = [page(k, "\n\n".join(paragraphs) + (" The chimney." if k < 21 else " One chirnney and one lantem.") * (k % 2)) for k in range(1, 40)]
+    scan = printed(paragraphs).replace("harbour", "harb0ur", 1).replace("lantern", "lantem", 1)
+    d = chapters([*clean, page(50, scan), page(52, "Dear Ann,\n\n" + PROSE.replace("mirror", "rnirror") + "\n\nYours\n\n1916")])
+
+    def results():
+        return sorted(scans.p1_found(spark, d).collect()), sorted(scans.p1_repaired(spark, d).collect())
+
+    want = results()
+    assert {(50, "misread"), (52, "misread")} <= {tuple(r) for r in want[0]}
+    monkeypatch.setattr(scans, "FREQUENT", bound)
+    assert results() == want
+
+
 def test_headers_known_from_the_book_need_no_repetition(spark, chapters):
     paragraphs = [(PROSE * 3).strip()]
     clean = [page(k, PROSE * 3, book=2) for k in range(1, 40)]

@@ -11,14 +11,18 @@
 4. Words the vocabulary doesn't know are misread if undoing one confusion (two, where signs or digits
    stand in the word) gives a word that is far more frequent.
 
-Words beyond the ``FREQUENT`` most frequent ones are looked up by a join, not sent to the tasks.
+All words are counted; the ``FREQUENT`` most frequent ones are sent to the tasks. Of the others each page gets, by a join,
+the counts of those it asks for and of those that its words may be misread for, so the bound changes no result.
 Null and blank pages have no defects and no paragraphs.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 import unicodedata
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from itertools import pairwise
 
@@ -33,9 +37,10 @@ from textmend.plans.arrow import map_batches
 from textmend.plans.runtime import stage, table
 
 FREQUENT = 60_000
+#: A known word occurs so often at least; a word is so many times as frequent as each of its misread forms (a short one
+#: SHORT times that), so that what is misread doesn't depend on the size of the corpus.
 LEAST = 12
-#: A misread form is at least so many times rarer than the word it was.
-RATIO = 30
+SHORT = 8
 
 # --- fixed values: what is printed and what a scanner takes it for -----------------------------------------
 CONFUSIONS = {
@@ -141,24 +146,68 @@ def _from(token: str, start: int) -> list[tuple[str, int]]:
     ]
 
 
+def candidates(token: str, twice: bool) -> Iterator[tuple[str, str]]:
+    """(correction, form to look up) of the corrections that are words by their shape."""
+    for c in corrections(token, twice):
+        if c.isalpha() or re.fullmatch(r"[^\W\d_]+(?:[’'][^\W\d_]+)*", c):
+            for form in (c, c.lower(), c.capitalize()) if not c.islower() else (c,):
+                yield c, form
+
+
 class Vocabulary:
-    """The frequent words, without those that are misread forms of far more frequent ones."""
+    """The frequent words with their counts, and which of them are misread forms of far more frequent ones."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
+    def __init__(self, counts: Mapping[str, int], asked: set[str] | None = None) -> None:
         self.counts = counts
+        #: where it is given, words looked for that aren't among the counts are put into it
+        self.asked = asked
         self.misread: dict[str, str] = {}
         self.cache: dict[str, str | None] = {}
         #: chunks that hold nothing but known words
         self.plain: set[str] = set()
-        for w, n in counts.items():
-            if "-" in w or len(w) < 3:
-                continue
-            best = max((counts.get(c, 0), c) for c in ["", *corrections(w, False)])
-            if best[0] >= (RATIO if len(w) > 4 else 4 * RATIO) * n:
-                self.misread[w] = best[1]
+        # rarer words aren't known anyway, and are looked at when they are met
+        self._judge(counts)
+
+    def _judge(self, counts: Mapping[str, int]) -> None:
+        for w in sorted((w for w, n in counts.items() if n >= LEAST and len(w) >= 3 and "-" not in w), key=lambda w: (-counts[w], w)):
+            best = self._nearest(w, twice=len(w) >= 7)
+            if best is not None:
+                self.misread[w] = best
+
+    def asking(self) -> Vocabulary:
+        """The same words, keeping what is looked for in vain."""
+        out = copy.copy(self)
+        out.asked, out.cache, out.plain = set(), {}, set()
+        return out
+
+    def with_rare(self, rare: dict[str, int]) -> Vocabulary:
+        """These words and the rarer ones of one page."""
+        if not rare:
+            return self
+        out = copy.copy(self)
+        out.counts, out.misread, out.cache, out.plain = ChainMap(rare, self.counts), ChainMap({}, self.misread), {}, set()
+        out._judge(rare)
+        return out
+
+    def ask(self, *words: str) -> None:
+        if self.asked is not None:
+            self.asked.update(w for word in words for w in (word, word.lower()) if w not in self.counts)
+
+    def often(self, word: str) -> bool:
+        return self.counts.get(word, 0) >= LEAST
 
     def knows(self, word: str) -> bool:
-        return word in self.counts and word not in self.misread or word.lower() in self.counts and word.lower() not in self.misread
+        return self.often(word) and word not in self.misread or self.often(word.lower()) and word.lower() not in self.misread
+
+    def _nearest(self, token: str, twice: bool) -> str | None:
+        """The most frequent word that may have been misread as the token, if it is frequent enough beside it."""
+        best, times = None, 0
+        for c, form in candidates(token, twice):
+            n = self.counts.get(form, 0)
+            if n > times and form not in self.misread:
+                best, times = c, n
+        need = (LEAST if len(token) > 4 else SHORT * LEAST) * max(1, self.counts.get(token, 0))
+        return best if times >= need and (len(token) > 2 or best.islower()) else None
 
     def corrected(self, token: str) -> str | None:
         """The word that the token was before it was misread; None if it is a word or nothing is near."""
@@ -180,16 +229,7 @@ class Vocabulary:
             return None
         if odd == 0 and (len(token) < 3 or token.isupper()) or len(token) < 2:
             return None
-        best, times = None, 0
-        for c in corrections(token, twice=odd > 0 or len(token) >= 7):
-            if not c.isalpha() and not re.fullmatch(r"[^\W\d_]+(?:[’'][^\W\d_]+)*", c):
-                continue
-            for form in (c, c.lower(), c.capitalize()) if not c.islower() else (c,):
-                n = self.counts.get(form, 0)
-                if n > times and form not in self.misread and n >= RATIO * self.counts.get(token, 0):
-                    best, times = c, n
-        need = LEAST if len(token) > 4 else 8 * LEAST
-        return best if times >= need and (len(token) > 2 or best.islower()) else None
+        return self._nearest(token, twice=odd > 0 or len(token) >= 7)
 
 
 @dataclass
@@ -430,13 +470,15 @@ def repair(page: Page, vocabulary: Vocabulary) -> Repair:
         m = BROKEN.search(previous) if previous.rstrip(" \t")[-1:] in _BREAKS else None
         if m and (line[0].isalpha() or line[0] in "|!" or line[0].isdigit()) and current:
             right = _TOKEN.match(line)
+            vocabulary.ask(m["left"])
             if right and (not (gap and not edge) or not vocabulary.knows(m["left"])):
                 out.hyphens += 1
                 left, rest = m["left"], right.group()
                 whole = left + rest
+                vocabulary.ask(left, rest, whole, f"{left}-{rest}")
                 tail = current.rstrip()
                 tail = tail[: tail.rfind(m["sign"])] if m["sign"] in tail else tail
-                if not vocabulary.knows(whole) and (f"{left}-{rest}".lower() in vocabulary.counts or f"{left}-{rest}" in vocabulary.counts):
+                if not vocabulary.knows(whole) and (vocabulary.often(f"{left}-{rest}".lower()) or vocabulary.often(f"{left}-{rest}")):
                     current = tail + "-" + line
                 elif not vocabulary.knows(whole) and vocabulary.corrected(whole) is None and vocabulary.knows(left) and vocabulary.knows(rest) and m["sign"] in "-‐‑":
                     current = tail + "-" + line
@@ -480,6 +522,7 @@ def spell(text: str, vocabulary: Vocabulary) -> tuple[str, int]:
             word = t.rstrip("!|")
             if not word or word.isdigit() or vocabulary.knows(word):
                 continue
+            vocabulary.ask(word, *re.split(r"[’']", word))
             fine = False
             better = vocabulary.corrected(word)
             if better is None and ("’" in word or "'" in word):
@@ -507,6 +550,11 @@ def prepared(text: str) -> str:
     return transducer().apply(text)[0]
 
 
+def first_repair(page: Page, vocabulary: Vocabulary) -> Repair:
+    """Before the candidates are decided: one of them may stand between the halves of a word."""
+    return repair(Page(page.lines, page.width, page.printed, page.numbers | {i for i in page.candidates if _midway(page, i)}, page.headers, feeds=page.feeds), vocabulary)
+
+
 def analysed(pages: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(chapter_id, book_id, defect, skeleton, line): defects of each page; defect 'candidate' or 'candidate_number' if it
     depends on what the line is elsewhere, 'header_seen' for the headers that are sure."""
@@ -519,15 +567,14 @@ def analysed(pages: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             for name, x in zip(out, row, strict=True):
                 out[name].append(x)
 
-        for k, b, title, text in zip(cols["chapter_id"], cols["book_id"], cols["title"], cols["document"], strict=True):
+        for k, b, title, text, rare in zip(cols["chapter_id"], cols["book_id"], cols["title"], cols["document"], cols["rare"], strict=True):
             if not text or not text.strip():
                 continue
             page = layout(prepared(text))
             edges(page)
             known_headers(page, [*heading(page), title or ""])
             kept = dict(page.candidates)
-            # an undecided line may stand between the halves of a word
-            r = repair(Page(page.lines, page.width, page.printed, page.numbers | {i for i in kept if _midway(page, i)}, page.headers, feeds=page.feeds), vocabulary)
+            r = first_repair(page, vocabulary.with_rare(counts_of(rare)))
             if r.hyphens:
                 put(k, b, "hyphenation", None, None)
             if r.misread:
@@ -542,11 +589,77 @@ def analysed(pages: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 put(k, b, "candidate_number" if i in page.numbered else "candidate", skeleton(line), line)
         return out
 
-    return map_batches(pages.select("chapter_id", "book_id", "title", "document"), schema, run)
+    return map_batches(pages.select("chapter_id", "book_id", "title", "document", "rare"), schema, run)
+
+
+def counts_of(rare: list | None) -> dict[str, int]:
+    return {r["word"]: r["n"] for r in rare or ()}
+
+
+RARE = "array<struct<word:string,n:bigint>>"
+
+
+def with_vocabulary(spark: SparkSession, pages: DataFrame, headers: DataFrame | None = None, found: tuple | None = None) -> tuple[DataFrame, Vocabulary, DataFrame | None]:
+    """(pages with the column ``rare``, frequent words, rarer words): ``rare`` has the counts of the rarer words of a page, null
+    if there are none. With ``headers`` (chapter_id, headers) what is asked for is asked with these headers left out."""
+    if found is None:
+        words = stage(word_counts(pages, "document"), "words")
+        counts = frequent(words, FREQUENT, 1)
+        found = Vocabulary(counts), None
+        if len(counts) == FREQUENT:
+            last, n = list(counts.items())[-1]
+            found = found[0], words.where((F.col("n") < n) | (F.col("n") == n) & (F.col("word") > last))
+    vocabulary, words = found
+    none = F.lit(None).cast(RARE).alias("rare")
+    columns = ["chapter_id", "book_id", "title", "document"]
+    if words is None:
+        return pages.select(*columns, none), vocabulary, None
+    source = pages.select(*columns, F.lit(None).cast("array<string>").alias("headers")) if headers is None else pages.select(*columns).join(headers, "chapter_id", "left")
+
+    undecided = headers is None
+
+    def ask(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"chapter_id": [], "token": []}
+        for k, title, text, more in zip(cols["chapter_id"], cols["title"], cols["document"], cols["headers"], strict=True):
+            if not text or not text.strip():
+                continue
+            asking = vocabulary.asking()
+            page = layout(prepared(text))
+            edges(page)
+            known_headers(page, [*heading(page), title or ""], set(more or []))
+            if undecided:
+                first_repair(page, asking)
+            else:
+                repair(page, asking)
+            out["chapter_id"] += [k] * len(asking.asked)
+            out["token"] += asking.asked
+        return out
+
+    asked = stage(map_batches(source.select("chapter_id", "title", "document", "headers"), "chapter_id long, token string", ask).distinct(), "asked-words")
+
+    def expand(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"token": [], "word": []}
+        for t in cols["token"]:
+            forms = {f for _, f in candidates(t, len(t) >= 7 or len(_LETTERS.findall(t)) < len(t))} - vocabulary.counts.keys()
+            out["token"] += [t] * len(forms)
+            out["word"] += forms
+        return out
+
+    # only a word with LEAST occurrences corrects others; where all the rarer words have fewer, nothing comes of the join
+    able = words.where(F.col("n") >= LEAST)
+    tokens = asked.select("token").union(able.select(F.col("word").alias("token"))).distinct()
+    near = stage(map_batches(tokens, "token string, word string", expand).join(able.hint("merge"), "word"), "near-words") if able.limit(1).count() else None
+    own = asked.join(words.select(F.col("word").alias("token"), "n").hint("merge"), "token").select("chapter_id", F.col("token").alias("word"), "n")
+    if near is not None:
+        beside = able.withColumnRenamed("word", "token").withColumnRenamed("n", "own").join(near.groupBy("token").agg(F.collect_list(F.struct("word", "n")).alias("rare")), "token", "left")
 
+        def misread(cols: dict[str, list]) -> dict[str, list]:
+            return {"word": [t for t, n, rare in zip(cols["token"], cols["own"], cols["rare"], strict=True) if t in vocabulary.with_rare(counts_of(rare) | {t: n}).misread]}
 
-def vocabulary_of(spark: SparkSession, pages: DataFrame) -> Vocabulary:
-    return Vocabulary(frequent(stage(word_counts(pages, "document", LEAST), "words"), FREQUENT, LEAST))
+        bad = map_batches(beside.select("token", "own", "rare"), "word string", misread)
+        own = own.unionByName(asked.join(near.join(bad, "word", "left_anti").hint("merge"), "token").select("chapter_id", "word", "n"))
+    rare = own.distinct().groupBy("chapter_id").agg(F.collect_list(F.struct("word", "n")).alias("rare"))
+    return pages.select(*columns).join(rare, "chapter_id", "left"), vocabulary, words
 
 
 def book_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -586,7 +699,8 @@ def settled(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page with each kind of scan damage it shows."""
     pages = table(spark, sf_dir, "chapters")
-    rows = stage(analysed(pages, vocabulary_of(spark, pages)), "scan-lines")
+    asked, vocabulary, _ = with_vocabulary(spark, pages)
+    rows = stage(analysed(asked, vocabulary), "scan-lines")
     sure = rows.where(F.col("defect").isin("hyphenation", "misread", "running_header", "page_number")).select("chapter_id", "defect")
     more = settled(spark, sf_dir, rows).select(
         "chapter_id", F.explode(F.when(F.col("defect") == "candidate_number", F.array(F.lit("running_header"), F.lit("page_number"))).otherwise(F.array(F.lit("running_header")))).alias("defect")
@@ -597,14 +711,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page once as continuous paragraphs, and their number."""
     pages = table(spark, sf_dir, "chapters")
-    vocabulary = vocabulary_of(spark, pages)
-    rows = stage(analysed(pages, vocabulary), "scan-lines")
+    asked, vocabulary, words = with_vocabulary(spark, pages)
+    rows = stage(analysed(asked, vocabulary), "scan-lines")
     headers = settled(spark, sf_dir, rows).groupBy("chapter_id").agg(F.collect_set("skeleton").alias("headers"))
-    once = pages.select("chapter_id", "title", "document").dropDuplicates(["chapter_id"]).join(headers, "chapter_id", "left")
+    if words is not None:
+        headers = stage(headers, "headers")
+    once = pages.select("chapter_id", "book_id", "title", "document").dropDuplicates(["chapter_id"])
+    once = with_vocabulary(spark, once, headers, (vocabulary, words))[0].join(headers, "chapter_id", "left")
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         texts, counts = [], []
-        for title, text, more in zip(cols["title"], cols["document"], cols["headers"], strict=True):
+        for title, text, more, rare in zip(cols["title"], cols["document"], cols["headers"], cols["rare"], strict=True):
             if not text or not text.strip():
                 texts.append(text)
                 counts.append(0)
@@ -612,7 +729,7 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
             page = layout(prepared(text))
             edges(page)
             known_headers(page, [*heading(page), title or ""], set(more or []))
-            r = repair(page, vocabulary)
+            r = repair(page, vocabulary.with_rare(counts_of(rare)))
             texts.append("\n\n".join(r.paragraphs))
             counts.append(len(r.paragraphs))
         return {"chapter_id": cols["chapter_id"], "document": texts, "paragraphs": counts}
