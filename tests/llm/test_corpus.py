@@ -42,6 +42,12 @@ def test_names(spark, tables):
     assert got == want
 
 
+def test_long_chains_of_spellings_have_one_end(spark, tables):
+    # each is one edit from the next and two from the one after it
+    chain = [f"Samuel {'Tadabagadakafa'.replace('a', 'o', i)}" for i in range(8)]
+    assert found(spark, tables, *chain) == set(itertools.combinations(sorted(chain), 2))
+
+
 def test_no_names(spark, tables):
     assert found(spark, tables) == set()
 

@@ -261,11 +261,13 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("grp", "form").agg(F.max_by("other", F.struct("m", F.col("other"))).alias("base"))
     )
     base = stage(all_forms.join(better, ["grp", "form"], "left").select("grp", "form", F.coalesce("base", "form").alias("base")), "bases")
-    # a base may itself have a base: two more steps reach the end of any chain of single errors
-    for _ in range(2):
+    # a base may itself have a base: every round doubles the links followed, until no base changes
+    while True:
         up = base.select("grp", F.col("form").alias("base"), F.col("base").alias("top"))
-        base = base.join(up, ["grp", "base"]).select("grp", "form", F.col("top").alias("base"))
-    base = stage(base, "tops")
+        tops = stage(base.join(up, ["grp", "base"]).select("grp", "form", F.col("top").alias("base"), (F.col("top") != F.col("base")).alias("moved")), "tops")
+        base = tops.select("grp", "form", "base")
+        if tops.where("moved").limit(1).count() == 0:
+            break
     named = full.join(base.select(F.col("grp").alias("kind"), "form", "base"), ["kind", "form"]).select("name", "kind", "base", "middle")
     # persons of one name with different middle initials are different; without one they are the only one there is
     per = Window.partitionBy("kind", "base")
