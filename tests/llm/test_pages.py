@@ -129,6 +129,13 @@ def test_frequent_garbled_words_are_found(spark, chapters):
     assert {r["chapter_id"] for r in mojibake.p5_found(spark, chapters(clean + bad)).collect()} == {r[0] for r in bad}
 
 
+def test_words_of_several_originals_are_lost(spark, chapters):
+    clean = [page(k, "Der größte Mann grüßte den naïve Gast. " * 2) for k in range(1, 30)]
+    d = chapters([*clean, page(50, "Der gr��te Mann na�ve"), page(51, "xÔÇÖy na├»ve")])
+    rows = {r["chapter_id"]: (r["document"], r["restored_words"], r["lost_words"]) for r in mojibake.p5_restored(spark, d).collect()}
+    assert rows[50] == ("Der gr��te Mann naïve", 1, 1)
+
+
 def test_known_words_change_no_result(spark):
     words = spark.createDataFrame([("didn’t", 500), ("didnÔÇÖt", 400), ("größte", 300), ("xÔÇÖy", 200), ("naïve", 100)], "word string, n long")
     assert mojibake.known_words(words) == {"didn’t", "größte", "naïve"}

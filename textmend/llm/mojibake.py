@@ -2,9 +2,9 @@
 
 Every distinct clean word of the corpus that holds a character beyond ASCII is put through all chains
 of encodings; the garbled forms make a table ``garbled -> original``. The distinct tokens of each page
-are hash-joined with it, and a hit is kept only if the chain, undone, gives the original back (or, where
-characters were lost on the way, if the chain done again gives the garbled form). The same is done with
-the runs of characters beyond ASCII inside the words, for words that occur nowhere in clean form.
+are joined with it, so the chain of a hit, done to its original, gives the garbled form. A word that several
+clean words may have been is not restored but reported as lost. The same is done with the runs of characters
+beyond ASCII inside the words, for words that occur nowhere in clean form.
 
 Null and empty texts have no tokens and are never affected.
 """
@@ -196,8 +196,21 @@ def known_words(words: DataFrame, most: int = FREQUENT) -> frozenset[str]:
     return frozenset(w for w in common if (w, False) not in forms and not any((r, True) in forms for r in _RUN.findall(w)))
 
 
-def hits(spark: SparkSession, pages: DataFrame, key: str, text: str) -> DataFrame:
-    """(page, token, garbled, original, chain, is_run): garbled tokens of each page with their verified originals."""
+def clean_originals(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """(key, least, greatest) of the originals of each garbled word that are no garbled words themselves."""
+    parts = F.concat(
+        F.array(F.struct(F.col("word").alias("key"), F.lit(False).alias("is_run"))),
+        F.transform(F.regexp_extract_all("word", F.lit("([^\\x00-\\x7f]+)")), lambda r: F.struct(r.alias("key"), F.lit(True).alias("is_run"))),
+    )
+    known = forms.where(F.col("o.chain").startswith("utf-8")).select("key", "is_run")
+    bad = words.select("word", F.explode(parts).alias("p")).select("word", "p.*").join(known.hint("merge"), ["key", "is_run"], "left_semi").select(F.col("word").alias("original")).distinct()
+    pairs = garbled_table(words).where("NOT is_run").select("key", "original")
+    return pairs.join(bad.hint("merge"), "original", "left_anti").groupBy("key").agg(F.min("original").alias("least"), F.max("original").alias("greatest"))
+
+
+def hits(spark: SparkSession, pages: DataFrame, key: str, text: str, certain: bool = False) -> DataFrame:
+    """(page, token, garbled, original, chain, is_run): garbled tokens of each page with their originals, the most frequent
+    one of several; with ``certain`` null for words of which several clean originals are possible."""
     words = stage(foreign_words(pages, text), "foreign-words")
     suspects = stage(page_tokens(pages, key, text, known_words(words)), "suspect-tokens")
     # one row per garbled form: of several originals the most frequent one; a form that is itself a far more
@@ -212,7 +225,11 @@ def hits(spark: SparkSession, pages: DataFrame, key: str, text: str) -> DataFram
     by_word = counted.where(F.col("o.chain").startswith("utf-8") | F.col("key").rlike("[\\x{80}-\\x{9f}\\x{fffd}]") | (F.coalesce("own", F.lit(0)) * 20 < F.col("o.n")))
     by_run = suspects.select("page", "token", F.explode("runs").alias("key"), F.lit(True).alias("is_run")).join(forms.hint("merge"), ["key", "is_run"])
     cols = ("page", "token", "key", "is_run", "o.original", "o.chain")
-    return by_word.select(*cols).unionByName(by_run.select(*cols))
+    if not certain:
+        return by_word.select(*cols).unionByName(by_run.select(*cols))
+    one = F.when(F.col("least").isNull(), F.col("o.original")).when(F.col("least") == F.col("greatest"), F.col("least"))
+    by_word = by_word.join(clean_originals(words, forms).hint("merge"), "key", "left").select("page", "token", "key", "is_run", one.alias("original"), "o.chain")
+    return by_word.unionByName(by_run.select(*cols))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +251,7 @@ def restore(text: str, found: list) -> tuple[str, int, int]:
         whole = [r for r in rows if not r["is_run"]]
         use = whole or sorted(rows, key=lambda r: (-len(r["key"]), r["key"]))
         for r in use[:1] if whole else use:
-            if r["is_run"] and LOST in r["key"]:
+            if r["original"] is None or r["is_run"] and LOST in r["key"]:
                 lost += 1
                 continue
             plain = plain.replace(r["key"], r["original"])
@@ -249,7 +266,7 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "chapters").select("chapter_id", "document").dropDuplicates(["chapter_id"])
     # a page's hits are at most its distinct words
     found = (
-        hits(spark, table(spark, sf_dir, "chapters"), "chapter_id", "document").distinct()
+        hits(spark, table(spark, sf_dir, "chapters"), "chapter_id", "document", certain=True).distinct()
         .groupBy(F.col("page").alias("chapter_id")).agg(F.collect_list(F.struct("token", "key", "is_run", "original", "chain")).alias("found"))
     )
 
