@@ -116,15 +116,76 @@ def test_no_items(spark, tables):
     assert leaks.p8_found(spark, d).count() == 0
 
 
-def test_near_windows_often_share_a_bucket():
-    rng = np.random.default_rng(1)
-    a = rng.integers(1, 2**62, (300, 13)).astype(np.uint64)
-    b = a.copy()
-    b[np.arange(300), 12] = 7  # the last word differs
-    same = (leaks.buckets(a) == leaks.buckets(b)).any(axis=1).mean()
-    other = (leaks.buckets(a) == leaks.buckets(a[::-1].copy())).any(axis=1).mean()
-    assert same > 0.3 and other == 0
-    assert (leaks.buckets(a) == leaks.buckets(a.copy())).all()
+def edited(rng, row, edits):
+    row = list(row)
+    for _ in range(edits):
+        p, kind = int(rng.integers(len(row))), rng.integers(3)
+        if kind == 0:
+            row[p] = int(rng.integers(1, 2**62))
+        elif kind == 1:
+            row.insert(p, int(rng.integers(1, 2**62)))
+        else:
+            row.pop(p)
+    return row
+
+
+@pytest.mark.parametrize("c", [5, 6, 7, 8, 9, 10])
+def test_nine_of_ten_edited_windows_share_a_bucket(c):
+    rng = np.random.default_rng(c)
+    w, _ = leaks.window(c)
+    a = rng.integers(1, 2**62, (600, w)).astype(np.uint64)
+    n = max(1, int(leaks.EDITS * w))
+    b = np.array([(edited(rng, row, n) + list(rng.integers(1, 2**62, w)))[:w] for row in a], dtype=np.uint64)
+    at = np.arange(600) * w
+
+    def keys(x):
+        return leaks.Walks(x.ravel()).buckets(at, w)
+
+    assert (keys(a) == keys(a.copy())).all()
+    assert (keys(a) == keys(b)).any(axis=1).mean() >= 0.9
+    assert (keys(a) == keys(b[::-1].copy())).any(axis=1).mean() < 0.02
+
+
+def test_windows_fit_every_passage():
+    for n in range(1, 400):
+        c = leaks.length_class(n)
+        w, stride = leaks.window(c)
+        assert w + stride - 1 <= n < leaks.CLASS * (w + stride)
+
+
+@pytest.fixture
+def edited_leaks(tables):
+    """Documents with half of an item or more, up to a tenth of it edited, between other words; and items of 1 to 90 words."""
+    rng = np.random.default_rng(8)
+    items = [(i, "b", " ".join(rng.choice(WORDS, n)), None) for i, n in enumerate([1, 2, 3, 7, *rng.integers(20, 90, 20).tolist()])]
+    docs, want = [], {}
+    for k in range(300):
+        i = int(rng.integers(4, len(items)))
+        w = items[i][2].split()
+        size = leaks.need(len(w))
+        at = int(rng.integers(0, len(w) - size + 1))
+        n = int(rng.integers(0, int(leaks.EDITS * size) + 1))
+        body = [f"x{x}" for x in rng.integers(0, 10**6, rng.integers(0, 200))]
+        p = int(rng.integers(0, len(body) + 1))
+        docs.append(doc(k, " ".join([*body[:p], *map(str, edited(rng, w[at : at + size], n)), *body[p:]])))
+        want[i, k] = n
+    return tables(documents=(docs, DOCS), eval_items=(items, ITEMS)), want
+
+
+def test_edited_leaks(spark, edited_leaks):
+    d, want = edited_leaks
+    got = {(r["item_id"], r["doc_id"]): r["edits"] for r in leaks.p8_edited(spark, d).collect()}
+    assert sum(k in got and got[k] <= n for k, n in want.items()) >= 0.9 * len(want)
+    assert {k for k, n in want.items() if n == 0} <= {k for k, n in got.items() if n == 0}
+    long = {k: n for k, n in got.items() if k[0] >= 4}
+    assert set(long) <= set(want)
+
+
+def test_items_joined_by_bucket_give_the_same(spark, edited_leaks):
+    d, _ = edited_leaks
+    documents, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/eval_items.parquet")
+    rows = [{tuple(r) for r in leaks.leaks(documents, items, keys).collect()} for keys in (leaks.BROADCAST_KEYS, 0)]
+    assert rows[0] == rows[1] and rows[0]
 
 
 # --- mixing --------------------------------------------------------------------------------------------------
