@@ -283,3 +283,28 @@ def test_counts_are_those_of_the_whole_corpus(spark, chapters):
     got = {r["word"]: r["n"] for r in word_counts(spark.read.parquet(f"{d}/chapters.parquet"), "document").collect()}
     assert got == {"a": 3, "b": 1, "c": 1, "b-c": 1, "a’s": 1}
     assert F is not None
+
+
+LONG_ERROR = (
+    "404 Not Found\n\nThe page you are looking for could not be found. It might have been removed, had its name changed, or be temporarily unavailable. If you typed the address yourself, please make sure that the URL is spelled correctly. "
+    "Click the back button of your browser to try another link, or go to the home page and look for the information there. If the error stays, write to the webmaster of this web site and say at what time it happened and which browser you used. We apologize for any inconvenience that this may have caused you today."
+)
+
+
+def test_messages_are_found_at_any_length():
+    assert len(LONG_ERROR.split()) > 90
+    assert residue.classify(LONG_ERROR) == "error"
+    assert residue.classify(LONG_ERROR + "\n\n" + LONG_ERROR) == "error"
+    prose = "The old joke went: a page not found is a page not read, said Pascoe. " + "Few had answered so patient a cellar as the one that the lantern lit that night. " * 8
+    assert residue.classify(prose) is None
+    assert residue.classify(prose * 20) is None
+    assert residue.classify(prose + LONG_ERROR[:120]) is None
+
+
+@pytest.mark.parametrize(("text", "kind"), [
+    ("Dear {{ name }}, this is a tag of the old house and we will see you there", "placeholder"), ("Dear {{ name }}, this is a cat of the old house and we will see you there", "placeholder"),
+    ("In such a template the tag {{ name }} means the reader", None), ("Write the tag {{ name }} where the reader should stand.", None), ("It was written that ${place} lay by the sea", "placeholder"),
+    ("Use the placeholder {{ a }} here.\nThen {{ b }} comes.\nAnd the variable {{ c }} follows it.", None),
+])
+def test_what_a_sentence_speaks_of_is_no_residue(text, kind):
+    assert residue.classify(text) == kind

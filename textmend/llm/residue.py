@@ -2,8 +2,9 @@
 
 Each placeholder delimiter has a grammar of its own (what may stand between the signs). A hit counts
 only if its surroundings don't speak of it: a hit quoted or set in backticks, one inside a line of
-program text, or one of the many in a tutorial whose sentences name them is discounted. Filler,
-error messages and notices are judged by density: the message has to be the text, not a mention in it.
+program text, and one that its sentence speaks of is discounted, and so are all hits of a tutorial (three
+or more, of which half are discounted). Filler, error messages and notices are judged by density at any
+length: the message has to be the text, not a mention in it.
 
 Null, blank and asterisks-only texts are never residue. Every row is judged by its whole text.
 """
@@ -36,7 +37,11 @@ PLACEHOLDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in GRAMMARS.items()))
 _TRIGGER = re.compile(r"\{\{|\{%|<%|<<|\[\[|\$\{|__[A-Z]|%[A-Z]|\[[A-Z]")
 _QUOTES = "\"'`“”‘’«»„‚‹›"
 _CODE_LINE = re.compile(r"^\s*(?:[$] |>>> |//|\w+\s*\(|(?:def|class|import|from|return|let|const|var|function|if|for)\b.*[:;({=])|[;{}]\s*$|`")
-_SPEAKS = re.compile(r"(?i)\b(?:placeholders?|template|syntax|variable|macro|tag|written|writes?|such as|for example|e\.g\.|means|between (?:braces|brackets))\b")
+#: A sentence that speaks of placeholders, and words right before or after one that speak of it.
+_SPEAKS = re.compile(r"(?i)\b(?:placeholders?|templates?|syntax|variables?|macros?|between (?:braces|brackets))\b")
+_BEFORE = re.compile(r"(?i)\b(?:tags?|written|writes?|such as|for example|e\.g\.|means|called|named|spelt|signs?)[\s:,]+(?:(?:as|like|the|an?)\s+)?$")
+_AFTER = re.compile(r"(?i)^\s*(?:\w+\s+)?(?:means|stands? for|tags?|is written|was written|signs?)\b")
+_SENTENCE_EDGE = re.compile(r"[.!?…]\s")
 
 # --- fixed values: the words of the usual Latin filler ------------------------------------------------------
 LOREM = frozenset(
@@ -71,8 +76,20 @@ _SCRIPTS = (
     r"|(?:java ?scripts?|scripts) (?:\w+ ){0,4}(?:disabled|required|switched off|turned off|blocked|désactivé|deaktiviert|desactivado|needed|enabled|erforderlich|nécessaire|necesario)|does not support scripts"
 )
 MESSAGE = re.compile(f"(?im)(?P<error>{_ERROR})|(?P<scripts>{_SCRIPTS})")
-#: A message page says little else: at most so many words, and of its sentences most belong to the message.
-MESSAGE_WORDS = 60
+#: What else such pages say: sentences that count as the message's if there is one.
+_AROUND = re.compile(r"(?i)\b(?:browser|server|url|web ?site|web ?page|home ?page|webmaster|administrator|support team|help ?desk|reload|refresh|bookmark|cookies?|log ?in|sign in|click|typed|inconvenience|navigateur|serveur|seite|página web|java ?script)\b")
+#: Every match of the messages holds one of these or begins a line with three digits.
+_MESSAGE_SIGNS = (
+    "error", "http", "request id", "gateway", "not found", "forbidden", "gone", "unavailable", "time", "unauthorized", "bad request", "denied", "permission", "traceback", "exception", "stack trace", "segmentation",
+    "wrong", "looking for", "session", "in again", "gefunden", "fehler", "introuvable", "existe pas", "encontrad", "encuentra", "cargar", "erreur", "server is", "try again", "retry", "no longer", "your browser",
+    "human", "robot", "verify", "complete the", "too many", "rate limit", "[object", "undefined", "requested page", "connection", "maintenance", "construction", "cookie", "consent", "script",
+)
+_STATUS_LINE = re.compile(r"(?m)^\d{3} ")
+#: A sentence of its own has so many words; those outside the message may have a third of its words.
+SENTENCE_WORDS = 12
+OUTSIDE = 1 / 3
+#: A message has a sign in so many characters at least, so that longer texts with fewer need no closer look.
+CHARS_A_SIGN = 400
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -95,18 +112,44 @@ def placeholders(text: str) -> list[tuple[str, str]]:
         return []
     covered = sum(len(m.group()) for m in hits)
     dense = covered > 0.25 * len(text)
-    out = []
+    left, told = [], 0
     for m in hits:
         before, after = text[: m.start()].rstrip(" "), text[m.end() :].lstrip(" ")
         quoted = bool(before) and bool(after) and before[-1] in _QUOTES and after[0] in _QUOTES and before == text[: m.start()]
         start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        line = text[start : end if end >= 0 else len(text)]
-        rest = PLACEHOLDER.sub("", line)
+        end = end if end >= 0 else len(text)
+        rest = PLACEHOLDER.sub("", text[start:end])
+        # signs of rights aren't program text, whatever ends their line
         code = bool(_CODE_LINE.search(rest)) and len(_WORD.findall(rest)) > 0 and "©" not in rest and not dense
-        spoken = bool(_SPEAKS.search(rest)) and len(_WORD.findall(rest)) >= 6 and "as told by" not in rest
-        if not (quoted or code or spoken):
-            out.append((m.lastgroup or "", m.group()))
-    return out
+        left_side, right_side = _SENTENCE_EDGE.split(text[start : m.start()])[-1], _SENTENCE_EDGE.split(text[m.end() : end])[0]
+        sentence = PLACEHOLDER.sub(" ", f"{left_side} {right_side}")
+        spoken = len(_WORD.findall(sentence)) >= 4 and bool(_SPEAKS.search(sentence) or _BEFORE.search(left_side) or _AFTER.search(right_side))
+        if quoted or code or spoken:
+            told += 1
+        else:
+            left.append((m.lastgroup or "", m.group()))
+    return [] if len(hits) >= 3 and 2 * told >= len(hits) else left
+
+
+def message(text: str, low: str) -> str | None:
+    """'error' or 'scripts' if the text is such a message: its sentences are the message's, and little stands outside."""
+    signs = sum(low.count(s) for s in _MESSAGE_SIGNS if s in low) + (len(_STATUS_LINE.findall(text)) if text[:1].isdigit() or "\n" in text else 0)
+    if signs * CHARS_A_SIGN < len(text):
+        return None
+    own = outside = 0
+    found = []
+    for p in _parts(text):
+        n = len(_WORD.findall(p))
+        m = MESSAGE.search(p)
+        if m:
+            found.append(m)
+        if m or _AROUND.search(p):
+            own += n
+        elif n >= SENTENCE_WORDS:
+            outside += n
+    if not found or outside > OUTSIDE * own:
+        return None
+    return "scripts" if any(m["scripts"] for m in found) else "error"
 
 
 def classify(text: str | None) -> str | None:
@@ -126,13 +169,7 @@ def classify(text: str | None) -> str | None:
         parts = _parts(text)
         if sum(bool(FILLER.match(p)) for p in parts) >= 0.5 * len(parts):
             return "filler"
-    # a text of so few words is at most so long
-    if len(text) <= 40 * MESSAGE_WORDS and len(_WORD.findall(text)) <= MESSAGE_WORDS:
-        hits = list(MESSAGE.finditer(text))
-        # the message is the text only if no whole sentence stands outside it
-        if hits and not any(len(_WORD.findall(p)) >= 12 and not MESSAGE.search(p) for p in _parts(text)):
-            return "scripts" if any(m["scripts"] for m in hits) else "error"
-    return None
+    return message(text, low)
 
 
 def residue(df: DataFrame, key: str, text: str) -> DataFrame:
