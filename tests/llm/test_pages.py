@@ -158,6 +158,30 @@ def test_statistics_by_hand():
     s = dict(zip(quality.NAMES, quality.Measure(frozenset(["the", "cat"])).stats("THE BIG CAT sat.\nTHE BIG CAT sat.\n\nthe dog"), strict=True))
     assert s["word_count"] == 10 and s["all_caps_run_count"] == 2 and s["is_thin"] and s["duplicate_line_share"] == pytest.approx(1 / 3)
     assert s["punctuated_line_share"] == pytest.approx(2 / 3) and s["common_word_share"] == pytest.approx(0.5)
+    assert s["dominant_bigram_share"] == pytest.approx(14 / 32) and s["dominant_fourgram_share"] == pytest.approx(26 / 32) and s["duplicate_bigram_share"] == pytest.approx(1 / 3)
+
+
+def test_counts_have_no_bound():
+    s = dict(zip(quality.NAMES, quality.Measure(frozenset()).stats("a" * (1 << 25) + " b"), strict=True))
+    assert s["word_count"] == 2 and s["mean_word_length"] == pytest.approx(((1 << 25) + 1) / 2)
+
+
+def test_capitals_beside_signs_are_runs():
+    s = dict(zip(quality.NAMES, quality.Measure(frozenset()).stats("TO ALL MINE, and “THE OLD MAN”"), strict=True))
+    assert s["all_caps_run_count"] == 2
+
+
+@pytest.mark.parametrize(("text", "shape"), [
+    ("Back to the contents of this old book.\n" * 9 + PROSE, "boilerplate"), ("You are reading the old road. " * 30, "boilerplate"), ("a b c d " * 30, "junk"), (PROSE + "\n\nThe road was quiet.\n\n" + PROSE[:40], None),
+])
+def test_repetition_decides(text, shape):
+    common = frozenset(w.strip(".,;").lower() for w in (PROSE + " back to the contents of this old book you are reading road a").split())
+    assert quality.Measure(common).stats(text)[-1] == shape
+
+
+def test_common_words_are_those_of_most_of_the_text(spark):
+    rows = [("the road " * 500 + "of " * 90 + f"odd{c} strange{c}",) for c in "abcdef"]
+    assert quality.common_words(spark.createDataFrame(rows, "document string"), "document") == {"the", "road", "of"}
 
 
 # --- splitting -----------------------------------------------------------------------------------------------

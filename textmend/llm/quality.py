@@ -1,10 +1,11 @@
 """Problem 6: statistics of each page, and pages that are no natural prose.
 
 One pass gives word count, mean word length, share of symbols, of lines that end in punctuation, of
-common words, runs of capitals, shares of repeated lines and paragraphs and how much of the text its
-dominant word n-gram covers; combined rules on these and on the shapes of the lines tell lists,
-tables and junk from prose. Common words are the ``COMMON_WORDS`` most frequent of the whole corpus
-(a fixed bound, so they may be sent to every task).
+common words, runs of capitals, shares of repeated lines and paragraphs, and for word n-grams of two to
+four how much of the text the dominant one covers and the share of repeated ones. Combined rules on these and
+on the shapes of the lines tell lists, tables, junk and boilerplate (the same readable lines or phrases
+again and again) from prose. Common words are the most frequent ones of the whole corpus that together make
+up ``COMMON_COVERAGE`` of its running words, ``COMMON_WORDS`` at most (so they may be sent to every task).
 
 Null and blank pages have counts of zero, null shares and no shape; residue (problem 3) has no shape.
 """
@@ -15,6 +16,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,10 @@ from textmend.llm.normalform import transducer
 from textmend.llm.residue import classify
 from textmend.llm.vocabulary import WORD, frequent, word_counts
 from textmend.plans.arrow import map_batches
-from textmend.plans.runtime import table
+from textmend.plans.runtime import stage, table
 
 COMMON_WORDS = 3000
+COMMON_COVERAGE = 0.99
 THIN_WORDS = 50
 CAPS_RUN = re.compile(r"\b[A-Z]{2,}(?:\s+[A-Z]{2,}){2,}\b")
 _END = tuple(".!?…:;,”\"»“’'—)")
@@ -39,38 +42,71 @@ VOWEL = re.compile(r"[aeiouyáéíóúàèìòùâêîôûäëïöüãõåæœø
 
 STATS = (
     "word_count long, mean_word_length double, symbol_share double, punctuated_line_share double, common_word_share double, "
-    "all_caps_run_count long, duplicate_line_share double, duplicate_paragraph_share double, dominant_bigram_share double, is_thin boolean, shape string"
+    "all_caps_run_count long, duplicate_line_share double, duplicate_paragraph_share double, "
+    "dominant_bigram_share double, dominant_trigram_share double, dominant_fourgram_share double, duplicate_bigram_share double, is_thin boolean, shape string"
 )
 NAMES = [x.split()[0] for x in STATS.split(", ")]
 
 
-_FIELD = 24
-_MASK = (1 << _FIELD) - 1
 _STARTS = frozenset("-*•–—‣▪◦·+(")
 _NUMBERED = re.compile(r",\s*\d")
+_CAPITALS = re.compile("[A-Z]{2}")
+_NGRAMS = (2, 3, 4)
+#: A page says little more than a few words again and again: so many words, of whose bigrams so many are repeated, by so few
+#: different words. Boilerplate: so many lines or paragraphs, or so much of the text, are repetitions.
+REPEATED_WORDS, REPEATED_BIGRAMS, REPEATED_VOCABULARY = 12, 0.6, 4
+BOILERPLATE = 0.5
 
 
 class _Tokens(dict):
-    """Token -> its five counts packed into one number, so that a page's counts are one sum.
+    """Token -> its row in a table of counts, remembered.
 
-    Word parts, of them common, letters, symbols, and whether it is all capitals.
+    Counts: word parts, of them common, letters, symbols, whether it holds capitals side by side, and characters.
     """
 
     def __init__(self, common: frozenset[str]) -> None:
         self.common = common
+        self.table = np.zeros((1024, 6), dtype=np.int64)
 
     def __missing__(self, t: str) -> int:
         words = WORD.findall(t)
         common = sum(w in self.common or w.lower() in self.common for w in words)
         symbols = sum(1 for c in t if not c.isalnum() and (c in "#*@&%_\\/" or unicodedata.category(c)[0] != "P"))
-        caps = int(len(t) >= 2 and t.isalpha() and t.isupper())
-        value = 0
-        for x in (caps, symbols, sum(map(len, words)), common, len(words)):
-            value = value << _FIELD | x
+        n = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[n] = len(words), common, sum(map(len, words)), symbols, bool(_CAPITALS.search(t)), len(t)
+        self[t] = n
+        return n
+
+    def rows(self, tokens: list[str]) -> np.ndarray:
         if len(self) > 500_000:
             self.clear()
-        self[t] = value
-        return value
+        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+
+
+class Repetition:
+    """How much of a text is repeated: by lines, paragraphs and word n-grams."""
+
+    def __init__(self, rows: np.ndarray, lengths: np.ndarray, lines: list[str], paragraphs: list[str]) -> None:
+        self.lines = 1 - len(set(lines)) / len(lines)
+        self.paragraphs = 1 - len(set(paragraphs)) / len(paragraphs)
+        self.dominant = []
+        self.bigrams = 0.0
+        chars = int(lengths.sum())
+        key = rows.astype(np.uint64)
+        width = lengths
+        for n in _NGRAMS:
+            if len(key) < 2:
+                self.dominant.append(0.0)
+                continue
+            key = key[:-1] * np.uint64(0x9E3779B97F4A7C15) + rows[n - 1 :].astype(np.uint64)
+            width = width[:-1] + lengths[n - 1 :]
+            _, first, times = np.unique(key, return_index=True, return_counts=True)
+            top = int(times.max())
+            self.dominant.append(min(1.0, top * int(width[first[times == top]].max()) / chars) if top > 1 else 0.0)
+            if n == 2:
+                self.bigrams = 1 - len(times) / len(key)
 
 
 class Measure:
@@ -82,32 +118,26 @@ class Measure:
 
     def stats(self, text: str | None) -> tuple:
         if text is None or not text.strip():
-            return (0, None, None, None, None, 0, None, None, None, True, None)
+            return (0, None, None, None, None, 0, *[None] * 6, True, None)
         tokens = text.split()
         n = len(tokens)
-        packed = sum(map(self.tokens.__getitem__, tokens))
-        parts, common, letters, symbols, caps = (packed >> _FIELD * i & _MASK for i in range(5))
-        chars = sum(map(len, tokens))
+        rows = self.tokens.rows(tokens)
+        counts = self.tokens.table[rows]
+        parts, common, letters, symbols, caps, chars = counts.sum(axis=0).tolist()
         lines = [x for x in map(str.strip, text.split("\n")) if x]
         ended = sum(x.endswith(_END) for x in lines) / len(lines)
-        paragraphs = [x for x in text.split("\n\n") if x.strip()]
-        pairs = Counter(zip(tokens, tokens[1:], strict=False))
-        times = max(pairs.values(), default=1)
-        dominant = 0.0
-        if times > 1:
-            widest = max(len(a) + len(b) for (a, b), k in pairs.items() if k == times)
-            dominant = min(1.0, times * widest / chars)
+        again = Repetition(rows, counts[:, 5], lines, [x for x in text.split("\n\n") if x.strip()])
         share = common / parts if parts else 0.0
         runs = len(CAPS_RUN.findall(text)) if caps >= 3 else 0
-        shape = self.shape(text, tokens, lines, share, parts, letters, chars, ended)
+        shape = self.shape(text, tokens, lines, share, parts, letters, chars, ended, again)
         return (
             n, letters / parts if parts else 0.0, symbols / chars, ended, share, runs,
-            1 - len(set(lines)) / len(lines), 1 - len(set(paragraphs)) / len(paragraphs), dominant, n < THIN_WORDS, shape,
+            again.lines, again.paragraphs, *again.dominant, again.bigrams, n < THIN_WORDS, shape,
         )
 
-    def shape(self, text: str, tokens: list[str], lines: list[str], share: float, parts: int, letters: int, chars: int, ended: float) -> str | None:
-        """'list', 'table', 'junk' or None. Lists and tables are judged by the part of the words that stands in
-        lines of their shape, junk by the want of words."""
+    def shape(self, text: str, tokens: list[str], lines: list[str], share: float, parts: int, letters: int, chars: int, ended: float, again: Repetition) -> str | None:
+        """'list', 'table', 'junk', 'boilerplate' or None. Lists and tables are judged by the part of the words that stands
+        in lines of their shape, junk by the want of words or of different ones, boilerplate by repetition."""
         n = len(tokens)
         if len(lines) <= 3 and text.count(";") >= 5 and self.run_in(text):
             return "list"
@@ -139,10 +169,13 @@ class Measure:
             if items >= 3 and listed >= 0.6 * n:
                 return "list"
         sparse = parts == 0 or letters < 0.4 * chars or letters < 1.7 * parts
-        repeated = n >= 12 and len(set(tokens)) <= max(2, min(4, n // 20))
+        # few words again and again; the share of repeated bigrams spares all other texts the count
+        repeated = n >= REPEATED_WORDS and again.bigrams >= REPEATED_BIGRAMS and len(set(tokens)) <= max(2, min(REPEATED_VOCABULARY, n // 20))
         if repeated or ((share < 0.5 or sparse) and not self.readable(text, tokens, letters, chars)):
             if classify(text) is None:
                 return "junk"
+        elif (max(again.lines, again.paragraphs) >= BOILERPLATE or max(again.dominant) >= BOILERPLATE) and n >= REPEATED_WORDS and classify(text) is None:
+            return "boilerplate"
         return None
 
     @staticmethod
@@ -179,7 +212,7 @@ class Measure:
 
 
 def measured(pages: DataFrame, key: str, text: str, common: frozenset[str], shaped_only: bool = False) -> DataFrame:
-    """(key, statistics) of every row; ``shaped_only`` keeps those that are a list, a table or junk."""
+    """(key, statistics) of every row; ``shaped_only`` keeps those that have a shape."""
     made: list[Measure] = []
 
     def run(cols: dict[str, list]) -> dict[str, list]:
@@ -198,15 +231,23 @@ def measured(pages: DataFrame, key: str, text: str, common: frozenset[str], shap
 
 
 def common_words(pages: DataFrame, text: str) -> frozenset[str]:
-    """The most frequent words of all pages."""
-    return frozenset(frequent(word_counts(pages, text), COMMON_WORDS, 20))
+    """The most frequent words of all pages, as far as they make up the common part of the running words."""
+    words = stage(word_counts(pages, text), "words")
+    left = COMMON_COVERAGE * (words.select(F.sum("n")).first()[0] or 0)
+    out = []
+    for w, n in frequent(words, COMMON_WORDS, 1).items():
+        if left <= 0:
+            break
+        out.append(w)
+        left -= n
+    return frozenset(out)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that are lists, tables or junk."""
+    """Pages that are lists, tables or junk; boilerplate is readable and so no case here."""
     pages = table(spark, sf_dir, "chapters")
     rows = measured(pages, "chapter_id", "document", common_words(pages, "document"), shaped_only=True)
-    return rows.select("chapter_id", "shape").distinct()
+    return rows.where("shape <> 'boilerplate'").select("chapter_id", "shape").distinct()
 
 
 def p6_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,4 +265,18 @@ def p6_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_found": p6_found, "p6_statistics": p6_statistics}
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of the statistics that SQL can express, of every page once."""
+    return p6_statistics(spark, sf_dir).select("chapter_id", "word_count", "is_thin", "all_caps_run_count", "punctuated_line_share", "duplicate_line_share")
+
+
+_WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ENDS = ", ".join("'" + c.replace("'", "''") + "'" for c in _END)
+ORACLE = {
+    "p6_counts": rf"""WITH d AS (SELECT chapter_id, any_value(document) AS t FROM chapters GROUP BY chapter_id), l AS (SELECT *, len(regexp_extract_all(coalesce(t, ''), '[^{_WS}]+')) AS n,
+ list_filter([regexp_replace(regexp_replace(x, '^[{_WS}]+', ''), '[{_WS}]+$', '') for x in string_split(coalesce(t, ''), chr(10))], lambda x: x <> '') AS lines FROM d)
+SELECT chapter_id, CAST(n AS BIGINT) AS word_count, n < {THIN_WORDS} AS is_thin,
+ CAST(len(regexp_extract_all(coalesce(t, ''), '(?:^|[^\p{{L}}\p{{N}}_])[A-Z]{{2,}}(?:[{_WS}]+[A-Z]{{2,}}){{2,}}(?:$|[^\p{{L}}\p{{N}}_])')) AS BIGINT) AS all_caps_run_count,
+ CASE WHEN n > 0 THEN len(list_filter(lines, lambda x: right(x, 1) IN ({_ENDS}))) / len(lines) END AS punctuated_line_share, CASE WHEN n > 0 THEN 1 - len(list_distinct(lines)) / len(lines) END AS duplicate_line_share FROM l""",
+}
+QUERIES = {"p6_found": p6_found, "p6_statistics": p6_statistics, "p6_counts": p6_counts}
