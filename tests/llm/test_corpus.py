@@ -48,6 +48,23 @@ def test_long_chains_of_spellings_have_one_end(spark, tables):
     assert found(spark, tables, *chain) == set(itertools.combinations(sorted(chain), 2))
 
 
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_refined_segments_lose_no_pair(spark, hot):
+    rng = np.random.default_rng(4)
+    forms = sorted({"".join(rng.choice(list("abc"), rng.integers(3, 9))) + tail for tail in (" tadabaga", " tadabago", "") for _ in range(40)})
+    want = {(a, b) for a in forms for b in forms if a != b and names.distance(a, b, 1) <= 1}
+    rows = spark.createDataFrame([("p", f) for f in forms], "grp string, form string")
+    assert {(r["form"], r["other"]) for r in names.near_pairs(rows, hot).collect()} == want
+
+
+@pytest.mark.parametrize(("name", "form"), [
+    ("Jack Ma", "john ma"), ("St. John, Henry", "henry st john"), ("Lady Gaga", "lady gaga"), ("Sir Henry Bapo", "henry bapo"), ("Bapo, Dr. Henry", "henry bapo"), ("Henry Bapo, Jr.", "henry bapo"), ("Henry Bapo PhD", "henry bapo"), ("Bapo, Henry, M.A.", "henry bapo"),
+    ("Mr. Bapo", "bapo"), ("Don Juan", "don juan"), ("Agnes Grey", "agnes grey"), ("Ines Grey", "ines grey"),
+])
+def test_titles_are_no_surnames(name, form):
+    assert names.parse(name)[1] == form
+
+
 def test_no_names(spark, tables):
     assert found(spark, tables) == set()
 
@@ -66,7 +83,7 @@ def test_pigeonhole_misses_nothing(a, b):
 
     if levenshtein(a, b) <= names.K:
         index = {(len(a), i, s) for i, _, s in names.segments(a)}
-        assert index & names.probes(b)
+        assert index & {(n, i, s) for n, i, _, s in names.probes(b)}
 
 
 @settings(max_examples=200, deadline=None)

@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmend.plans.arrow import map_batches
@@ -25,16 +25,18 @@ from textmend.plans.runtime import stage, table
 #: Edits that a candidate may need (an exchange of neighbours is two), and edits that are accepted (an exchange is one).
 K = 2
 ACCEPTED = 1
+#: A segment that so many forms share is refined.
+HOT = 1_000
 
 # --- fixed values: given names and their short forms ---------------------------------------------------------
 NICKNAMES = {
     "Alexander": "Alex Sandy Alec Xander Sasha", "Andrew": "Andy Drew", "Anthony": "Tony", "Benjamin": "Ben Benny Benji", "Catherine": "Cathy Cath",
     "Charles": "Charlie Chuck Charley Chas", "Christopher": "Chris Kit Topher", "Daniel": "Dan Danny", "David": "Dave Davy", "Dorothy": "Dot Dottie Dolly Dora",
     "Edward": "Ed Eddie Ted Teddy Ned", "Elizabeth": "Liz Lizzie Beth Betty Eliza Betsy Bess Lisa Libby", "Frances": "Fanny Fran Francie Frankie", "Francis": "Frank",
-    "Frederick": "Fred Freddie Fritz", "Gabriel": "Gabe", "George": "Georgie", "Gerald": "Gerry", "Henry": "Harry Hank Hal Hen", "Ines": "Agnes", "Isabella": "Bella Izzy Isa Belle",
+    "Frederick": "Fred Freddie Fritz", "Gabriel": "Gabe", "George": "Georgie", "Gerald": "Gerry", "Henry": "Harry Hank Hal Hen", "Ines": "", "Isabella": "Bella Izzy Isa Belle",
     "James": "Jim Jimmy Jamie", "John": "Jack Johnny", "Jonathan": "Jon", "Joseph": "Joe Joey", "Josephine": "Josie Jo Posy", "Jurgen": "Jupp Jurg", "Katherine": "Kate Kathy Kath Katie Kit Kitty Kay",
-    "Lawrence": "Larry", "Leonard": "Len Lenny Leo", "Margaret": "Maggie Meg Peggy Madge Greta Daisy Rita", "Martha": "Patty", "Mary": "Molly Polly", "Matthew": "Matt", "Michael": "Mike Mick Micky",
-    "Nathaniel": "Nate Nat Nathan", "Nicholas": "Nick", "Olivia": "Liv Livvy Livia Ollie", "Patricia": "Pat Trish", "Peter": "Pete", "Philip": "Phil", "Rebecca": "Becky", "Rene": "Rennie", "Richard": "Dick Rick Rich Ricky Richie",
+    "Lawrence": "Larry", "Leonard": "Len Lenny Leo", "Margaret": "Maggie Meg Peggy Madge Greta Daisy Rita", "Martha": "Mattie", "Mary": "Molly Polly", "Matthew": "Matt", "Michael": "Mike Mick Micky",
+    "Nathaniel": "Nate Nat Nathan", "Nicholas": "Nick", "Olivia": "Liv Livvy Livia Ollie", "Patricia": "Pat Trish Patty Patsy", "Peter": "Pete", "Philip": "Phil", "Rebecca": "Becky", "Rene": "Rennie", "Richard": "Dick Rick Rich Ricky Richie",
     "Robert": "Bob Rob Bobby Robbie Bert", "Samuel": "Sam Sammy", "Sarah": "Sally", "Stephen": "Steve", "Susan": "Sue", "Theodore": "Theo", "Thomas": "Tom Tommy Thom", "Ursula": "Ulla Uschi Ursel", "Victoria": "Vicky Vicki Tori Vic Viv Tory",
     "William": "Bill Will Billy Willie Liam Wim", "Zachary": "Zach Zack Zak", "Zoe": "",
 }
@@ -43,7 +45,11 @@ NOBODY = {
     "", "unknown", "various", "anonymous", "anon", "none", "null", "na", "n a", "nil", "not available", "not applicable", "not known", "not given", "no author", "author unknown", "unknown author", "various authors", "unnamed", "untitled",
     "several authors", "several", "diverse", "div", "unbekannt", "anonym", "inconnu", "anonyme", "desconocido", "anonimo", "sconosciuto", "no name", "name unknown", "s n", "sn", "tba", "tbd", "multiple authors", "multiple", "collective", "the author", "author", "to be announced",
 }
-TITLES = set("dr prof professor mr mrs ms miss sir lady lord rev revd reverend fr father capt captain col colonel gen hon st herr frau mme mlle don dona jr sr esq phd md ma ba by von_".split())
+#: Titles before a name; those that are names too only count before two more words. What follows a name.
+TITLES = set("dr prof professor mr mrs ms miss rev revd reverend capt captain herr frau mme mlle by".split())
+NAME_TITLES = set("sir lady lord fr father col colonel gen hon don dona".split())
+SUFFIXES = set("jr sr esq phd md".split())
+DEGREES = SUFFIXES | set("ma ba mp".split())
 NOTES = re.compile(r"\((?:author|ed|eds|editor|trans|translator|illustrator|writer|pseud|pseudonym|comp|compiler)\.?\)|\[[^\]]*\]", re.I)
 DATES = re.compile(r"[,;]?\s*\(?\b(?:b\.|born|c\.|ca\.|fl\.)?\s*\d{3,4}\s*[-–]\s*(?:\d{2,4})?\)?|[,;]?\s*\(?\b(?:b\.|born|d\.|died)\s*\d{3,4}\)?")
 ABBREVIATIONS = {
@@ -87,16 +93,22 @@ def parse(name: str) -> tuple[str, str, str, str] | None:
     if marks >= 2 or "sons" in org or "&" in low or marks and org and org[-1] in ("company", "press", "institute", "society"):
         return "o", " ".join(sorted(dict.fromkeys(correct_word(w) for w in org))), "", ""
     # persons: "Last, First M." or "First M. Last"
-    parts = [p.strip() for p in low.split(",")]
-    parts = [p for p in parts if p and p not in TITLES]
-
-    def cut(p: str) -> list[str]:
-        return [w for w in re.findall(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*", p) if w not in TITLES]
+    parts = [p for p in (p.strip() for p in low.split(",")) if p]
+    # a degree or title of its own between commas; the surname stands first
+    parts = parts[:1] + [p for p in parts[1:] if p.replace(".", "") not in DEGREES | TITLES | NAME_TITLES]
+
+    def cut(p: str, whole: bool) -> list[str]:
+        w = re.findall(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*", p)
+        while len(w) >= 2 and w[0] in TITLES or len(w) >= 2 + whole and w[0] in NAME_TITLES:
+            w = w[1:]
+        while len(w) >= 2 + whole and w[-1] in SUFFIXES:
+            w = w[:-1]
+        return w
 
     if len(parts) >= 2:
-        last, first = cut(parts[0]), cut(parts[1])
+        last, first = cut(parts[0], True), cut(parts[1], False)
     else:
-        w = cut(parts[0] if parts else low)
+        w = cut(parts[0] if parts else low, True)
         if not w:
             return None
         if len(w) >= 2 and len(w[-1]) > 1 and (known(w[-1]) or near_given(w[-1])) and not known(w[0]) and len(w[0]) > 1 and not (near_given(w[0]) and not known(w[-1])):
@@ -172,8 +184,8 @@ def segments(text: str, k: int = K) -> list[tuple[int, int, str]]:
     return out
 
 
-def probes(text: str, k: int = K) -> set[tuple[int, int, str]]:
-    """(length of the other text, segment number, substring): all shifted substrings in which a text of that length
+def probes(text: str, k: int = K) -> set[tuple[int, int, int, str]]:
+    """(length of the other text, segment number, position, substring): all shifted substrings in which a text of that length
     within k edits can have an unchanged segment."""
     out = set()
     n = len(text)
@@ -184,37 +196,52 @@ def probes(text: str, k: int = K) -> set[tuple[int, int, str]]:
             size = base + (i >= k + 1 - more)
             # shifts are bound by the edits left on either side of the segment
             for start in range(max(0, at - k, at + (n - length) - k), min(n - size, at + k, at + (n - length) + k) + 1):
-                out.add((length, i, text[start : start + size]))
+                out.add((length, i, start, text[start : start + size]))
             at += size
     return out
 
 
-def near_pairs(forms: DataFrame) -> DataFrame:
-    """(form, other): pairs of distinct forms of one group within the accepted distance, both ways. forms: (grp, form)."""
+def split_rows(names: tuple[str, ...], cuts, more: tuple[str, ...]):
+    """A batch function: each row once for each of its cuts (a function of the row), with the cut in the columns ``more``."""
 
-    def index(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"grp": [], "form": [], "len": [], "no": [], "seg": []}
-        for g, f in zip(cols["grp"], cols["form"], strict=True):
-            for i, _, s in segments(f):
-                for name, x in zip(out, (g, f, len(f), i, s), strict=True):
-                    out[name].append(x)
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in (*names, *more)}
+        for row in zip(*(cols[c] for c in names), strict=True):
+            for cut in cuts(row):
+                for c, x in zip(out, (*row, *cut), strict=True):
+                    out[c].append(x)
         return out
 
-    def probe(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"grp": [], "other": [], "len": [], "no": [], "seg": []}
-        for g, f in zip(cols["grp"], cols["form"], strict=True):
-            for length, i, s in probes(f):
-                for name, x in zip(out, (g, f, length, i, s), strict=True):
-                    out[name].append(x)
-        return out
+    return run
+
+
+def near_pairs(forms: DataFrame, hot: int = HOT) -> DataFrame:
+    """(form, other): pairs of distinct forms of one group within the accepted distance, both ways. forms: (grp, form).
+
+    A segment that more than ``hot`` forms share (a common surname) would give all pairs among them: what is left of such
+    a form without the segment is within the edits of what is left of the other, so it is cut and joined once more.
+    """
 
     def verify(cols: dict[str, list]) -> dict[str, list]:
         keep = [(g, a, b) for g, a, b in zip(cols["grp"], cols["form"], cols["other"], strict=True) if distance(a, b, ACCEPTED) <= ACCEPTED]
         return {"grp": [x[0] for x in keep], "form": [x[1] for x in keep], "other": [x[2] for x in keep]}
 
-    left = map_batches(forms, "grp string, form string, len int, no int, seg string", index)
-    right = map_batches(forms, "grp string, other string, len int, no int, seg string", probe)
-    candidates = left.join(right, ["grp", "len", "no", "seg"]).where("form < other").select("grp", "form", "other").distinct()
+    at = ("len", "no", "start", "seg")
+    left = map_batches(forms, "grp string, form string, len int, no int, start int, seg string", split_rows(("grp", "form"), lambda r: [(len(r[1]), i, at, s) for i, at, s in segments(r[1])], at))
+    right = map_batches(forms.withColumnRenamed("form", "other"), "grp string, other string, len int, no int, start int, seg string", split_rows(("grp", "other"), lambda r: probes(r[1]), at))
+    left, right = stage(left, "segments"), stage(right, "probes")
+    key = ["grp", "len", "no", "seg"]
+    shared = stage(left.groupBy(*key).count().where(F.col("count") > hot).select(*key), "hot-segments")
+    joined = left.join(shared, key, "left_anti").join(right, key).select("grp", "form", "other")
+    if shared.limit(1).count():
+        rest = lambda r: r[-1][: r[-3]] + "\0" + r[-1][r[-3] + len(r[-2]) :]
+        cols = ("grp", "len", "no", "start", "seg", "text")
+        schema = "grp string, len int, no int, start int, seg string, text string, len2 int, no2 int, seg2 string"
+        again = ("len2", "no2", "seg2")
+        a = map_batches(left.join(shared, key, "left_semi").select("grp", "len", "no", "start", "seg", F.col("form").alias("text")), schema, split_rows(cols, lambda r: [(len(rest(r)), i, s) for i, _, s in segments(rest(r))], again))
+        b = map_batches(right.join(shared, key, "left_semi").select("grp", "len", "no", "start", "seg", F.col("other").alias("text")), schema, split_rows(cols, lambda r: {(n, i, s) for n, i, _, s in probes(rest(r))}, again))
+        joined = joined.unionByName(a.withColumnRenamed("text", "form").drop("start").join(b.withColumnRenamed("text", "other").drop("start"), [*key, *again]).select("grp", "form", "other"))
+    candidates = joined.where("form < other").distinct()
     found = map_batches(candidates, "grp string, form string, other string", verify)
     return found.unionByName(found.select("grp", F.col("other").alias("form"), F.col("form").alias("other")))
 
@@ -270,11 +297,10 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
             break
     named = full.join(base.select(F.col("grp").alias("kind"), "form", "base"), ["kind", "form"]).select("name", "kind", "base", "middle")
     # persons of one name with different middle initials are different; without one they are the only one there is
-    per = Window.partitionBy("kind", "base")
-    middles = F.size(F.array_remove(F.collect_set("middle").over(per), "")).alias("middles")
-    only = F.max("middle").over(per)
-    who = F.when(F.col("middle") != "", F.concat_ws("|", "kind", "base", "middle")).when(F.col("middles") <= 1, F.concat_ws("|", "kind", "base", "only")).otherwise(F.concat_ws("|", "kind", "base", F.lit("")))
-    persons = stage(named.select("*", middles, only.alias("only")).select("name", "kind", "base", "middle", who.alias("entity")), "persons")
+    known_middles = named.groupBy("kind", "base").agg(F.array_remove(F.collect_set("middle"), "").alias("middles"))
+    named = named.join(known_middles, ["kind", "base"]).withColumn("only", F.when(F.size("middles") <= 1, F.coalesce(F.try_element_at("middles", F.lit(1)), F.lit(""))).otherwise(""))
+    who = F.concat_ws("|", "kind", "base", F.when(F.col("middle") != "", F.col("middle")).otherwise(F.col("only")))
+    persons = stage(named.select("name", "kind", "base", "middle", who.alias("entity")), "persons")
     # initials: the persons of that surname (or one near it) whose given name and middle name fit
     s_base = base.where("grp = 's'").select(F.col("form").alias("surname"), F.col("base").alias("s"))
     known_persons = (
