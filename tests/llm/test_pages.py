@@ -332,3 +332,23 @@ def test_messages_are_found_at_any_length():
 ])
 def test_what_a_sentence_speaks_of_is_no_residue(text, kind):
     assert residue.classify(text) == kind
+
+
+def test_damaged_headers_are_known_from_other_pages(spark):
+    headers = spark.createDataFrame([(1, "theoldlighthouse"), (1, "short"), (2, "annwriterofbooks")], "book_id long, skeleton string")
+    rows = [(10, 1, "theoldlighthose"), (11, 1, "tholdlighthous"), (12, 1, "shrt"), (13, 2, "theoldlighthose"), (14, 1, "theoldmillhouse"), (15, 1, "theoldlighthouse"), (16, None, "theoldlighthose")]
+    asked = spark.createDataFrame(rows, "chapter_id long, book_id long, skeleton string").selectExpr("*", "'candidate' AS defect")
+    want = {k for k, b, s in rows for h in [r["skeleton"] for r in headers.collect() if r["book_id"] == b] if len(h) >= 7 and s != h and scans.close(s, h)}
+    assert {r["chapter_id"] for r in scans.near_headers(asked, headers).collect()} == want == {10, 11}
+
+
+def test_joined_keys_give_the_same_originals(spark, chapters):
+    from textmend.llm import mojibake as m
+
+    d = chapters([page(1, "größte grüßte grÃ¶ÃŸte gr��te café cafÃ© naïve"), page(2, "nothing here"), page(3, "cafÃ© cafÃ© gr??te")])
+    words = spark.createDataFrame([("größte", 3), ("grüßte", 2), ("café", 2), ("grÃ¶ÃŸte", 1), ("gr��te", 1)], "word string, n long")
+    forms = m.garbled_table(words).groupBy("key", "is_run").agg(F.max_by(F.struct("original", "chain", "n"), "n").alias("o"))
+    found = spark.createDataFrame([("gr��te",), ("grÃ¶ÃŸte",)], "key string")
+    sent, joined = ({tuple(r) for r in m.clean_originals(words, forms, found, most).collect()} for most in (10, 0))
+    assert sent == joined and ("gr��te", "größte", "grüßte") in sent
+    assert m.p5_restored(spark, d).count() == 2

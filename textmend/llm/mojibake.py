@@ -123,8 +123,9 @@ def foreign_words(pages: DataFrame, text: str) -> DataFrame:
 _UNCLEAN = re.compile(r"[\x80-\x9f�]|[ÃÂâÅÄ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸŽ]|[├┬┼Γ╬]|[√¬≈∫∂‚][^\s\x00-\x7f]")
 
 
-def garbled_table(words: DataFrame) -> DataFrame:
-    """(key, original, chain, is_run) of all garbled forms of the clean words and of the runs inside them."""
+def garbled_table(words: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+    """(key, original, chain, is_run) of all garbled forms of the clean words and of the runs inside them; with ``only``
+    those of whole words that are among these keys."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"key": [], "original": [], "chain": [], "n": [], "is_run": []}
@@ -138,9 +139,11 @@ def garbled_table(words: DataFrame) -> DataFrame:
                 # one byte a character gives letters again: a word too short says nothing
                 if not chain.startswith(("utf-8", "lost")) and not _C1.search(form) and len(form) < 4:
                     continue
+                if only is not None and form not in only:
+                    continue
                 for name, x in zip(out, (form, w, chain, n, False), strict=True):
                     out[name].append(x)
-        for r, n in runs.items():
+        for r, n in runs.items() if only is None else ():
             for form, chain in garbled(r).items():
                 # one byte a character: a run of letters alone may be meant as it stands
                 if ">" in chain and not chain.startswith("utf-8") and not _C1.search(form):
@@ -196,39 +199,51 @@ def known_words(words: DataFrame, most: int = FREQUENT) -> frozenset[str]:
     return frozenset(w for w in common if (w, False) not in forms and not any((r, True) in forms for r in _RUN.findall(w)))
 
 
-def clean_originals(words: DataFrame, forms: DataFrame) -> DataFrame:
-    """(key, least, greatest) of the originals of each garbled word that are no garbled words themselves."""
+def clean_originals(words: DataFrame, forms: DataFrame, found: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """(key, least, greatest) of the originals of each garbled word found that are no garbled words themselves.
+
+    Up to ``most`` keys are sent to the tasks that make the forms; more are joined.
+    """
+    keys = stage(found.select("key").distinct(), "garbled-keys")
+    few = keys.limit(most + 1).collect()
+    only = frozenset(r["key"] for r in few) if len(few) <= most else None
+    pairs = garbled_table(words, only).where("NOT is_run").select("key", "original")
+    if only is None:
+        pairs = pairs.join(keys.hint("merge"), "key", "left_semi")
+    pairs = stage(pairs, "originals")
     parts = F.concat(
-        F.array(F.struct(F.col("word").alias("key"), F.lit(False).alias("is_run"))),
-        F.transform(F.regexp_extract_all("word", F.lit("([^\\x00-\\x7f]+)")), lambda r: F.struct(r.alias("key"), F.lit(True).alias("is_run"))),
+        F.array(F.struct(F.col("original").alias("key"), F.lit(False).alias("is_run"))),
+        F.transform(F.regexp_extract_all("original", F.lit("([^\\x00-\\x7f]+)")), lambda r: F.struct(r.alias("key"), F.lit(True).alias("is_run"))),
     )
     known = forms.where(F.col("o.chain").startswith("utf-8")).select("key", "is_run")
-    bad = words.select("word", F.explode(parts).alias("p")).select("word", "p.*").join(known.hint("merge"), ["key", "is_run"], "left_semi").select(F.col("word").alias("original")).distinct()
-    pairs = garbled_table(words).where("NOT is_run").select("key", "original")
+    bad = pairs.select("original").distinct().select("original", F.explode(parts).alias("p")).select("original", "p.*").join(known.hint("merge"), ["key", "is_run"], "left_semi").select("original").distinct()
     return pairs.join(bad.hint("merge"), "original", "left_anti").groupBy("key").agg(F.min("original").alias("least"), F.max("original").alias("greatest"))
 
 
 def hits(spark: SparkSession, pages: DataFrame, key: str, text: str, certain: bool = False) -> DataFrame:
     """(page, token, garbled, original, chain, is_run): garbled tokens of each page with their originals, the most frequent
     one of several; with ``certain`` null for words of which several clean originals are possible."""
-    words = stage(foreign_words(pages, text), "foreign-words")
+    # a file for each task that will make the forms
+    words = stage(foreign_words(pages, text).repartition(spark.sparkContext.defaultParallelism), "foreign-words")
     suspects = stage(page_tokens(pages, key, text, known_words(words)), "suspect-tokens")
     # one row per garbled form: of several originals the most frequent one; a form that is itself a far more
     # frequent clean word is none
     forms = garbled_table(words).groupBy("key", "is_run").agg(
         F.max_by(F.struct("original", "chain", "n"), F.struct("n", F.negative(F.length("original")), "original")).alias("o")
     )
-    by_word = suspects.select("page", "token", F.col("word").alias("key"), F.lit(False).alias("is_run")).join(forms.hint("merge"), ["key", "is_run"])
+    by_word = suspects.select("page", "token", F.col("word").alias("key"), F.lit(False).alias("is_run")).join(forms.hint("shuffle_hash"), ["key", "is_run"])
     # a form of one byte a character is letters too; it counts only if it is rare beside its original. The words grow
     # with the corpus and are never broadcast, however small their files are
     counted = by_word.join(words.select(F.col("word").alias("key"), F.col("n").alias("own")).hint("merge"), "key", "left")
     by_word = counted.where(F.col("o.chain").startswith("utf-8") | F.col("key").rlike("[\\x{80}-\\x{9f}\\x{fffd}]") | (F.coalesce("own", F.lit(0)) * 20 < F.col("o.n")))
-    by_run = suspects.select("page", "token", F.explode("runs").alias("key"), F.lit(True).alias("is_run")).join(forms.hint("merge"), ["key", "is_run"])
+    by_run = suspects.select("page", "token", F.explode("runs").alias("key"), F.lit(True).alias("is_run")).join(forms.hint("shuffle_hash"), ["key", "is_run"])
     cols = ("page", "token", "key", "is_run", "o.original", "o.chain")
     if not certain:
         return by_word.select(*cols).unionByName(by_run.select(*cols))
+    # the table of forms is used once more for the originals
     one = F.when(F.col("least").isNull(), F.col("o.original")).when(F.col("least") == F.col("greatest"), F.col("least"))
-    by_word = by_word.join(clean_originals(words, forms).hint("merge"), "key", "left").select("page", "token", "key", "is_run", one.alias("original"), "o.chain")
+    by_word = stage(by_word, "garbled-words")
+    by_word = by_word.join(clean_originals(words, forms, by_word).hint("merge"), "key", "left").select("page", "token", "key", "is_run", one.alias("original"), "o.chain")
     return by_word.unionByName(by_run.select(*cols))
 
 

@@ -231,11 +231,11 @@ def measured(pages: DataFrame, key: str, text: str, common: frozenset[str], shap
 
 
 def common_words(pages: DataFrame, text: str) -> frozenset[str]:
-    """The most frequent words of all pages, as far as they make up the common part of the running words."""
+    """The most frequent words of all pages, as far as they make up the common part of the running words; one seen once is none."""
     words = stage(word_counts(pages, text), "words")
     left = COMMON_COVERAGE * (words.select(F.sum("n")).first()[0] or 0)
     out = []
-    for w, n in frequent(words, COMMON_WORDS, 1).items():
+    for w, n in frequent(words, COMMON_WORDS, 2).items():
         if left <= 0:
             break
         out.append(w)

@@ -3,7 +3,7 @@
 1. The corpus vocabulary is counted over all pages.
 2. Each page is split into printed lines. Lines at page edges are found by shape (numbers that run on
    from printed page to printed page, whatever signs stand around them and whatever digits were misread)
-   and by fuzzy repetition: lines that come again and again in the page, in other pages of its book, or
+   and by fuzzy repetition: lines that come again and again in the page, in other pages of its book (within two edits), or
    that repeat its heading, its book's title or its author, compared by skeletons in which characters
    that scanners confuse are equal.
 3. What is left is joined into paragraphs; a word divided over two lines is put together where the
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmend.llm.mojibake import _UNCLEAN
+from textmend.llm.names import probes, segments, split_rows
 from textmend.llm.normalform import transducer
 from textmend.llm.quality import BULLET, INDEX, LEADERS
 from textmend.llm.vocabulary import frequent, word_counts
@@ -70,6 +71,7 @@ _SPACED = re.compile(r"(?:\S ){3,}\S")
 #: A sentence ends inside the line: no title.
 _INSIDE = re.compile(r"[^\W\d_]{3,}[.!?;:,][”\"»’“]? ")
 _ENTRY = re.compile(r"^\(?\d{1,3}[.)]\s")
+_CLOSING = re.compile(r"^[^\W\d_][^.!?]{1,30},$")
 _ENDS = frozenset(".,;:!?”\"»“…" + _DIVISION)
 _ITEM_SIGNS = frozenset("-*•–—0123456789")
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -349,7 +351,8 @@ def edges(page: Page) -> None:
         elif i in run or not e.bare or near_feed:
             page.numbers.add(i)
         elif e.value < 1000 and i > first + 5 and (_midway(page, i) or i == filled[-1] and not e.roman):
-            if i != filled[-1] or len(filled) > 8 and not page.lines[filled[-2]].startswith(("Yours", "Your ")):
+            # a short line with a comma at its end closes a letter; what follows it is no page number
+            if i != filled[-1] or len(filled) > 8 and not _CLOSING.match(page.lines[filled[-2]].strip()):
                 page.numbers.add(i)
     # titles: lines that could stand at the top of a printed page
     marks: dict[int, tuple[str, bool]] = {}
@@ -407,7 +410,7 @@ def known_headers(page: Page, titles: list[str], skeletons: set[str] = frozenset
     """Turn candidates into headers whose skeleton is that of a title, an author or a header of other pages."""
     if not page.candidates:
         return
-    known = {skeleton(t) for t in titles if t} | {skeleton("The Author")} | set(skeletons)
+    known = {skeleton(t) for t in titles if t} | set(skeletons)
     known.discard("")
     names = [sorted(skeleton(w) for w in re.findall(r"[^\W\d_]+", t) if len(w) > 1) for t in titles if t]
     for i, line in list(page.candidates.items()):
@@ -669,6 +672,26 @@ def book_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.unionByName(old).where("t IS NOT NULL").groupBy("book_id").agg(F.collect_set("t").alias("titles"))
 
 
+def near_headers(candidates: DataFrame, headers: DataFrame) -> DataFrame:
+    """(chapter_id, skeleton, defect) of the candidates near a header of their book: within two edits and ``close``. Skeletons of
+    a book meet in a join of their segments."""
+    shortest = 7
+    at = ("len", "no", "seg")
+    schema = "book_id long, {} string, len int, no int, seg string"
+    known = headers.where(F.length("skeleton") >= shortest).select("book_id", F.col("skeleton").alias("header"))
+    asked = candidates.where(F.length("skeleton") >= shortest - 2).select("book_id", "skeleton").distinct().join(headers, ["book_id", "skeleton"], "left_anti")
+    left = map_batches(known, schema.format("header"), split_rows(("book_id", "header"), lambda r: [(len(r[1]), i, s) for i, _, s in segments(r[1])], at))
+    right = map_batches(asked, schema.format("skeleton"), split_rows(("book_id", "skeleton"), lambda r: {(n, i, s) for n, i, _, s in probes(r[1])}, at))
+    pairs = left.join(right, ["book_id", *at]).select("book_id", "skeleton", "header").distinct()
+
+    def verify(cols: dict[str, list]) -> dict[str, list]:
+        keep = [(b, a) for b, a, h in zip(cols["book_id"], cols["skeleton"], cols["header"], strict=True) if close(a, h)]
+        return {"book_id": [b for b, _ in keep], "skeleton": [a for _, a in keep]}
+
+    near = map_batches(pairs, "book_id long, skeleton string", verify).distinct()
+    return candidates.join(near, ["book_id", "skeleton"]).select("chapter_id", "skeleton", "defect")
+
+
 def settled(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     """(chapter_id, skeleton, numbered) of the candidates that are headers: known from the book or from its other pages."""
     candidates = rows.where(F.col("defect").startswith("candidate"))
@@ -679,6 +702,7 @@ def settled(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
         .where("sure = 1 OR pages >= 3")
     )
     exact = candidates.join(other, ["book_id", "skeleton"], "left_semi").select("chapter_id", "skeleton", "defect")
+    exact = exact.unionByName(near_headers(candidates, other))
     titles = book_titles(spark, sf_dir)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
