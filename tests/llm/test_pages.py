@@ -352,3 +352,11 @@ def test_joined_keys_give_the_same_originals(spark, chapters):
     sent, joined = ({tuple(r) for r in m.clean_originals(words, forms, found, most).collect()} for most in (10, 0))
     assert sent == joined and ("gr��te", "größte", "grüßte") in sent
     assert m.p5_restored(spark, d).count() == 2
+
+
+@pytest.mark.parametrize(("text", "want"), [("ｶﾞｷﾞ ﾊﾟ", "ガギ パ"), ("ế", "ế"), ("ộ", "ộ"), ("ẹ́", "ẹ́"), ("a᷄", "a᷄"), ("\U000e0041x", "x"), ("ﬁ́", "fí")])
+def test_further_marks_and_widths(text, want):
+    import unicodedata as u
+
+    out = normalform.transducer().apply(text)[0]
+    assert out == want and u.is_normalized("NFC", out) and normalform.transducer().apply(out)[0] == out

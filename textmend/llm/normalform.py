@@ -2,8 +2,9 @@
 
 A longest-match transducer over grapheme clusters (a base character and the marks after it) is
 compiled once from a table ``cluster -> replacement`` and applied in one pass. The table is built by
-rule and checked for conflicts: no cluster has two replacements, and no replacement contains a
-cluster that the table would change again, so a second pass changes nothing.
+rule, closed under further marks, and checked for conflicts: no cluster has two replacements, and no replacement contains a
+cluster that the table would change again, so a second pass changes nothing. One automaton finds the longest
+matches; what a match becomes is read off the table's states once and remembered.
 
 Look-alike letters of other scripts are replaced only inside words that mix scripts; whole words of
 another script stay. Null text gives null; empty text stays empty.
@@ -36,12 +37,16 @@ LOOKALIKES = {
 INVISIBLE = [0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x180F), *range(0x200B, 0x2010),
              *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0,
              *range(0xFFF9, 0xFFFC)]
-#: Invisible too, but beyond the range in which a character class is one look-up; texts without them skip it.
-TAGS = re.compile("[\U000e0000-\U000e007f]")
+#: Invisible too, but beyond the range in which a character class is one look-up: only texts with characters beyond it
+#: run the automaton that knows them.
+TAGS = range(0xE0000, 0xE0080)
 SPACES = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 WIDTHS = [*range(0xFF01, 0xFF5F), *range(0xFFE0, 0xFFE7)]
+#: Half-width letters of scripts that are written full; the voicing marks after them are marks of their own.
+HALF_WIDTHS = [*range(0xFF61, 0xFF9E), *range(0xFFA1, 0xFFBF), *range(0xFFC2, 0xFFC8), *range(0xFFCA, 0xFFD0), *range(0xFFD2, 0xFFD8), *range(0xFFDA, 0xFFDD), *range(0xFFE8, 0xFFEF)]
+HALF_MARKS = {chr(0xFF9E): chr(0x3099), chr(0xFF9F): chr(0x309A)}
 JOINED = [*range(0xFB00, 0xFB07), *range(0x0132, 0x0134), *range(0x01C4, 0x01CD), *range(0x01F1, 0x01F4)]
-MARKS = range(0x0300, 0x0370)
+MARKS = [*range(0x0300, 0x0370), *range(0x1AB0, 0x1AD0), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x20F1), *range(0xFE20, 0xFE30)]
 SOFT_HYPHEN = 0x00AD
 
 KINDS = ("width", "accent", "joined", "invisible", "soft_hyphen", "space", "lookalike")
@@ -58,7 +63,16 @@ def build_table() -> dict[str, tuple[str, str]]:
             out[cluster] = (to, kind)
 
     for cp in WIDTHS:
-        put(chr(cp), unicodedata.normalize("NFKC", chr(cp)), "width")
+        to = unicodedata.normalize("NFKC", chr(cp))
+        put(chr(cp), to, "width" if to.isalnum() else "width_sign")
+    for cp in HALF_WIDTHS:
+        put(chr(cp), unicodedata.normalize("NFKC", chr(cp)), "half_width")
+    for half, mark in HALF_MARKS.items():
+        put(half, mark, "half_width")
+        for base in map(chr, range(0x3040, 0x3100)):
+            whole = unicodedata.normalize("NFC", base + mark)
+            if len(whole) == 1:
+                put(base + mark, whole, "half_width")
     for cp in JOINED:
         put(chr(cp), unicodedata.normalize("NFKC", chr(cp)), "joined")
     for cp in INVISIBLE:
@@ -66,12 +80,20 @@ def build_table() -> dict[str, tuple[str, str]]:
     for cp in SPACES:
         put(chr(cp), " ", "space")
     put(chr(SOFT_HYPHEN), "", "soft_hyphen")
-    # a base letter and one mark that have a common character
-    for base in map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)]):
-        for mark in map(chr, MARKS):
-            whole = unicodedata.normalize("NFC", base + mark)
-            if base.isalpha() and len(whole) == 1:
-                put(base + mark, whole, "accent")
+    # a base letter and one mark that have a common character, which may take a further mark
+    bases = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)] if chr(c).isalpha()]
+    seen = set(bases)
+    while bases:
+        new = []
+        for base in bases:
+            for mark in map(chr, MARKS):
+                whole = unicodedata.normalize("NFC", base + mark)
+                if len(whole) == 1:
+                    put(base + mark, whole, "accent")
+                    if whole not in seen:
+                        seen.add(whole)
+                        new.append(whole)
+        bases = new
     for cluster, (to, _) in list(out.items()):
         again = [x for x in (to, *to) if x in out]
         if again:
@@ -98,71 +120,76 @@ class Transducer:
 
     def __init__(self) -> None:
         self.table = build_table()
-        singles = [c for c in self.table if len(c) == 1]
+        singles = _class(c for c in map(ord, (c for c in self.table if len(c) == 1)))
         look = "".join(map(re.escape, LOOKALIKES))
-        self.marks = f"[{chr(MARKS[0])}-{chr(MARKS[-1])}]"
+        marks = f"[{_class(MARKS)}{''.join(HALF_MARKS)}{''.join(HALF_MARKS.values())}]"
         drop = _class([*INVISIBLE, SOFT_HYPHEN])
-        # alternatives in order of length: a word with a look-alike, a cluster with marks, one character
-        self.word = rf"(?P<word>(?:[^\W\d_]|{self.marks}|[{drop}])*?[{look}](?:[^\W\d_]|{self.marks}|[{drop}])*)"
-        # what is invisible may stand between a letter and its marks
-        joined = rf"(?P<cluster>[^\W_](?:[{drop}]*{self.marks})+)"
-        self.inner = re.compile(rf"{joined}|(?P<single>[{''.join(map(re.escape, singles))}])")
+        # alternatives in order of length: a word with a look-alike, a cluster with marks, one character. A word can only
+        # begin where no letter stands before it, so the search doesn't restart inside words; what is invisible may stand
+        # between a letter and its marks
+        part = rf"(?:[^\W\d_]|{marks}|[{drop}])"
+        self.word = re.compile(rf"(?<![^\W\d_]){part}*?[{look}]{part}*")
+        cluster = rf"[^\W_](?:[{drop}]*{marks})+"
+        self.inner = re.compile(rf"{cluster}|[{singles}]")
+        self.outer = re.compile(rf"{self.word.pattern}|{cluster}|[{singles}]")
+        self.beyond = re.compile(rf"{self.outer.pattern}|[{_class((TAGS[0],))}-{_class((TAGS[-1],))}]")
         self.look = re.compile(f"[{look}]")
-        self.any = re.compile(rf"[{look}{''.join(map(re.escape, singles))}{self.marks[1:]}")
-        # a word can only begin where no letter stands before it, so the search doesn't restart inside words
-        self.outer = re.compile(rf"(?<![^\W\d_]){self.word}|{joined}|(?P<single>[{''.join(map(re.escape, singles))}])")
+        self.any = re.compile(rf"[{look}{singles}{marks[1:]}")
+        self.known: dict[str, tuple[str, tuple[str, ...]]] = {}
 
     def apply(self, text: str) -> tuple[str, dict[str, int]]:
         counts: dict[str, int] = {}
+        known = self.known
+
+        def replaced(m: re.Match) -> str:
+            x = m.group()
+            found = known.get(x)
+            if found is None:
+                if len(known) > 100_000:
+                    known.clear()
+                found = known[x] = self.match(x)
+            for kind in found[1]:
+                counts[kind] = counts.get(kind, 0) + 1
+            return found[0]
+
         if len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text):
-            text, counts["invisible"] = TAGS.subn("", text)
+            return self.beyond.sub(replaced, text), counts
         if text.isascii() or not self.any.search(text):
             return text, counts
-
-        def add(kind: str) -> None:
-            counts[kind] = counts.get(kind, 0) + 1
-
-        def single(ch: str) -> str:
-            to, kind = self.table[ch]
-            if kind == "width" and not unicodedata.normalize("NFKC", ch).isalnum():
-                kind = "width_sign"
-            add(kind)
-            return to
-
-        def cluster(c: str) -> str:
-            for ch in c[1:]:
-                if ch in self.table:
-                    add(self.table[ch][1])
-            c = c[0] + "".join(ch for ch in c[1:] if ch not in self.table)
-            base = self.table[c[0]][0] if c[0] in self.table else c[0]
-            if c[0] in self.table:
-                add(self.table[c[0]][1])
-            to = self.table[base + c[1]][0] + c[2:] if base + c[1] in self.table else base + c[1:]
-            if c[0].isalpha():
-                add("accent")
-            return unicodedata.normalize("NFC", to)
-
-        def plain(m: re.Match) -> str:
-            return cluster(m.group()) if m["cluster"] else single(m.group())
-
-        def any_case(m: re.Match) -> str:
-            w = m.group()
-            if m["word"] is None:
-                return plain(m)
-            letters = [ch for ch in w if ch.isalpha()]
-            kinds = {unicodedata.name(ch, "?").split()[0] for ch in letters if _script(ch) == "other"}
-            mixed = any(_script(ch) == "latin" for ch in letters) or len(kinds & {"CYRILLIC", "GREEK", "ARMENIAN"}) > 1
-            if mixed and all(_script(ch) == "latin" or ch in LOOKALIKES for ch in letters):
-                for ch in letters:
-                    if ch in LOOKALIKES and _script(ch) == "other":
-                        add("lookalike")
-                w = "".join(LOOKALIKES[ch] if ch in LOOKALIKES and _script(ch) == "other" else ch for ch in w)
-            return self.inner.sub(plain, w)
-
         # without a look-alike no word needs its context
-        return (self.outer.sub(any_case, text) if self.look.search(text) else self.inner.sub(plain, text)), counts
-
-
+        return (self.outer if self.look.search(text) else self.inner).sub(replaced, text), counts
+
+    def match(self, x: str) -> tuple[str, tuple[str, ...]]:
+        """(replacement, kinds of what was changed) of a longest match."""
+        if ord(x[0]) in TAGS:
+            return "", ("invisible",)
+        kinds: list[str] = []
+        if self.look.search(x) and self.word.fullmatch(x):
+            letters = [ch for ch in x if ch.isalpha()]
+            scripts = {unicodedata.name(ch, "?").split()[0] for ch in letters if _script(ch) == "other"}
+            mixed = any(_script(ch) == "latin" for ch in letters) or len(scripts & {"CYRILLIC", "GREEK", "ARMENIAN"}) > 1
+            if mixed and all(_script(ch) == "latin" or ch in LOOKALIKES for ch in letters):
+                kinds += ["lookalike" for ch in letters if ch in LOOKALIKES and _script(ch) == "other"]
+                x = "".join(LOOKALIKES[ch] if ch in LOOKALIKES and _script(ch) == "other" else ch for ch in x)
+            return self.inner.sub(lambda m: self.states(m.group(), kinds), x), tuple(kinds)
+        return self.states(x, kinds), tuple(kinds)
+
+    def states(self, cluster: str, kinds: list[str]) -> str:
+        """Run a cluster through the table: the state is the last character so far, each mark leads to the next state."""
+        out = ""
+        for ch in cluster:
+            to, kind = self.table.get(ch, (ch, ""))
+            if kind:
+                kinds.append(kind)
+            further = self.table.get(out[-1:] + to) if to else None
+            out = out[:-1] + further[0] if further else out + to
+        if len(cluster) > 1 and cluster[0].isalpha() and any(ord(c) in _MARKS for c in cluster):
+            kinds.append("accent")
+        # marks out of their order; done once for each distinct cluster
+        return unicodedata.normalize("NFC", out)
+
+
+_MARKS = frozenset(MARKS)
 _TRANSDUCER: Transducer | None = None
 
 
