@@ -304,14 +304,21 @@ def test_empty_subjects(spark, tables):
     assert subjects.p10_found(spark, d).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 4])
+def test_joined_terms_change_no_result(spark, labelled, monkeypatch, bound):
+    d, _ = labelled
+    want = sorted(tuple(r) for r in subjects.p10_found(spark, d).collect())
+    monkeypatch.setattr(subjects, "TERMS", bound)
+    assert sorted(tuple(r) for r in subjects.p10_found(spark, d).collect()) == want
+
+
 def test_held_out_snippets():
-    """Trained on seven snippets of each area, the rest are labelled by their terms."""
+    """Trained on seven snippets of each area, the rest are labelled by their terms, as they are and set into commits."""
     rng = np.random.default_rng(9)
     train = [(a, sentence(rng, a)) for a in AREAS for _ in range(7)]
     terms = subjects.first_terms(train)
-    chain = subjects.Chain(terms.areas, [])
-    rows = subjects.composed(train, terms)
-    chain.fit(np.array([f for f, _ in rows]), np.full(len(rows), -1), np.array([y for _, y in rows]))
+    chain = subjects.trained(terms.areas, np.zeros((0, len(terms.areas) + 1, subjects.FEATURES)), np.zeros(0, dtype=np.int64), subjects.composed(train, terms))
     test = [(a, sentence(rng, a)) for a in AREAS for _ in range(20)]
-    right = sum([terms.areas[i] for i in chain.decode(subjects.features(t, terms), -1)] == [a] for a, t in test)
-    assert right >= 0.9 * len(test)
+    for form in (lambda t: t, lambda t: subjects.as_commit(["Update"], [t, t]), lambda t: subjects.as_commit([t], ["value"])):
+        right = sum([terms.areas[i] for i in chain.decode(subjects.features(form(t), terms), -1)] == [a] for a, t in test)
+        assert right >= 0.9 * len(test)

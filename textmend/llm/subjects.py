@@ -5,9 +5,14 @@ how the other words go together with the areas is counted over all documents (tw
 the terms of the one before), which adds the rest of the areas' vocabulary, in every language of the
 corpus. Terms, source and structure of a document (merge, automatic author, binary, changes of white space
 only) are the features of a classifier chain: one logistic model per area, each seeing the decisions of
-those before it, so that subjects that go together are modelled. It is trained on at most ``SAMPLE``
-documents, chosen by hash, whose labels are plain from their lines, and calibrated on a held-out fifth of
-them. Combinations are decoded by a beam search over the chain; a document with no other area is software.
+those before it, so that subjects that go together are modelled. The chain is first trained on the labelled
+snippets, set into commits (in the message, in changed lines, two together, beside a borrowed word). What it then says
+of at most ``SAMPLE`` documents, chosen by hash, with a probability of ``SURE`` or more joins the snippets in
+its second training. A fifth is held out to calibrate it. Combinations are decoded by a beam search over the
+chain; a document with no other area is software.
+
+The ``TERMS`` most frequent terms are sent to the tasks; of the others each document gets its own by a join, so
+the bound changes no result. Sources are hashed into ``SOURCES`` features.
 
 Null and empty texts are about nothing else either and so are software. Repeated rows are labelled alike.
 """
@@ -16,7 +21,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+import zlib
+from collections import ChainMap, Counter, defaultdict
+from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +33,13 @@ from textmend.plans.arrow import map_batches
 from textmend.plans.runtime import stage, table
 
 DEFAULT = "software"
-#: Most training documents; terms kept (both bound what is sent to the tasks); documents a term is counted in at least.
+#: Most training documents, and how sure the chain has to be of their labels.
 SAMPLE = 6_000
+SURE = 0.9
+#: Terms sent to the tasks; sentences a term is counted in at least, as fewer say nothing; features of the sources.
 TERMS = 6_000
 LEAST = 8
+SOURCES = 64
 BEAM = 6
 #: A word is a term of an area if so much of its use falls into that area, and so many times more than chance.
 SHARE = 0.3
@@ -122,7 +132,8 @@ class Commit:
 
     def told(self) -> list[tuple[bool, str]]:
         """(in the message, line) of all lines that count."""
-        if self.merge:
+        # merges and changes of white space are about no area
+        if self.merge or self.blank_only:
             return []
         out = [(True, x) for x in self.message if not PASSING.match(x) and not _TRAILER.match(x)]
         return out + [(False, x) for x in self.changed if not PASSING.match(x.lstrip(" #/*-"))]
@@ -143,10 +154,20 @@ def sentences(line: str) -> list[set[str]]:
 class Terms:
     """Terms with their weight in each area."""
 
-    def __init__(self, areas: list[str], weights: dict[str, list[float]]) -> None:
+    def __init__(self, areas: list[str], weights: Mapping[str, list[float]], rare: DataFrame | None = None) -> None:
         self.areas = areas
-        self.weights = {w: tuple((i, x) for i, x in enumerate(v) if x > 0) for w, v in weights.items()}
+        self.weights: Mapping[str, tuple[tuple[int, float], ...]] = {w: _positive(v) for w, v in weights.items()}
         self.seen: dict[str, list[tuple[int, int, float]]] = {}
+        #: (word, weights) of the terms that aren't sent to the tasks
+        self.rare = rare
+
+    def with_rare(self, rare: list | None) -> Terms:
+        """These terms and the rarer ones of one document."""
+        if not rare:
+            return self
+        out = Terms(self.areas, {})
+        out.weights = ChainMap({r["word"]: _positive(r["weights"]) for r in rare}, self.weights)
+        return out
 
     def get(self, word: str) -> tuple[tuple[int, float], ...] | None:
         """(area, weight) pairs of a term; plural and singular forms share one."""
@@ -155,6 +176,12 @@ class Terms:
             v = self.weights.get(word[:-1])
         return v
 
+    def joined(self, other: Terms) -> Terms:
+        """These terms where the other ones have none."""
+        out = Terms(self.areas, {})
+        out.weights = dict(self.weights) | dict(other.weights)
+        return out
+
     def score(self, words: set[str]) -> tuple[int, int, float]:
         """(best area or -1, distinct terms of it, margin over the next one) of a sentence."""
         total: dict[int, float] = {}
@@ -188,7 +215,11 @@ class Terms:
         return out
 
     def __getstate__(self) -> dict:
-        return {"areas": self.areas, "weights": self.weights, "seen": {}}
+        return {"areas": self.areas, "weights": self.weights, "seen": {}, "rare": None}
+
+
+def _positive(v: list[float]) -> tuple[tuple[int, float], ...]:
+    return tuple((i, x) for i, x in enumerate(v) if x > 0)
 
 
 FEATURES = 6
@@ -216,28 +247,16 @@ def features(text: str | None, terms: Terms) -> np.ndarray:
     return out
 
 
-def plain_labels(f: np.ndarray, areas: list[str]) -> np.ndarray | None:
-    """Labels of a document whose lines leave no doubt: None if some area is neither clearly there nor clearly absent."""
-    x = f[:-1]
-    if f[-1, 0] or f[-1, 3]:
-        y = np.zeros(len(areas), dtype=bool)
-    else:
-        sure = (x[:, 0] >= 1) | (x[:, 4] >= 1) | (x[:, 1] >= 2) | (x[:, 2] + x[:, 3] >= 4)
-        absent = x[:, :4].sum(axis=1) == 0
-        if not (sure | absent).all():
-            return None
-        y = sure.copy()
-    if not y.any():
-        y[areas.index(DEFAULT)] = True
-    return y
+def source_feature(source: str | None) -> int:
+    return -1 if source is None else zlib.crc32(source.encode()) % SOURCES
 
 
-def matrix(f: np.ndarray, area: int, previous: np.ndarray, source: np.ndarray, sources: int) -> np.ndarray:
+def matrix(f: np.ndarray, area: int, previous: np.ndarray, source: np.ndarray) -> np.ndarray:
     """Inputs of one model of the chain for documents f (n, areas + 1, FEATURES); the earlier decisions come last."""
     n = len(f)
     mine = f[:, area, :5]
     others = np.delete(f[:, :-1], area, axis=1)
-    hot = np.zeros((n, sources))
+    hot = np.zeros((n, SOURCES))
     hot[np.nonzero(source >= 0)[0], source[source >= 0]] = 1
     rest = np.stack([np.log1p(others[:, :, 0].sum(axis=1)), np.log1p(others[:, :, 1:4].sum(axis=(1, 2))), (others[:, :, :5].sum(axis=(1, 2)) == 0).astype(float)], axis=1)
     return np.concatenate([np.ones((n, 1)), np.log1p(mine), f[:, area, 5:6], mine > 0, rest, f[:, -1], hot, previous], axis=1)
@@ -260,8 +279,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int
 class Chain:
     """Classifier chain with calibrated probabilities and beam search."""
 
-    def __init__(self, areas: list[str], sources: list[str]) -> None:
-        self.areas, self.sources = areas, sources
+    def __init__(self, areas: list[str]) -> None:
+        self.areas = areas
         # the default area comes last, when all others are decided
         self.order = [i for i, a in enumerate(areas) if a != DEFAULT] + [areas.index(DEFAULT)]
         self.models: list[np.ndarray] = []
@@ -274,7 +293,7 @@ class Chain:
             done = np.zeros((n, len(self.areas)))
             for b in self.order[:k]:
                 done[:, b] = labels[:, b]
-            x = matrix(docs, a, done, source, len(self.sources))
+            x = matrix(docs, a, done, source)
             y = labels[:, a].astype(float)
             w = fit_logistic(x[~held], y[~held])
             # Platt scaling on the held-out part
@@ -285,18 +304,22 @@ class Chain:
 
     def decode_all(self, docs: np.ndarray, source: np.ndarray) -> list[list[int]]:
         """The most probable combination of areas of each document."""
+        return [y for y, _ in self.decoded(docs, source)]
+
+    def decoded(self, docs: np.ndarray, source: np.ndarray) -> list[tuple[list[int], float]]:
+        """The most probable combination of areas of each document, with its probability."""
         areas = len(self.areas)
         none = self.areas.index(DEFAULT)
         if not len(docs) or not self.models:
-            return [[none] for _ in docs]
+            return [([none], 1.0) for _ in docs]
         # the part of each model's sum that earlier decisions don't touch, for all documents at once
         nothing = np.zeros((len(docs), areas))
-        base = [(matrix(docs, a, nothing, source, len(self.sources)) @ w).tolist() for w, a in zip(self.models, self.order, strict=True)]
+        base = [(matrix(docs, a, nothing, source) @ w).tolist() for w, a in zip(self.models, self.order, strict=True)]
         after = [w[-areas:].tolist() for w in self.models]
         silent = ~docs[:, :-1, :4].any(axis=(1, 2))
-        return [[none] if silent[n] else self._beam([b[n] for b in base], after) for n in range(len(docs))]
+        return [([none], 1.0) if silent[n] else self._beam([b[n] for b in base], after) for n in range(len(docs))]
 
-    def _beam(self, base: list[float], after: list[list[float]]) -> list[int]:
+    def _beam(self, base: list[float], after: list[list[float]]) -> tuple[list[int], float]:
         beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for k, a in enumerate(self.order):
             a1, a0 = self.scale[k]
@@ -309,8 +332,8 @@ class Chain:
                 if p > 0.001:
                     wider.append((logp + math.log(max(p, 1e-9)), (*y, a)))
             beam = sorted(wider, key=lambda t: -t[0])[:BEAM] if len(wider) > 1 else wider
-        best = next((y for _, y in beam if y), None)
-        return sorted(best) if best else [self.areas.index(DEFAULT)]
+        best = next(((sorted(y), math.exp(p)) for p, y in beam if y), None)
+        return best or ([self.areas.index(DEFAULT)], math.exp(beam[0][0]))
 
     def decode(self, f: np.ndarray, source: int) -> list[int]:
         return self.decode_all(f[None], np.array([source]))[0]
@@ -334,8 +357,9 @@ def term_counts(documents: DataFrame, terms: Terms) -> DataFrame:
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         n: Counter[tuple[str, str]] = Counter()
-        for text in cols["text"]:
-            told = [(words, terms.score(words)) for _, line in Commit(text).told() for words in sentences(line)]
+        for text, rare in zip(cols["text"], cols["rare"], strict=True):
+            known = terms.with_rare(rare)
+            told = [(words, known.score(words)) for _, line in Commit(text).told() for words in sentences(line)]
             votes = Counter(best for _, (best, k, m) in told if best >= 0 and m > 0.05 for _ in range(k))
             top = votes.most_common(1)
             whole = top[0][0] if top and top[0][1] >= 3 and top[0][1] >= 0.75 * votes.total() else -1
@@ -344,93 +368,147 @@ def term_counts(documents: DataFrame, terms: Terms) -> DataFrame:
                 for w in words - COMMON:
                     n[w, ""] += 1
                     # a word doesn't speak for itself: its sentence or document has to go to the area without it
-                    v = terms.get(w) if to >= 0 else None
+                    v = known.get(w) if to >= 0 else None
                     own = v is not None and any(i == to and x >= SHARE for i, x in v)
                     if to >= 0 and (not own or k >= 2 or to == whole and votes[to] >= 4):
                         n[w, areas[to]] += 1
         return {"word": [w for w, _ in n], "area": [a for _, a in n], "n": list(n.values())}
 
-    return map_batches(documents.select("text"), "word string, area string, n long", run).groupBy("word", "area").agg(F.sum("n").alias("n"))
+    return map_batches(attach(documents, terms).select("text", "rare"), "word string, area string, n long", run).groupBy("word", "area").agg(F.sum("n").alias("n"))
+
+
+RARE = "array<struct<word:string,weights:array<double>>>"
+
 
+def attach(documents: DataFrame, terms: Terms) -> DataFrame:
+    """The documents with the column ``rare``: those of their terms that aren't sent to the tasks, null if there are none."""
+    columns = ["doc_id", "text", "source"]
+    if terms.rare is None:
+        return documents.select(*columns, F.lit(None).cast(RARE).alias("rare"))
 
-def more_terms(counts: DataFrame, areas: list[str]) -> Terms:
-    """The words whose use falls mostly into few areas; at most ``TERMS`` of them, the most frequent ones."""
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"doc_id": [], "word": []}
+        for k, text in zip(cols["doc_id"], cols["text"], strict=True):
+            found = {w for _, line in Commit(text).told() for words in sentences(line) for w in words}
+            found |= {w[:-1] for w in found if w[-1] == "s" and len(w) > 3}
+            found = {w for w in found if w not in terms.weights and w not in COMMON}
+            out["doc_id"] += [k] * len(found)
+            out["word"] += found
+        return out
+
+    asked = map_batches(documents.select("doc_id", "text"), "doc_id long, word string", run).distinct()
+    # a document has at most its own words
+    own = asked.join(terms.rare.hint("merge"), "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "weights")).alias("rare"))
+    return documents.select(*columns).join(own.hint("merge"), "doc_id", "left")
+
+
+def more_terms(counts: DataFrame, areas: list[str], most: int | None = None) -> Terms:
+    """The words whose use falls mostly into few areas, the ``most`` most frequent ones (``TERMS``) apart from the rest."""
+    most = TERMS if most is None else most
     by_area = counts.where("area <> ''")
     sums = {r["area"]: r["n"] for r in by_area.groupBy("area").agg(F.sum("n").alias("n")).collect()}
     all_n = sum(sums.values()) or 1
-    prior = {a: (sums.get(a, 0) + 1) / (all_n + len(areas)) for a in areas}
-    rows = (
+    # the expected shares are those of the areas; a general word has about these
+    least = [max(SHARE, min(0.85, LIFT * (sums.get(a, 0) + 1) / (all_n + len(areas)))) for a in areas]
+    share = [F.coalesce(F.element_at("c", F.lit(a)), F.lit(0)) / F.col("n") for a in areas]
+    found = (
         by_area.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("area", "n"))).alias("c"), F.sum("n").alias("n"))
         .where((F.col("n") >= LEAST) & (F.length("word") > 2))
         .join(counts.where("area = ''").select("word", F.col("n").alias("all")), "word")
         .where("n >= 0.25 * all")
-        .where(F.array_max(F.map_values("c")) >= SHARE * F.col("n"))
-        .orderBy(F.desc("n"), "word").limit(TERMS).collect()
+        .select("word", "n", F.array(*[F.when(s >= x, s).otherwise(0.0) for s, x in zip(share, least, strict=True)]).alias("weights"))
+        .where(F.exists("weights", lambda x: x > 0))
     )
-    weights = {}
-    for r in rows:
-        x = [r["c"].get(a, 0) / r["n"] for a in areas]
-        # the expected shares are those of the areas; a general word has about these
-        keep = [s if s >= SHARE and s >= min(0.85, LIFT * prior[a]) else 0.0 for s, a in zip(x, areas, strict=True)]
-        if any(keep):
-            weights[r["word"]] = keep
-    return Terms(areas, weights)
+    found = stage(found, "terms")
+    rows = found.orderBy(F.desc("n"), "word").limit(most + 1).collect()
+    sent = rows[:most]
+    rest = None
+    if len(rows) > most:
+        last = (sent[-1]["n"], sent[-1]["word"]) if sent else (None, None)
+        rest = (found.where((F.col("n") < last[0]) | (F.col("n") == last[0]) & (F.col("word") > last[1])) if sent else found).select("word", "weights")
+    return Terms(areas, {r["word"]: r["weights"] for r in sent}, rest)
 
 
 def learn(spark: SparkSession, sf_dir: str) -> tuple[Terms, Chain]:
-    """Terms from all documents, and the chain trained on a bounded sample of them."""
-    samples = [(r["subject_area"], r["sample_text"]) for r in table(spark, sf_dir, "subject_samples").where("subject_area IS NOT NULL AND sample_text IS NOT NULL").collect()]
+    """Terms from all documents, and the chain trained on the snippets and a bounded sample of the documents."""
+    samples = [(r["subject_area"], r["sample_text"]) for r in table(spark, sf_dir, "subject_samples").where("subject_area IS NOT NULL AND sample_text IS NOT NULL").orderBy("sample_id").collect()]
     documents = table(spark, sf_dir, "documents")
     terms = first_terms(samples)
     for _ in range(2):
         terms = more_terms(stage(term_counts(documents, terms), "term-counts"), terms.areas)
     total = documents.count()
     part = min(1.0, SAMPLE / max(1, total))
-    chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).select("doc_id", "text", "source")
-    sources = sorted(r["source"] for r in table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy("source").count().orderBy(F.desc("count"), "source").limit(50).collect())
-    where = {s: i for i, s in enumerate(sources)}
+    chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": [], "source": [], "x": [], "y": []}
-        for k, t, s in zip(cols["doc_id"], cols["text"], cols["source"], strict=True):
-            f = features(t, terms)
-            y = plain_labels(f, terms.areas)
-            if y is not None:
-                for name, v in zip(out, (k, where.get(s, -1), f.ravel().tolist(), y.tolist()), strict=True):
-                    out[name].append(v)
-        return out
-
-    rows = map_batches(chosen, "doc_id long, source int, x array<double>, y array<boolean>", run).orderBy("doc_id").limit(SAMPLE).collect()
-    chain = Chain(terms.areas, sources)
-    given = composed(samples, terms)
-    docs = np.array([np.reshape(r["x"], (-1, FEATURES)) for r in rows] + [f for f, _ in given])
-    labels = np.array([r["y"] for r in rows] + [y.tolist() for _, y in given])
-    if len(docs):
-        chain.fit(docs, np.array([r["source"] for r in rows] + [-1] * len(given)), labels)
-    return terms, chain
+        rows = [features(t, terms.with_rare(r)).ravel().tolist() for t, r in zip(cols["text"], cols["rare"], strict=True)]
+        return {"doc_id": cols["doc_id"], "source": [source_feature(s) for s in cols["source"]], "x": rows}
+
+    rows = map_batches(attach(chosen, terms), "doc_id long, source int, x array<double>", run).orderBy("doc_id").limit(SAMPLE).collect()
+    # the snippets' own words are terms of their areas here too, whatever their use elsewhere
+    given = composed(samples, first_terms(samples).joined(terms))
+    docs = np.array([np.reshape(r["x"], (-1, FEATURES)) for r in rows]) if rows else np.zeros((0, len(terms.areas) + 1, FEATURES))
+    return terms, trained(terms.areas, docs, np.array([r["source"] for r in rows], dtype=np.int64), given)
+
+
+def trained(areas: list[str], docs: np.ndarray, source: np.ndarray, given: list[tuple[np.ndarray, np.ndarray]]) -> Chain:
+    """A chain trained on labelled rows, then on them and on the documents that it is sure of."""
+    first = Chain(areas)
+    if not given:
+        return first
+    x, y = np.array([f for f, _ in given]), np.array([y for _, y in given])
+    none = np.full(len(x), -1, dtype=np.int64)
+    first.fit(x, none, y)
+    sure = [(n, labels) for n, (labels, p) in enumerate(first.decoded(docs, source)) if p >= SURE]
+    more = np.zeros((len(sure), len(areas)), dtype=bool)
+    for k, (_, labels) in enumerate(sure):
+        more[k, labels] = True
+    at = [n for n, _ in sure]
+    chain = Chain(areas)
+    chain.fit(np.concatenate([x, docs[at]]), np.concatenate([none, source[at]]), np.concatenate([y, more]))
+    return chain
+
+
+def as_commit(message: list[str], changed: list[str]) -> str:
+    body = "\n\n".join(f"    {m}" for m in message)
+    return f"commit 0\nAuthor: a <a@x>\n\n{body}\n\ndiff --git a/x b/x\n@@ -1 +1 @@\n" + "\n".join(f"+{c}" for c in changed)
 
 
 def composed(samples: list[tuple[str, str]], terms: Terms) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The labelled snippets as training rows: each alone, and each beside one of another area, with both labels."""
+    """The labelled snippets as training rows: set into commits alone, beside one of another area (with both labels), and
+    beside a line with one borrowed word of another area (without its label)."""
     out = []
+    by_area: dict[int, list[str]] = defaultdict(list)
+    for w, v in terms.weights.items():
+        if len(v) == 1 and v[0][1] >= SHARE:
+            by_area[v[0][0]].append(w)
     for i, (a, t) in enumerate(samples):
-        for step in (0, 9, 17, 31):
+        subject, *rest = [x for x in _SENTENCE.split(t) if x] or [t]
+        texts = [(t, [a]), (as_commit([subject, *rest], ["value"]), [a]), (as_commit([subject], rest), [a]), (as_commit(["Update"], [subject, *rest]), [a])]
+        # each sentence alone is about the area too: as the subject line, below another one, and twice
+        for x in (subject, *rest):
+            texts += [(as_commit([x], ["value"]), [a]), (as_commit(["Update", x], ["value"]), [a]), (as_commit(["Update", x, x], ["value"]), [a])]
+        for step in (9, 17, 31):
             b, u = samples[(i + step) % len(samples)]
+            if a != b:
+                texts += [(f"{t}\n{u}", [a, b]), (as_commit([t, u], ["value"]), [a, b]), (as_commit([t], _SENTENCE.split(u)), [a, b])]
+                texts += [(as_commit([subject, x], ["value"]), [a, b]) for x in _SENTENCE.split(u) if x]
+                texts += [(as_commit([subject, *rest, x], ["value"]), [a, b]) for x in _SENTENCE.split(u) if x]
+                texts += [(as_commit([subject, *rest, x], [subject, *rest] * (1 + k)), [a, b]) for k, x in enumerate(x for x in _SENTENCE.split(u) if x)]
+                texts += [(as_commit([subject, *_SENTENCE.split(u)], rest * 4), [a, b]), (as_commit([subject, *rest], [subject, *rest, *_SENTENCE.split(u)]), [a, b])]
+                words = sorted(by_area[terms.areas.index(b)])
+                if words:
+                    borrowed = f"and then the {words[(7 * i + step) % len(words)]} of it"
+                    texts += [(as_commit([t], [*rest, borrowed]), [a]), (as_commit([t, borrowed], rest), [a])]
+        for text, labels in texts:
             y = np.zeros(len(terms.areas), dtype=bool)
-            y[terms.areas.index(a)] = True
-            text = t
-            if step:
-                if a == b:
-                    continue
-                y[terms.areas.index(b)] = True
-                text = f"{t}\n{u}"
+            y[[terms.areas.index(x) for x in labels]] = True
             out.append((features(text, terms), y))
     return out
 
 
 def labelled(documents: DataFrame, terms: Terms, chain: Chain) -> DataFrame:
     """(doc_id, source, subject_area) of every document and area."""
-    where = {s: i for i, s in enumerate(chain.sources)}
     remembered: dict[tuple, list[int]] = {}
 
     def run(cols: dict[str, list]) -> dict[str, list]:
@@ -438,11 +516,11 @@ def labelled(documents: DataFrame, terms: Terms, chain: Chain) -> DataFrame:
         if len(remembered) > 200_000:
             remembered.clear()
         # documents with the same features are decoded once
-        keys = [(features(t, terms), s) for t, s in zip(cols["text"], cols["source"], strict=True)]
+        keys = [(features(t, terms.with_rare(r)), source_feature(s)) for t, s, r in zip(cols["text"], cols["source"], cols["rare"], strict=True)]
         names = [(f.tobytes(), s) for f, s in keys]
         new = {n: f for n, (f, _) in zip(names, keys, strict=True) if n not in remembered}
         if new:
-            found = chain.decode_all(np.array(list(new.values())), np.array([where.get(s, -1) for _, s in new]))
+            found = chain.decode_all(np.array(list(new.values())), np.array([s for _, s in new]))
             remembered.update(zip(new, found, strict=True))
         for k, s, n in zip(cols["doc_id"], cols["source"], names, strict=True):
             for a in remembered[n]:
@@ -450,7 +528,7 @@ def labelled(documents: DataFrame, terms: Terms, chain: Chain) -> DataFrame:
                     out[name].append(v)
         return out
 
-    return map_batches(documents.select("doc_id", "text", "source"), "doc_id long, source string, subject_area string", run)
+    return map_batches(attach(documents, terms), "doc_id long, source string, subject_area string", run)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
