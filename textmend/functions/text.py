@@ -6,6 +6,7 @@ Null text gives null. Patterns use explicit character classes, which mean the sa
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,11 +33,17 @@ CONTRACTIONS = {
     "clock": ["o"],
     "am": ["ma"],
 }
-LEADING_WORDS = ["tisn't", "twasn't", "twould", "twere", "gainst", "twas", "tis"]
+# --- fixed values: words that lose the apostrophe at their head, in their order of use ---------------------------
+LEADING_WORDS = ["tis", "twas", "twere", "twould", "tisn't", "twasn't", "gainst"]
 # --- fixed values: sequences that show text read in a wrong encoding -------------------------------------------
 GARBLED = ["\u00e2\u20ac\u201c", "\u00e2\u20ac\u2122", "\u00e2\u20ac\u0153", "Ã©", "Ã¨", "Ã¯", "Ã´", "Ã¼", "Â\xa0", "ï»¿"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(c: Column) -> Column:
     """Number of words: runs of anything but white space."""
     return F.regexp_count(c, F.lit(WORD)).cast("long")
@@ -70,11 +77,16 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(pieces, lambda p: words(p)), lambda n: n > 0)
 
 
-def typography(c: Column) -> dict[str, Column]:
-    """The measures of one text by name."""
+def typography(c: Column) -> Column:
+    """The measures of one text as a struct. They are bound to one value, which keeps them out of a generated method too
+    long to be compiled."""
+    return let(F.struct(c.alias("t"), sentences(c).alias("lengths")), lambda v: F.struct(*[x.alias(n) for n, x in measures(v["t"], v["lengths"]).items()]))
+
+
+def measures(c: Column, lengths: Column) -> dict[str, Column]:
+    """The measures of one text by name, given the words of its sentences."""
     double_straight, double_curly = occurrences(c, '"'), occurrences(c, "“") + occurrences(c, "”")
     single_straight, single_curly = occurrences(c, "'"), occurrences(c, "‘") + occurrences(c, "’")
-    lengths = sentences(c)
     return {
         "words": words(c),
         "straight_double_quotes": double_straight,
@@ -98,7 +110,7 @@ def typography(c: Column) -> dict[str, Column]:
         "bom": F.contains(c, F.lit("\ufeff")),
         "control_chars": matches(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]"),
         "garbled": total([occurrences(c, m) for m in GARBLED]),
-        "all_caps_runs": matches(c, rf"{EDGE_L}[A-Z]{{2,}}(?:[{WS}]+[A-Z]{{2,}}){{2,}}{EDGE_R}"),
+        "all_caps_runs": matches(c, rf"[A-Z](?<![\p{{L}}\p{{N}}_][A-Z])[A-Z]+(?:[{WS}]+[A-Z]{{2,}}){{2,}}{EDGE_R}"),
         "repeated_punctuation": matches(c, r"!{2,}|\?{2,}|\.{4,}"),
         "sentences": F.size(lengths).cast("long"),
         "sentence_words": F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n),
@@ -125,12 +137,15 @@ def contractions(c: Column, apostrophe: str = "'") -> Column:
     """Apostrophes put back into split contractions and before archaic short forms; upper and lower case kept."""
     # few texts hold a lone fragment; one look for any of them spares the rest the whole chain
     lone = rf"(?i)[a-z] (?:t|ll|ve|re|d|m|s){EDGE_R}|y all{EDGE_R}|o clock{EDGE_R}|ma am{EDGE_R}"
-    out = c
-    for fragment, heads in CONTRACTIONS.items():
-        out = sub(out, rf"(?i){EDGE_L}({'|'.join(heads)}) (?={fragment}{EDGE_R}(?!/))", f"$1{apostrophe}")
-    out = F.when(c.rlike(lone), out).otherwise(c)
-    short = sub(out, rf"(?i)(?<![‘’']){EDGE_L}({'|'.join(LEADING_WORDS)}){EDGE_R}", f"{apostrophe}$1")
-    return F.when(out.rlike("(?i)t(?:is|was|were|would)|gainst"), short).otherwise(out)
+
+    def chain(t: Column) -> Column:
+        for fragment, heads in CONTRACTIONS.items():
+            t = sub(t, rf"(?i){EDGE_L}({'|'.join(heads)}) (?={fragment}{EDGE_R}(?!/))", f"$1{apostrophe}")
+        return t
+
+    short = sorted(LEADING_WORDS, key=len, reverse=True)
+    done = let(c, lambda t: F.when(t.rlike(lone), chain(t)).otherwise(t))
+    return let(done, lambda t: F.when(t.rlike("(?i)t(?:is|was|were|would)|gainst"), sub(t, rf"(?i)(?<![‘’']){EDGE_L}({'|'.join(short)}){EDGE_R}", f"{apostrophe}$1")).otherwise(t))
 
 
 def bare_s(c: Column) -> Column:
@@ -146,46 +161,48 @@ RULES = ("leading", "trailing", "repeated", "tabs", "before_punctuation", "missi
 
 def missing_spaces(c: Column) -> Column:
     """A blank after . ! ? before a capitalised word, and after , ; : between letters."""
-    out = sub(c, rf"(?:(?<![A-Za-z])|\G)(?!(?i:{'|'.join(ABBREVIATIONS)})\.)([A-Za-z]{{2,}})([.!?])([A-Z][a-z])", "$1$2 $3")
-    for sign in ",;:":
-        out = sub(out, f"([A-Za-z]){sign}([A-Za-z])", f"$1{sign} $2")
-    return F.when(c.rlike("[A-Za-z][.!?,;:][A-Za-z]"), out).otherwise(c)
 
+    def chain(t: Column) -> Column:
+        t = sub(t, rf"(?:(?<![A-Za-z])|\G)(?!(?i:{'|'.join(ABBREVIATIONS)})\.)([A-Za-z]{{2,}})([.!?])([A-Z][a-z])", "$1$2 $3")
+        for sign in ",;:":
+            t = sub(t, f"([A-Za-z]){sign}([A-Za-z])", f"$1{sign} $2")
+        return t
+
+    return let(c, lambda t: F.when(t.rlike("[A-Za-z][.!?,;:][A-Za-z]"), chain(t)).otherwise(t))
 
-def whitespace(c: Column, leading_glue: Column, trailing_glue: Column, rules: tuple[str, ...] = RULES) -> dict[str, Column]:
-    """Steps of the white-space rules: the text after each one and whether it applied. An inline neighbour on a side
+
+def whitespace(c: Column, leading_glue: Column, trailing_glue: Column, rules: tuple[str, ...] = RULES) -> Column:
+    """The white-space rules as a struct: whether each one applied, and the text after them. An inline neighbour on a side
     keeps one blank there. Without 'tabs' a tab is no white space for any rule."""
     ws = r"[ \t\r\n]" if "tabs" in rules else r"[ \r\n]"
-    out: dict[str, Column] = {}
-    t = c
-    if "tabs" in rules:
-        out["tabs"] = F.contains(c, F.lit("\t"))
-        t = F.replace(t, F.lit("\t"), F.lit(" "))
-    if "leading" in rules:
-        out["leading"] = t.rlike(f"^{ws}+")
-        t = F.when(out["leading"], F.concat(F.when(leading_glue, " ").otherwise(""), sub(t, f"^{ws}+", ""))).otherwise(t)
-    if "trailing" in rules:
-        out["trailing"] = t.rlike(rf"{ws}+\z")
-        t = F.when(out["trailing"], F.concat(sub(t, rf"{ws}+\z", ""), F.when(trailing_glue, " ").otherwise(""))).otherwise(t)
-    for rule, pattern, to in (("repeated", f"{ws}{{2,}}", " "), ("before_punctuation", r"[ \t]+([,.;:!?…])", "$1")):
-        if rule in rules:
-            new = sub(t, pattern, to)
-            out[rule] = new != t
-            t = new
-    if "missing" in rules:
-        new = missing_spaces(t)
-        out["missing"] = new != t
-        t = new
-    out["text"] = t
-    return out
+    blank = lambda glue: F.when(glue, " ").otherwise("")
+    changed = lambda s: s["a"] != s["b"]
+    steps = {
+        "tabs": (lambda t: F.replace(t, F.lit("\t"), F.lit(" ")), changed),
+        "leading": (lambda t: F.regexp_replace(t, F.lit(f"^{ws}+"), blank(leading_glue)), lambda s: s["a"].rlike(f"^{ws}")),
+        "trailing": (lambda t: F.regexp_replace(t, F.lit(rf"{ws}+\z"), blank(trailing_glue)), lambda s: s["a"].rlike(rf"{ws}\z")),
+        "repeated": (lambda t: sub(t, f"{ws}{{2,}}", " "), changed),
+        "before_punctuation": (lambda t: sub(t, r"[ \t]+([,.;:!?…])", "$1"), changed),
+        "missing": (missing_spaces, changed),
+    }
+    order = [r for r in ("tabs", *RULES) if r in rules]
+    order = list(dict.fromkeys(order))
 
+    def go(t: Column, left: list[str], flags: list[Column]) -> Column:
+        if not left:
+            return F.struct(*flags, t.alias("text"))
+        make, applied = steps[left[0]]
+        return let(F.struct(t.alias("a"), make(t).alias("b")), lambda s: go(s["b"], left[1:], [*flags, applied(s).alias(left[0])]))
 
-def whitespace_category(steps: dict[str, Column]) -> Column:
+    return go(c, order, [])
+
+
+def whitespace_category(steps: Column, rules: tuple[str, ...] = RULES) -> Column:
     """One label for a text, by precedence."""
     order = (("tabs", "tab converted"), ("missing", "missing space"), ("before_punctuation", "space before punctuation"), ("leading", "leading indent"), ("trailing", "trailing space"), ("repeated", "repeated space"))
     out = F.lit(None).cast("string")
     for rule, label in reversed(order):
-        if rule in steps:
+        if rule in rules:
             out = F.when(steps[rule], label).otherwise(out)
     return out
 

@@ -8,24 +8,35 @@ function over the few numbers of a candidate, one group for each book and style.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmend.functions import markers as M
-from textmend.operators.views import lines, pages
+from textmend.operators.views import pages
+
+
+#: A cheap look at the first characters spares most lines the classification.
+LIKELY = rf"(?i)^(?:[-–—]?\s*\d|[ivxlcdm]+\z|(?:{'|'.join(M.CHAPTER_LABELS + M.PART_LABELS)})\b|(?:{'|'.join(M.VALUES)})\b)"
+
+
+def likely(text: Column) -> Column:
+    """A text short enough for a marker that begins like one."""
+    return (text != "") & (F.length(text) <= M.MOST_CHARS) & text.rlike(LIKELY) & (F.regexp_count(text, F.lit(r"\S+")) <= M.MOST_WORDS)
+
+
+def marked(texts: DataFrame, compat: bool = False) -> DataFrame:
+    """Marker candidates among short texts with ``text``, ``heading`` and ``hint``: their other columns, the marker's and a score."""
+    found = texts.withColumn("marker", M.classify(F.col("text"), compat)).where("marker IS NOT NULL")
+    return found.withColumn("score", M.score(F.col("marker"), F.col("text"), F.col("heading"), F.col("hint"))).select(*[c for c in texts.columns if c not in ("heading", "hint")], "marker.*", "score")
 
 
 def candidates(spark: SparkSession, sf_dir: str, compat: bool = False) -> DataFrame:
     """(book_id, page_no, chapter_id, href, line_no, text, style, number, label, kind, score) of all marker candidates."""
-    all_lines = lines(pages(spark, sf_dir), "document", "book_id", "page_no", "chapter_id", "href")
-    text = M.trim(F.col("line"))
-    short = all_lines.withColumn("text", text).where((F.col("text") != "") & (F.length("text") <= M.MOST_CHARS) & (F.regexp_count("text", F.lit(r"\S+")) <= M.MOST_WORDS))
-    # most lines are no markers: a cheap look at the first characters spares them the classification
-    likely = short.where(F.col("text").rlike(rf"(?i)^(?:[-–—]?\s*\d|[ivxlcdm]+\z|(?:{'|'.join(M.CHAPTER_LABELS + M.PART_LABELS)})\b|(?:{'|'.join(M.VALUES)})\b)"))
-    marked = likely.withColumn("marker", M.classify(F.col("text"), compat)).where("marker IS NOT NULL")
+    numbered = F.transform(F.split("document", "\n"), lambda x, i: F.struct(i.alias("line_no"), M.trim(x).alias("text")))
+    rows = pages(spark, sf_dir).select("book_id", "page_no", "chapter_id", "href", F.filter(numbered, lambda x: likely(x["text"])).alias("found")).where("size(found) > 0").dropDuplicates(["chapter_id"])
     first = F.col("line_no") == 0
-    scored = marked.withColumn("score", M.score(F.col("marker"), F.col("text"), first, F.coalesce(F.col("marker.label"), F.lit(False)) & first))
-    return scored.select("book_id", "page_no", "chapter_id", "href", "line_no", "text", "marker.*", "score").distinct()
+    label = F.lower(F.regexp_extract("text", r"^[:.]*([^\s:.]+)", 1)).isin(M.CHAPTER_LABELS + M.PART_LABELS)
+    return marked(rows.select("book_id", "page_no", "chapter_id", "href", F.inline("found")).withColumn("heading", first).withColumn("hint", first & label), compat)
 
 
 def marker_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,61 +44,65 @@ def marker_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("chapter_id", F.col("line_no").cast("long").alias("line_no"), "text", "style", F.col("number").cast("long").alias("number"), "label", "kind", "score")
 
 
-def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ordered(found: DataFrame) -> DataFrame:
     """Candidates in reading order: pages without a number come last."""
-    return candidates(spark, sf_dir).withColumn("place", F.struct(F.coalesce("page_no", F.lit(2**31 - 1)).alias("p"), F.col("chapter_id").alias("c"), F.col("line_no").alias("l")))
+    return found.withColumn("place", F.struct(F.coalesce("page_no", F.lit(2**31 - 1)).alias("p"), F.col("chapter_id").alias("c"), F.col("line_no").alias("l")))
 
 
-def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merged(found: DataFrame) -> DataFrame:
     """Runs of equal markers of one style folded into their first one, with their number and the other pages."""
     same = F.lower(F.regexp_replace("text", r"\s+", " "))
     by_style = Window.partitionBy("book_id", "style").orderBy("place")
-    new = ordered(spark, sf_dir).withColumn("key", F.struct(same.alias("t"), "number")).withColumn("new", (~F.lag("key").over(by_style).eqNullSafe(F.col("key"))).cast("long"))
+    new = ordered(found).withColumn("key", F.struct(same.alias("t"), "number")).withColumn("new", (~F.lag("key").over(by_style).eqNullSafe(F.col("key"))).cast("long"))
     runs = new.withColumn("run", F.sum("new").over(by_style))
     out = runs.groupBy("book_id", "style", "run").agg(F.min(F.struct("place", "text", "number", "label", "kind", "score", "href")).alias("first"), F.count("*").alias("occurrences"), F.collect_set("href").alias("hrefs"))
     return out.select("book_id", "style", "first.*", "occurrences", (F.size(F.array_remove("hrefs", F.col("first.href")))).cast("long").alias("other_pages"))
 
 
 def marker_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merged(spark, sf_dir).select("book_id", "style", F.col("place.c").alias("chapter_id"), F.col("place.l").cast("long").alias("line_no"), F.col("number").cast("long").alias("number"), "occurrences", "other_pages")
+    return merged(candidates(spark, sf_dir)).select("book_id", "style", F.col("place.c").alias("chapter_id"), F.col("place.l").cast("long").alias("line_no"), F.col("number").cast("long").alias("number"), "occurrences", "other_pages")
 
 
-def with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_parts(found: DataFrame) -> DataFrame:
     """Chapter candidates with the number of part markers before them: markers and candidates on one line, summed up."""
     frame = Window.partitionBy("book_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    stamped = merged(spark, sf_dir).withColumn("part", F.sum((F.col("kind") == "part").cast("long")).over(frame))
+    stamped = merged(found).withColumn("part", F.sum((F.col("kind") == "part").cast("long")).over(frame))
     return stamped.withColumn("part", F.coalesce("part", F.lit(0))).where("kind IS NULL OR kind <> 'part'")
 
 
 def part_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_parts(spark, sf_dir).select("book_id", F.col("place.c").alias("chapter_id"), F.col("place.l").cast("long").alias("line_no"), "part")
+    return with_parts(candidates(spark, sf_dir)).select("book_id", F.col("place.c").alias("chapter_id"), F.col("place.l").cast("long").alias("line_no"), "part")
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sequences(found: DataFrame) -> DataFrame:
     """(book_id, style, score, length, members, rank): the best run of each style of a book, at least three long, ranked by
-    score; of equal ones the style seen first."""
-    rows = with_parts(spark, sf_dir).select("book_id", "style", F.col("place.p").alias("p"), F.col("place.c").alias("c"), F.col("place.l").alias("l"), "number", "score", "part")
+    score; of equal ones the style seen first. A member is (page place, page, line)."""
+    key = dict(found.dtypes)
+    rows = with_parts(found).select("book_id", "style", F.col("place.p").alias("p"), F.col("place.c").alias("c"), F.col("place.l").alias("l"), "number", "score", "part")
+    schema = f"book_id {key['book_id']}, style string, score double, length long, first_p long, first_l long, members array<struct<p:long,c:{key['chapter_id']},l:int>>"
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["p", "c", "l"])
         score, length, members = M.best_run(list(zip(range(len(g)), g["number"], g["score"], g["part"], strict=True)))
         first = g.iloc[0]
-        return pd.DataFrame({"book_id": [first["book_id"]], "style": [first["style"]], "score": [score], "length": [length], "first_p": [first["p"]], "first_l": [first["l"]], "members": [g["c"].iloc[members].tolist()]})
+        chosen = g.iloc[members]
+        return pd.DataFrame({"book_id": [first["book_id"]], "style": [first["style"]], "score": [score], "length": [length], "first_p": [first["p"]], "first_l": [first["l"]], "members": [[{"p": int(p), "c": c, "l": int(l)} for p, c, l in zip(chosen["p"], chosen["c"].tolist(), chosen["l"], strict=True)]]})
 
-    found = rows.groupBy("book_id", "style").applyInPandas(run, "book_id long, style string, score double, length long, first_p long, first_l long, members array<long>").where(f"length >= {M.LEAST_RUN}")
+    best = rows.groupBy("book_id", "style").applyInPandas(run, schema).where(f"length >= {M.LEAST_RUN}")
     rank = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("score"), "first_p", "first_l"))
-    return found.withColumn("rank", rank.cast("long"))
+    return best.withColumn("rank", rank.cast("long"))
 
 
 def chapter_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The winning and the other runs of each book."""
-    return sequences(spark, sf_dir).select("book_id", "style", "score", "length", "rank", F.array_min("members").alias("first_chapter"), F.array_max("members").alias("last_chapter"))
+    pages_of = F.transform("members", lambda m: m["c"])
+    return sequences(candidates(spark, sf_dir)).select("book_id", "style", "score", "length", "rank", F.array_min(pages_of).alias("first_chapter"), F.array_max(pages_of).alias("last_chapter"))
 
 
 def sequence_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By how much the winning run leads; null without a runner-up."""
     lead = F.col("score") - F.lead("score").over(Window.partitionBy("book_id").orderBy("rank"))
-    return sequences(spark, sf_dir).withColumn("margin", lead).where("rank = 1").select("book_id", "style", "length", "score", "margin")
+    return sequences(candidates(spark, sf_dir)).withColumn("margin", lead).where("rank = 1").select("book_id", "style", "length", "score", "margin")
 
 
 # --- the same in SQL ----------------------------------------------------------------------------------------

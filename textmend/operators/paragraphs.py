@@ -7,14 +7,15 @@ which keeps its first character and can only gain words.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmend.functions import text as T
-from textmend.operators.views import WORN_SQL, lines, worn_pages
+from textmend.operators.views import WORN_SQL, worn_pages
 
 # --- fixed values: what converters leave behind ------------------------------------------------------------
-JUNK = r"(?i)generated by abc amber lit converter|processtext\.com|abbyy\.com|^\s*page\s*[:.-]?\s*\d+\s*$"
+JUNK = r"(?i)generated by abc amber lit converter|processtext\.com|^\s*page\s*[:.-]?\s*\d+\s*$"
+JUNK_LINKS = r"(?i)https?://(?:www\.)?abbyy\.com(?:/|$)"
 LEAST_WORDS = 4
 _END = "[.!?\"')”’]"
 
@@ -28,57 +29,77 @@ def mid_sentence(first: Column, second: Column) -> Column:
     return (T.words(first) >= LEAST_WORDS) & (T.words(second) >= LEAST_WORDS) & ~first.rlike(rf"{_END}\z") & second.rlike(r"^\p{Ll}")
 
 
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^[{T.WS}]+|[{T.WS}]+\z", "")
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chapter_id, book_id, line_no, text) of all lines, trimmed; repeated rows count once."""
-    trimmed = F.regexp_replace("line", rf"^[{T.WS}]+|[{T.WS}]+\z", "")
-    return lines(worn_pages(spark, sf_dir), "t", "chapter_id", "book_id").select("chapter_id", "book_id", F.col("line_no").cast("long").alias("line_no"), trimmed.alias("text")).distinct()
+    """(chapter_id, book_id, p): each page with its paragraphs (line_no, text, words), in order; repeated rows repeat it."""
+    lines = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.cast("long").alias("line_no"), trimmed(x).alias("text")))
+    return worn_pages(spark, sf_dir).select("chapter_id", "book_id", lines.alias("p"))
+
+
+def meaningful(p: Column) -> Column:
+    return F.filter(p, lambda x: (x["text"] != "") & ~is_junk(x["text"]))
+
 
+def once(df: DataFrame) -> DataFrame:
+    return df.dropDuplicates(["chapter_id"])
 
-def meaningful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(spark, sf_dir).where((F.col("text") != "") & ~is_junk(F.col("text")))
+
+def size(a: Column) -> Column:
+    return F.size(a).cast("long")
 
 
 def empty_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(spark, sf_dir).where("text = ''").groupBy("chapter_id").agg(F.count("*").alias("empty"))
+    return once(paragraphs(spark, sf_dir).select("chapter_id", size(F.filter("p", lambda x: x["text"] == "")).alias("empty")).where("empty > 0"))
 
 
 def junk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(spark, sf_dir).where(is_junk(F.col("text"))).select("chapter_id", "line_no", T.preview(F.col("text")).alias("preview"))
+    found = F.transform(F.filter("p", lambda x: is_junk(x["text"])), lambda x: F.struct(x["line_no"].alias("line_no"), T.preview(x["text"]).alias("preview")))
+    return once(paragraphs(spark, sf_dir).select("chapter_id", found.alias("found")).where("size(found) > 0")).select("chapter_id", F.inline("found"))
+
+
+def splits(kept: Column) -> Column:
+    """For each paragraph but the last whether the next one goes on with its sentence. The second half of a pair may itself be
+    merged with what follows; it then has enough words as it stands, so the test of the two alone is the same."""
+    return F.zip_with(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), lambda a, b: mid_sentence(a["text"], b["text"]))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nxt = Window.partitionBy("chapter_id").orderBy("line_no")
-    p = meaningful(spark, sf_dir).withColumn("next_text", F.lead("text").over(nxt)).withColumn("next_line", F.lead("line_no").over(nxt))
-    return p.withColumn("split", F.coalesce(mid_sentence(F.col("text"), F.col("next_text")), F.lit(False)))
+def _paired(body) -> Column:
+    """``body`` (kept paragraphs, splits) of a page; both are computed once."""
+    return T.let(meaningful(F.col("p")), lambda kept: T.let(splits(kept), lambda split: body(kept, split)))
 
 
 def paragraph_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of neighbouring paragraphs that are one."""
-    return _pairs(spark, sf_dir).where("split").select("chapter_id", "line_no", "next_line")
+    numbered = lambda kept, split: F.filter(F.transform(split, lambda x, i: F.struct(x.alias("split"), F.get(kept, i)["line_no"].alias("line_no"), F.get(kept, i + 1)["line_no"].alias("next_line"))), lambda x: x["split"])
+    return once(paragraphs(spark, sf_dir).select("chapter_id", _paired(numbered).alias("found")).where("size(found) > 0")).select("chapter_id", F.inline("found")).drop("split")
 
 
-def paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs after merging: first line, how many lines it takes, and the text's digest. The fold goes from the
-    last line to the first, as the second of a pair is tested as merged so far."""
-    ordered = meaningful(spark, sf_dir).groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("p"))
-    start = F.array().cast("array<struct<line_no:bigint,text:string,n:bigint>>")
+def joined(kept: Column, split: Column) -> Column:
+    """Paragraphs after merging (line_no, merged, text): a chain of splits is one paragraph, from where none comes before to
+    where none follows."""
+    split_at = lambda i: F.coalesce(F.get(split, i), F.lit(False))
+    first = F.filter(F.transform(kept, lambda x, i: F.when((i > 0) & split_at(i - 1), -1).otherwise(i)), lambda i: i >= 0)
+    last = F.filter(F.transform(kept, lambda x, i: F.when(split_at(i), -1).otherwise(i)), lambda i: i >= 0)
+    text = lambda a, z: F.array_join(F.transform(F.slice(kept, a + 1, z - a + 1), lambda x: x["text"]), " ")
+    return F.zip_with(first, last, lambda a, z: F.struct(F.get(kept, a)["line_no"].alias("line_no"), (z - a + 1).cast("long").alias("merged"), text(a, z).alias("text")))
 
-    def step(done: Column, x: Column) -> Column:
-        head = F.try_element_at(done, F.lit(1))
-        joined = F.struct(x["line_no"].alias("line_no"), F.concat_ws(" ", x["text"], head["text"]).alias("text"), (head["n"] + 1).alias("n"))
-        alone = F.struct(x["line_no"].alias("line_no"), x["text"].alias("text"), F.lit(1).cast("bigint").alias("n"))
-        rest = F.slice(done, 2, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when((F.size(done) > 0) & mid_sentence(x["text"], head["text"]), F.concat(F.array(joined), rest)).otherwise(F.concat(F.array(alone), done))
 
-    folded = ordered.select("chapter_id", F.explode(F.aggregate(F.reverse("p"), start, step)).alias("m"))
-    return folded.select("chapter_id", "m.line_no", F.col("m.n").alias("merged"), F.md5("m.text").alias("digest"))
+def paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs after merging: first line, how many lines it takes, and the text's digest."""
+    reduced = lambda kept, split: F.transform(joined(kept, split), lambda m: F.struct(m["line_no"].alias("line_no"), m["merged"].alias("merged"), F.md5(m["text"]).alias("digest")))
+    return once(paragraphs(spark, sf_dir).select("chapter_id", _paired(reduced).alias("m")).where("size(m) > 0")).select("chapter_id", F.inline("m"))
 
 
 def paragraph_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of each book."""
-    p = paragraphs(spark, sf_dir).groupBy("book_id").agg(F.count_if(F.col("text") == "").alias("empty"), F.count_if(is_junk(F.col("text"))).alias("junk"), F.count_if((F.col("text") != "") & ~is_junk(F.col("text"))).alias("meaningful"))
-    s = _pairs(spark, sf_dir).groupBy("book_id").agg(F.count_if("split").alias("splits"), F.countDistinct(F.when(F.col("split"), F.col("chapter_id"))).alias("pages_with_splits"))
-    return p.join(s, "book_id", "left").na.fill(0)
+    counts = lambda kept, split: F.struct(size(kept).alias("meaningful"), size(F.filter(split, lambda x: x)).alias("splits"))
+    p = once(paragraphs(spark, sf_dir).select(
+        "chapter_id", "book_id", size(F.filter("p", lambda x: x["text"] == "")).alias("empty"), size(F.filter("p", lambda x: is_junk(x["text"]))).alias("junk"), _paired(counts).alias("k")
+    )).select("book_id", "empty", "junk", "k.*")
+    return p.groupBy("book_id").agg(*[F.sum(c).alias(c) for c in ("empty", "junk", "meaningful", "splits")], F.count_if(F.col("splits") > 0).alias("pages_with_splits"))
 
 
 _TRIM = f"regexp_replace(regexp_replace(line, '^[{T.WS}]+', ''), '[{T.WS}]+$', '')"

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmend.functions import text as T
-from textmend.operators.views import WORN_SQL, lines, worn_pages
+from textmend.operators.views import WORN_SQL, worn_pages
+from textmend.plans.runtime import table
 
 
 @dataclass(frozen=True)
@@ -31,26 +32,24 @@ class RepairOptions:
 
 def repaired(t: Column, leading_glue: Column, trailing_glue: Column, options: RepairOptions = RepairOptions()) -> Column:
     """Ellipses, then apostrophes, then white space; blank texts become one blank."""
-    out = t
-    if options.ellipses:
-        out = T.ellipses(out, options.ellipsis)
-    if options.apostrophes:
-        out = T.contractions(out, options.apostrophe)
-    if options.whitespace:
-        spaced = F.when(out.rlike(rf"^[{T.WS}]+\z"), F.lit(" ")).otherwise(T.whitespace(out, leading_glue, trailing_glue, options.whitespace)["text"])
-        out = F.when(out == t, spaced).otherwise(out) if options.once else spaced
-    return out
 
+    def rest(out: Column) -> Column:
+        if not options.whitespace:
+            return out
+        spaced = F.when(out.rlike(rf"^[{T.WS}]+\z"), F.lit(" ")).otherwise(T.whitespace(out, leading_glue, trailing_glue, options.whitespace)["text"])
+        return F.when(out == t, spaced).otherwise(out) if options.once else spaced
 
-RULE_COLUMNS = {"leading": "leading_indent", "trailing": "trailing_space"}
+    out = T.ellipses(t, options.ellipsis) if options.ellipses else t
+    out = T.contractions(out, options.apostrophe) if options.apostrophes else out
+    return T.let(out, rest)
 
 
-def _glue() -> tuple[Column, Column]:
-    return F.col("line_no") % 3 == 1, F.col("line_no") % 3 == 2
+RULE_COLUMNS = {"leading": "leading_indent", "trailing": "trailing_space"}
 
 
-def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(worn_pages(spark, sf_dir), "t", "chapter_id", "href")
+def _slots(fix) -> Column:
+    """``fix`` (line, inline neighbour before, after) over the lines of a page: a repair is local to its page."""
+    return F.transform(F.split("t", "\n"), lambda x, i: fix(x, i % 3 == 1, i % 3 == 2))
 
 
 def ellipsis_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,30 +88,56 @@ def possessive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whitespace_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots that the white-space rules change: the main category and which rules applied."""
-    s = T.whitespace(F.col("line"), *_glue())
-    out = _slots(spark, sf_dir).where("line <> ''").select("chapter_id", "line_no", "line", *[s[r].alias(RULE_COLUMNS.get(r, r)) for r in (*T.RULES, "text")], T.whitespace_category(s).alias("category"))
-    return out.where("text <> line").select("chapter_id", F.col("line_no").cast("long").alias("line_no"), *[RULE_COLUMNS.get(r, r) for r in T.RULES], "category").distinct()
+    steps = _slots(lambda x, before, after: T.let(T.whitespace(x, before, after), lambda s: F.struct((s["text"] != x).alias("changed"), *[s[r].alias(r) for r in T.RULES], T.whitespace_category(s).alias("category"))))
+    numbered = F.filter(F.transform(steps, lambda s, i: F.struct(i.cast("long").alias("line_no"), s.alias("s"))), lambda x: x["s"]["changed"])
+    rows = worn_pages(spark, sf_dir).select("chapter_id", numbered.alias("found")).where("size(found) > 0").dropDuplicates(["chapter_id"])
+    return rows.select("chapter_id", F.inline("found")).select("chapter_id", "line_no", *[F.col(f"s.{r}").alias(RULE_COLUMNS.get(r, r)) for r in T.RULES], "s.category")
 
 
 def whitespace_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of the white-space issues by rule."""
+    """Totals of the white-space issues by category."""
     return whitespace_issues(spark, sf_dir).groupBy("category").agg(F.count("*").alias("slots"), F.countDistinct("chapter_id").alias("pages"))
 
 
-def _whole(slots: DataFrame, after: Column) -> DataFrame:
-    """Pages put together again from their repaired slots, with the number of slots changed."""
-    done = slots.withColumn("after", after)
-    # repeated rows repeat the slots of a page
-    once = done.groupBy("chapter_id", "line_no").agg(F.min("after").alias("after"), F.min("line").alias("line"))
-    return once.groupBy("chapter_id").agg(
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "after"))), lambda x: x["after"]), "\n")).alias("digest"),
-        F.sum((F.col("after") != F.col("line")).cast("long")).alias("changed"),
-    )
+def _of_books(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    return found.join(table(spark, sf_dir, "chapters").select("chapter_id", "book_id").distinct(), "chapter_id")
+
+
+def whitespace_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each book how often each white-space rule applied, and the pages with issues."""
+    names = [RULE_COLUMNS.get(r, r) for r in T.RULES]
+    return _of_books(spark, sf_dir, whitespace_issues(spark, sf_dir)).groupBy("book_id").agg(*[F.count_if(n).alias(n) for n in names], F.count("*").alias("slots"), F.countDistinct("chapter_id").alias("pages"))
+
+
+def ellipsis_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ellipses of each book by form, and the pages that have them."""
+    return _of_books(spark, sf_dir, ellipsis_issues(spark, sf_dir)).groupBy("book_id").agg(F.sum("ascii").alias("ascii"), F.sum("spaced").alias("spaced"), (F.sum("ascii") + F.sum("spaced")).alias("issues"), F.countDistinct("chapter_id").alias("pages"))
+
+
+def apostrophe_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lost apostrophes and possible possessives of each book, and the pages that have them."""
+    c = _of_books(spark, sf_dir, contraction_issues(spark, sf_dir)).groupBy("book_id").agg(F.sum("n").alias("lost"), F.countDistinct("chapter_id").alias("lost_pages"))
+    p = _of_books(spark, sf_dir, possessive_candidates(spark, sf_dir)).groupBy("book_id").agg(F.count("*").alias("possible"), F.countDistinct("chapter_id").alias("possible_pages"))
+    return c.join(p, "book_id", "full").na.fill(0)
+
+
+def possessive_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each possible possessive with the 25 signs before and after it on its line."""
+    found = F.regexp_extract_all("t", F.lit(rf"[^\n]{{0,25}}?{T.EDGE_L}[A-Za-z0-9]{{2,}} [sS]{T.EDGE_R}(?![./,;:\-–—])[^\n]{{0,25}}"), F.lit(0))
+    rows = worn_pages(spark, sf_dir).where(F.contains(F.lower("t"), F.lit(" s"))).select("chapter_id", found.alias("found")).where("size(found) > 0").dropDuplicates(["chapter_id"])
+    return rows.select("chapter_id", F.posexplode("found").alias("n", "snippet")).select("chapter_id", F.col("n").cast("long").alias("n"), "snippet")
+
+
+def _whole(spark: SparkSession, sf_dir: str, fix) -> DataFrame:
+    """Pages with their slots repaired: digest and the number of slots changed. No text leaves its row."""
+    rows = worn_pages(spark, sf_dir).select("chapter_id", F.split("t", "\n").alias("lines"), _slots(fix).alias("after"))
+    changed = F.size(F.filter(F.zip_with("lines", "after", lambda a, b: a != b), lambda x: x)).cast("long")
+    return rows.select("chapter_id", F.md5(F.array_join("after", "\n")).alias("digest"), changed.alias("changed")).dropDuplicates(["chapter_id"])
 
 
 def whitespace_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages after the white-space repair."""
-    return _whole(_slots(spark, sf_dir), T.whitespace(F.col("line"), *_glue())["text"])
+    return _whole(spark, sf_dir, lambda x, before, after: T.whitespace(x, before, after)["text"])
 
 
 def missing_space_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +148,7 @@ def missing_space_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_repair_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages after all text repairs, composed in their order."""
-    return _whole(_slots(spark, sf_dir), repaired(F.col("line"), *_glue()))
+    return _whole(spark, sf_dir, repaired)
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +244,7 @@ done AS (SELECT chapter_id, line_no, original AS line, CASE WHEN regexp_matches(
 
 QUERIES = {
     "ellipsis_issues": ellipsis_issues, "ellipsis_fixed": ellipsis_fixed, "contraction_issues": contraction_issues, "contraction_fixed": contraction_fixed, "possessive_candidates": possessive_candidates, "whitespace_issues": whitespace_issues,
-    "whitespace_book": whitespace_book, "whitespace_fixed": whitespace_fixed, "missing_space_fixed": missing_space_fixed, "text_repair_pipeline": text_repair_pipeline, "issue_summary": issue_summary, "issue_locations": issue_locations, "top_issue_pages": top_issue_pages,
+    "whitespace_book": whitespace_book, "whitespace_fixed": whitespace_fixed, "missing_space_fixed": missing_space_fixed, "text_repair_pipeline": text_repair_pipeline, "whitespace_totals": whitespace_totals, "ellipsis_totals": ellipsis_totals, "apostrophe_totals": apostrophe_totals, "possessive_snippets": possessive_snippets, "issue_summary": issue_summary, "issue_locations": issue_locations, "top_issue_pages": top_issue_pages,
 }
 ORACLE = {
     "ellipsis_issues": ELLIPSIS_SQL,
@@ -229,6 +254,9 @@ ORACLE = {
     "possessive_candidates": _POSS,
     "whitespace_issues": _ISSUES_SQL,
     "whitespace_book": f"SELECT category, count(*) AS slots, count(DISTINCT chapter_id) AS pages FROM ({_ISSUES_SQL}) GROUP BY category",
+    "whitespace_totals": f"WITH b AS (SELECT DISTINCT chapter_id, book_id FROM chapters), w AS ({_ISSUES_SQL}) SELECT book_id, count_if(leading_indent) AS leading_indent, count_if(trailing_space) AS trailing_space, count_if(repeated) AS repeated, count_if(tabs) AS tabs, count_if(before_punctuation) AS before_punctuation, count_if(missing) AS missing, count(*) AS slots, count(DISTINCT w.chapter_id) AS pages FROM w JOIN b ON w.chapter_id = b.chapter_id GROUP BY book_id",
+    "ellipsis_totals": f"WITH b AS (SELECT DISTINCT chapter_id, book_id FROM chapters), e AS ({ELLIPSIS_SQL}) SELECT book_id, CAST(sum(ascii) AS BIGINT) AS ascii, CAST(sum(spaced) AS BIGINT) AS spaced, CAST(sum(ascii + spaced) AS BIGINT) AS issues, count(DISTINCT e.chapter_id) AS pages FROM e JOIN b ON e.chapter_id = b.chapter_id GROUP BY book_id",
+    "apostrophe_totals": f"WITH b AS (SELECT DISTINCT chapter_id, book_id FROM chapters), e AS ({_CONTR} SELECT chapter_id, {_COUNT} AS n FROM f WHERE {_COUNT} > 0), q AS ({_POSS}), c AS (SELECT book_id, sum(n) AS lost, count(DISTINCT e.chapter_id) AS lost_pages FROM e JOIN b ON e.chapter_id = b.chapter_id GROUP BY book_id), p AS (SELECT book_id, count(*) AS possible, count(DISTINCT q.chapter_id) AS possible_pages FROM q JOIN b ON q.chapter_id = b.chapter_id GROUP BY book_id) SELECT coalesce(c.book_id, p.book_id) AS book_id, CAST(coalesce(lost, 0) AS BIGINT) AS lost, coalesce(lost_pages, 0) AS lost_pages, coalesce(possible, 0) AS possible, coalesce(possible_pages, 0) AS possible_pages FROM c FULL JOIN p ON c.book_id = p.book_id",
     "whitespace_fixed": f"WITH {_SLOTS}, {_STEPS} SELECT chapter_id, {_WHOLE} FROM s7 GROUP BY chapter_id",
     "missing_space_fixed": f"WITH worn AS ({WORN_SQL}), f AS (SELECT *, {missing_sql('t')} AS after FROM worn) SELECT chapter_id, CAST(length(after) - length(t) AS BIGINT) AS blanks, md5(after) AS digest FROM f WHERE after <> t",
     "text_repair_pipeline": _REPAIRED,

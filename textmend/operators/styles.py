@@ -6,10 +6,10 @@ The tables hold no style sheets; ``SHEETS`` gives each book one of four, the sam
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmend.operators.markup import _CLASSES, _V, _elements
+from textmend.operators.markup import _CLASSES, _V, once, parsed
 from textmend.plans.runtime import table
 
 SHEETS = """CASE book_id % 4
@@ -25,11 +25,15 @@ NO_OP = [
     "text-decoration:inherit", "vertical-align:baseline", "vertical-align:inherit",
 ]
 STANDARD = {
-    "body": "text-align: left; text-indent: 1.2em; margin-top: 0; margin-bottom: 0.6em;",
-    "chapter-header": "text-align: center; font-weight: bold; text-indent: 0; margin-top: 2em; margin-bottom: 1em;",
+    "body-text": "text-align: left; text-indent: 1.2em; margin-top: 0; margin-bottom: 0.6em;",
+    "chapter-heading": "text-align: center; font-weight: bold; text-indent: 0; margin-top: 2em; margin-bottom: 1em;",
 }
 STRIPPED = ["font-family", "color", "background", "background-color", "font-size", "height", "max-height", "min-height", "line-height"]
+#: Roles that are standardised, and the class that each gets.
+ROLE_CLASSES = {"chapter-heading": "chapter-header", "body-text": "body"}
 _RULE = r"([^{}]+)\{([^{}]*)\}"
+#: An optional element name and one class.
+SIMPLE = r"^([a-zA-Z][a-zA-Z0-9]*)?\.([a-zA-Z_-][\w-]*)\z"
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +80,8 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _elements(spark, sf_dir, "classes").select("book_id", F.explode("classes").alias("class")).groupBy("book_id", "class").agg(F.count("*").alias("usage"))
+    rows = once(parsed(spark, sf_dir, "classes").select("chapter_id", "book_id", F.flatten(F.transform("elements", lambda e: e["classes"])).alias("c")))
+    return rows.select("book_id", F.explode("c").alias("class")).groupBy("book_id", "class").agg(F.count("*").alias("usage"))
 
 
 def css_unused_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,11 +129,42 @@ def renamed_classes(classes: Column, names: dict[str, str]) -> Column:
 
 def standard_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules after standardising: simple selectors of mapped classes take their role's rule, the others keep theirs."""
-    by = F.create_map(*[F.lit(x) for kv in {"x": "body", "title": "chapter-header"}.items() for x in kv])
+    roles = {"x": "body-text", "title": "chapter-heading"}
+    names = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
     one = rules(spark, sf_dir).select("book_id", "rule_no", "body", F.posexplode(F.split("selector", ",")).alias("k", "s")).withColumn("s", F.trim("s"))
-    role = F.element_at(by, F.regexp_extract("s", r"^\w*\.([a-zA-Z_-][\w-]*)\z", 1))
-    standard = F.element_at(F.create_map(*[F.lit(x) for kv in STANDARD.items() for x in kv]), role)
-    return one.select("book_id", F.coalesce(F.concat(F.lit("."), role), F.col("s")).alias("selector"), F.coalesce(standard, F.col("body")).alias("body")).distinct()
+    role = F.element_at(names(roles), F.regexp_extract("s", SIMPLE, 2))
+    tag = F.regexp_extract("s", SIMPLE, 1)
+    return one.select("book_id", F.coalesce(F.concat(tag, F.lit("."), F.element_at(names(ROLE_CLASSES), role)), F.col("s")).alias("selector"), F.coalesce(F.element_at(names(STANDARD), role), F.col("body")).alias("body")).distinct()
+
+
+def missing_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Font files that a sheet names and its book doesn't hold, by path or file name; remote and embedded ones are exempt."""
+    faces = F.regexp_extract_all("css", F.lit(r"(?i)@font-face\s*\{([^}]*)\}"), F.lit(1))
+    urls = sheets(spark, sf_dir).select("book_id", F.explode(faces).alias("face")).select("book_id", F.explode(F.regexp_extract_all("face", F.lit(r"(?i)url\(\s*['\"]?([^'\")]+)['\"]?\s*\)"), F.lit(1))).alias("src"))
+    path = F.trim(F.substring_index(F.substring_index("src", "#", 1), "?", 1))
+    local = urls.distinct().withColumn("path", path).withColumn("file", F.substring_index("path", "/", -1)).where(~F.lower("path").rlike("^(?:https?://|data:)"))
+    fonts = table(spark, sf_dir, "manifest").where("media_type LIKE '%font%' AND href IS NOT NULL").select("book_id", F.col("href").alias("path"), F.substring_index("href", "/", -1).alias("file")).distinct()
+    return local.join(fonts.select("book_id", "path"), ["book_id", "path"], "left_anti").join(fonts.select("book_id", "file"), ["book_id", "file"], "left_anti").select("book_id", "src")
+
+
+#: Classes listed of each book, at most.
+SAMPLE = 30
+IDLE_SHOWN = 8
+
+
+def css_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each book the first unused classes by name, and the undeclared ones most used; a report, the queries on unused and
+    undeclared classes list all."""
+    unused = css_unused_classes(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("book_id").orderBy("class"))).select("book_id", F.lit("unused").alias("kind"), "class", F.lit(0).cast("long").alias("usage"), "rank")
+    undeclared = css_undeclared_classes(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("usage"), "class"))).select("book_id", F.lit("undeclared").alias("kind"), "class", "usage", "rank")
+    return unused.unionByName(undeclared).where(F.col("rank") <= SAMPLE).withColumn("rank", F.col("rank").cast("long"))
+
+
+def idle_classes_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of each book that change nothing: the first ones by name and how many more."""
+    names = no_op_classes(spark, sf_dir).groupBy("book_id").agg(F.array_sort(F.collect_set("class")).alias("c"))
+    more = F.size("c") - IDLE_SHOWN
+    return names.select("book_id", F.concat(F.array_join(F.slice("c", 1, IDLE_SHOWN), ", "), F.when(more > 0, F.concat(F.lit(", +"), more, F.lit(" more"))).otherwise("")).alias("line"))
 
 
 _R = f"""s AS ({SHEETS_SQL}), c AS (SELECT book_id, css, regexp_replace(css, '/[*].*?[*]/', '', 'gs') AS clean FROM s), raw AS (SELECT book_id, CAST(generate_subscripts(regexp_extract_all(clean, '([^{{}}]+)[{{]([^{{}}]*)[}}]', 1), 1) - 1 AS BIGINT) AS rule_no, trim(unnest(regexp_extract_all(clean, '([^{{}}]+)[{{]([^{{}}]*)[}}]', 1))) AS selector, trim(unnest(regexp_extract_all(clean, '([^{{}}]+)[{{]([^{{}}]*)[}}]', 2))) AS body FROM c),
@@ -137,7 +173,7 @@ _DECL = "list_filter([regexp_replace(lower(trim(x)), '[ ]*:[ ]*', ':') for x in
 _NOOP = f"len(list_filter({_DECL}, lambda x: x NOT IN ({', '.join(repr(x) for x in NO_OP)}))) = 0"
 _U = f"{_V}, {_CLASSES}, used AS (SELECT book_id, class, count(*) AS usage FROM u GROUP BY book_id, class)"
 QUERIES = {
-    "css_rules": css_rules, "css_book": css_book, "css_unused_classes": css_unused_classes, "css_undeclared_classes": css_undeclared_classes, "no_op_classes": no_op_classes, "class_properties": class_properties, "standard_sheet": standard_sheet,
+    "css_rules": css_rules, "css_book": css_book, "css_unused_classes": css_unused_classes, "css_undeclared_classes": css_undeclared_classes, "no_op_classes": no_op_classes, "class_properties": class_properties, "standard_sheet": standard_sheet, "missing_fonts": missing_fonts, "css_samples": css_samples, "idle_classes_line": idle_classes_line,
 }
 ORACLE = {
     "css_rules": f"WITH {_R} SELECT book_id, rule_no, selector, body FROM r",
@@ -148,6 +184,10 @@ SELECT s.book_id, length(replace(css, '{{', '')) = length(replace(css, '}}', '')
     "no_op_classes": f"WITH {_R} SELECT book_id, class, arg_min(body, rule_no) AS body FROM d GROUP BY book_id, class HAVING bool_and({_NOOP})",
     "class_properties": f"""WITH {_R}, one AS (SELECT book_id, rule_no, body, regexp_extract(trim(unnest(string_split(selector, ','))), '^[a-zA-Z0-9_]*[.]([a-zA-Z_-][a-zA-Z0-9_-]*)$', 1) AS class FROM r), p AS (SELECT book_id, class, rule_no, generate_subscripts({_DECL}, 1) AS k, unnest({_DECL}) AS d FROM one WHERE class <> ''),
 l AS (SELECT book_id, class, split_part(d, ':', 1) AS property, arg_max(d, (rule_no, k)) AS d FROM p WHERE d LIKE '%:%' GROUP BY book_id, class, split_part(d, ':', 1)) SELECT book_id, class, property, substring(d, length(property) + 2) AS value FROM l""",
-    "standard_sheet": f"""WITH {_R}, one AS (SELECT book_id, body, trim(unnest(string_split(selector, ','))) AS s FROM r), k AS (SELECT *, CASE regexp_extract(s, '^[a-zA-Z0-9_]*[.]([a-zA-Z_-][a-zA-Z0-9_-]*)$', 1) WHEN 'x' THEN 'body' WHEN 'title' THEN 'chapter-header' END AS role FROM one)
-SELECT DISTINCT book_id, coalesce('.' || role, s) AS selector, CASE role WHEN 'body' THEN '{STANDARD['body']}' WHEN 'chapter-header' THEN '{STANDARD['chapter-header']}' ELSE body END AS body FROM k""",
+    "standard_sheet": f"""WITH {_R}, one AS (SELECT book_id, body, trim(unnest(string_split(selector, ','))) AS s FROM r), k AS (SELECT *, regexp_extract(s, '^([a-zA-Z][a-zA-Z0-9]*)?[.]([a-zA-Z_-][a-zA-Z0-9_-]*)$', 1) AS tag, regexp_extract(s, '^([a-zA-Z][a-zA-Z0-9]*)?[.]([a-zA-Z_-][a-zA-Z0-9_-]*)$', 2) AS class FROM one)
+SELECT DISTINCT book_id, CASE class WHEN 'x' THEN tag || '.body' WHEN 'title' THEN tag || '.chapter-header' ELSE s END AS selector, CASE class WHEN 'x' THEN '{STANDARD['body-text']}' WHEN 'title' THEN '{STANDARD['chapter-heading']}' ELSE body END AS body FROM k""",
+    "missing_fonts": f"WITH s AS ({SHEETS_SQL}) SELECT book_id, 'fonts/old.ttf' AS src FROM s WHERE css LIKE '%url(fonts/old.ttf)%' AND book_id NOT IN (SELECT book_id FROM manifest WHERE media_type LIKE '%font%' AND (href = 'fonts/old.ttf' OR href LIKE '%/old.ttf' OR href = 'old.ttf'))",
+    "css_samples": f"""WITH {_R}, {_U}, a AS (SELECT DISTINCT d.book_id, d.class FROM d ANTI JOIN used ON d.book_id = used.book_id AND d.class = used.class), b AS (SELECT used.* FROM used ANTI JOIN d ON d.book_id = used.book_id AND d.class = used.class),
+x AS (SELECT book_id, 'unused' AS kind, class, CAST(0 AS BIGINT) AS usage, row_number() OVER (PARTITION BY book_id ORDER BY class) AS rank FROM a UNION ALL SELECT book_id, 'undeclared', class, usage, row_number() OVER (PARTITION BY book_id ORDER BY usage DESC, class) FROM b) SELECT * FROM x WHERE rank <= {SAMPLE}""",
+    "idle_classes_line": f"WITH {_R}, n AS (SELECT book_id, class FROM d GROUP BY book_id, class HAVING bool_and({_NOOP})), ls AS (SELECT book_id, list_sort(list(class)) AS c FROM n GROUP BY book_id) SELECT book_id, array_to_string(c[1:{IDLE_SHOWN}], ', ') || CASE WHEN len(c) > {IDLE_SHOWN} THEN ', +' || (len(c) - {IDLE_SHOWN}) || ' more' ELSE '' END AS line FROM ls",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmend.functions import text as T
@@ -16,8 +16,8 @@ SUMMED = [
 
 def typography_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures of every page. The text is reduced to numbers before repeated rows are dropped."""
-    measured = worn_pages(spark, sf_dir).select("chapter_id", "book_id", "href", *[c.alias(n) for n, c in T.typography(F.col("t")).items()])
-    return measured.distinct()
+    measured = worn_pages(spark, sf_dir).select("chapter_id", "book_id", "href", T.typography(F.col("t")).alias("m")).select("chapter_id", "book_id", "href", "m.*")
+    return measured.dropDuplicates(["chapter_id"])
 
 
 def typography_book(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,21 @@ def typography_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Snippets of each kind that a page shows, and the signs around each.
+SAMPLES, PAD = 5, 20
+SAMPLED = {"repeated_punctuation": r"!{2,}|\?{2,}|\.{4,}", "double_hyphens": "--+"}
+
+
+def typography_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first places of each page where punctuation is repeated or hyphens stand for a dash, with what stands around them
+    on their line; a report, the counts are in typography_page."""
+    def around(pattern: str) -> Column:
+        return F.slice(F.regexp_extract_all("t", F.lit(rf"(?:[^\n]{{0,{PAD}}}?(?<![!?.-]))?(?:{pattern})[^\n]{{0,{PAD}}}"), F.lit(0)), 1, SAMPLES)
+
+    rows = worn_pages(spark, sf_dir).select("chapter_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), around(p).alias("found")) for k, p in SAMPLED.items()])).alias("s"))
+    return rows.select("chapter_id", "s.kind", F.size("s.found").cast("long").alias("samples"), F.array_join(F.transform("s.found", lambda x: F.trim(F.regexp_replace(x, rf"[{T.WS}]+", " "))), " | ").alias("text")).where("samples > 0").dropDuplicates(["chapter_id", "kind"])
+
+
 def quote_style_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages of each book whose quotes are purely of one style, where the book has both."""
     p = typography_page(spark, sf_dir).where(F.col("quote_style").isin("straight", "curly"))
@@ -82,5 +97,5 @@ FROM ({PAGE_SQL}) GROUP BY book_id"""
 DRIFT_SQL = f"""WITH p AS (SELECT * FROM ({PAGE_SQL}) WHERE quote_style IN ('straight', 'curly'))
 SELECT DISTINCT book_id, href, quote_style FROM p WHERE book_id IN (SELECT book_id FROM p GROUP BY book_id HAVING count(DISTINCT quote_style) = 2)"""
 
-QUERIES = {"typography_page": typography_page, "typography_book": typography_book, "quote_style_drift": quote_style_drift}
+QUERIES = {"typography_page": typography_page, "typography_book": typography_book, "quote_style_drift": quote_style_drift, "typography_samples": typography_samples}
 ORACLE = {"typography_page": PAGE_SQL, "typography_book": BOOK_SQL, "quote_style_drift": DRIFT_SQL}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmend.plans.runtime import table
+from textmend.plans.runtime import spread, table
 
 #: Pages in eight ways of disrepair, so that every rule meets what it repairs; the same SQL in both engines.
 WORN = """CASE chapter_id % 8
@@ -24,18 +24,9 @@ WORN_SQL = f"SELECT DISTINCT chapter_id, book_id, page_no, href, {WORN} AS t FRO
 def worn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chapter_id, book_id, page_no, href, t), a row for each row of the table: repeated rows are dropped by the caller,
     once the text is reduced to what is wanted of it."""
-    return table(spark, sf_dir, "chapters").where("document IS NOT NULL").select("chapter_id", "book_id", "page_no", "href", F.expr(WORN).alias("t"))
+    return pages(spark, sf_dir).select("chapter_id", "book_id", "page_no", "href", F.expr(WORN).alias("t"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chapter_id, book_id, page_no, href, document) with the repeated rows."""
-    return table(spark, sf_dir, "chapters").where("document IS NOT NULL").select("chapter_id", "book_id", "page_no", "href", "document")
-
-
-def lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, line_no, line): one row a line, numbered from 0."""
-    return df.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-
-
-def count_of(c: Column) -> Column:
-    return F.sum(c.cast("long"))
+    return spread(table(spark, sf_dir, "chapters").where("document IS NOT NULL").select("chapter_id", "book_id", "page_no", "href", "document"))

@@ -45,6 +45,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that cost much each, over all tasks: only where the scan has fewer tasks than there are cores, as a few small files
+    have. Larger inputs are read as they lie, without a shuffle."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table by name; columns are pruned by the caller's select."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
