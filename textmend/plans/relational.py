@@ -18,9 +18,14 @@ _TABLE = re.compile(r"\{([a-z_]+)\}")
 _MATCH = re.compile(r"MATCH\((.+?), '((?:[^']|'')*)'\)")
 
 
+def spark_text(sql: str) -> str:
+    """The text with its tests as Spark has them."""
+    return _MATCH.sub(lambda m: f"regexp_like({m[1]}, r\"{m[2].replace(chr(39) * 2, chr(39))}\")", sql)
+
+
 def spark_sql(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     """The query as a function of a session and a folder of tables."""
-    text = _MATCH.sub(lambda m: f"regexp_like({m[1]}, r\"{m[2].replace(chr(39) * 2, chr(39))}\")", sql)
+    text = spark_text(sql)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # a folder's tables are views of its own, so that queries over two folders don't meet
