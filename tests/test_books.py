@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
+from html import escape
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from textmend.operators.containers import broken
 from textmend.plans import corpus
-from textmend.sources import config, container, epub, markup
+from textmend.sources import config, container, edits, epub, markup
 from textmend.streaming import watch
 
 OPF = """<package version="2.0" xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title> T </dc:title><dc:subject>Letters</dc:subject></metadata>
@@ -110,7 +113,165 @@ def test_settings(tmp_path):
     f.write_text("[repair]\nnope = true\n")
     with pytest.raises(ValueError, match="unknown"):
         config.load(str(f))
-    f.write_text('[[class]]\nold_name = "a"\nnew_name = "b"\nrole = "body"\n[[class]]\nold_name = "a"\nnew_name = "c"\nrole = "body"\n')
+    f.write_text('[[class]]\nold_name = "a"\nnew_name = "b"\nrole = "body-text"\n[[class]]\nold_name = "a"\nnew_name = "c"\nrole = "body-text"\n')
     with pytest.raises(ValueError, match="twice"):
         config.load_mapping(str(f))
     assert config.apostrophe("auto", 1, 2) == "’"
+
+
+# --- markup ------------------------------------------------------------------------------------------------------
+
+SVG = '<?xml version="1.0"?>\n<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.1//EN" "x.dtd">\n<html xmlns="http://www.w3.org/1999/xhtml"><!-- kept --><body><svg viewBox="0 0 9 9" preserveAspectRatio="none"><linearGradient id=\'g\'/></svg><p>a &amp; b&nbsp;</p><p>Two</p>tail</body></html>\n'
+
+
+def test_markup_stays_as_it_stands():
+    page = markup.Page(SVG)
+    assert markup.write(page, markup.Edits()) == SVG == markup.render(SVG, [s["text"] for s in page.slots], set(), [])
+    new = markup.render(SVG, [s["text"].replace("Two", "2 < 3") for s in page.slots], set(), [])
+    assert new == SVG.replace("Two", "2 &lt; 3")
+
+
+def test_deep_pages_are_no_trouble():
+    deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
+    page = markup.Page(deep)
+    assert page.nodes[-1].depth == 19_999 and markup.write(page, markup.Edits()) == deep and page.slots[0]["text"] == "x"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("<>/ab=\"'!-& ;x", max_size=60))
+def test_any_text_parses(text):
+    page = markup.Page(text)
+    markup.write(page, markup.Edits())
+    assert all(n.no <= n.end < len(page.nodes) and n.text_from <= n.text_to for n in page.nodes)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.recursive(st.text("ab &<", max_size=4).map(escape), lambda kids: st.lists(kids, max_size=4).map(lambda k: "<p class='c'>" + "".join(k) + "</p >").map(lambda x: x.replace("<p", "<b").replace("</p", "</b")), max_leaves=12))
+def test_well_formed_markup_round_trips(body):
+    source = f"<div>{body}</div>"
+    page = markup.Page(source)
+    assert markup.write(page, markup.Edits()) == source
+    assert "".join(page.text) == "".join(s["text"] for s in page.slots)
+
+
+def test_slots_by_hand():
+    _, slots = markup.parse("<p>a<b>c</b> d <pre> x </pre></p>")
+    assert [(s["text"], s["host_tag"], s["attr"], s["protected"], s["lead_inline"], s["trail_inline"]) for s in slots] == [
+        ("a", "p", "text", False, False, True), ("c", "b", "text", False, True, True), (" d ", "b", "tail", False, True, False), (" x ", "pre", "text", True, False, False),
+    ]
+
+
+# --- edits ---------------------------------------------------------------------------------------------------------
+
+
+def divided(html, markers, first=True):
+    page, e = markup.Page(html), markup.Edits()
+    edits.divide(page, e, markers, first)
+    return markup.write(page, e)
+
+
+def test_chapters_are_divided_once():
+    html = '<html><body><p>CHAPTER I</p><p>one</p><p>end<a id="two"/></p><p>CHAPTER <b>II</b></p><p>two</p></body></html>'
+    out = divided(html, [(2, 1), (6, 2)])
+    assert out.count("<div ") == 2 and 'id="chapter-1" class="chapter-wrapper">' in out
+    assert '<p style="page-break-after: always; break-after: page;">end</p>' in out and out.index('<a id="two"/>') > out.index('id="chapter-2"')
+    again = markup.Page(out)
+    assert divided(out, [(n.no, k) for k, n in enumerate(again.nodes) if edits.DONE in n.attrs]) == out
+    assert 'id="chapter-1-2"' in divided('<body><p id="chapter-1">x</p><p>I</p></body>', [(2, 1)], False)
+
+
+def test_classes_are_standardised():
+    mapping = {"c1": ("body-text", "body"), "c2": ("chapter-heading", "chapter-header")}
+    css = "/* x */ p.c1, .other {color: red} .c3 {a: b} @media print {.c2 {c: d}}"
+    out = edits.standard_css(css, mapping)
+    assert "p.body { text-align: left;" in out and ".other {color: red}" in out and ".chapter-header { text-align: center;" in out and ".c3 {a: b}" in out
+    assert edits.standard_css(out, mapping) == out and edits.standard_css("/* a */ .z{}", mapping) == "/* a */ .z{}"
+    page, e = markup.Page('<body><p>before</p><p class="c2 c1 c2" style="color: red; page-break-before: always; margin: 0">T</p></body>'), markup.Edits()
+    edits.standardise(page, e, mapping)
+    assert markup.write(page, e) == '<body><p style="page-break-after: always; break-after: page;">before</p><p class="chapter-header body" style="margin: 0;">T</p></body>'
+
+
+def test_boilerplate_of_a_page():
+    html = "<html><body><h1>Title</h1><p>The Project</p><p>*** START ***</p><p>text</p></body></html>"
+    page = markup.Page(html)
+    assert edits.without_front(page, 4, False) == {3, 4} and edits.without_front(page, 4, True) == {4} and edits.without_back(page, 4) == {4, 5}
+    assert not edits.only_boilerplate(page, 4) and edits.only_boilerplate(markup.Page("<body> <footer><p>x</p></footer>\n</body>"), 2)
+    assert edits.without_front(markup.Page("<p>x</p>"), 0, True) == set()
+
+
+START, END = "*** START OF THE PROJECT GUTENBERG EBOOK T ***", "*** END OF THE PROJECT GUTENBERG EBOOK T ***"
+CHAPTER = "".join(f"<p>{'word ' * 60}{k}.</p>" for k in range(2))
+
+
+def whole_book():
+    pages = {
+        "p1": f"<html><body><h1>T</h1><p>legal</p><p>{START}</p><p>preface</p></body></html>",
+        "p2": "<html><body>" + "".join(f'<p class="h">CHAPTER {n}</p>{CHAPTER}' for n in ("I", "II", "III")) + "</body></html>",
+        "p3": f"<html><body><p>last</p><p>{END}</p><p>licence</p></body></html>", "p4": "<html><body><p>small print</p></body></html>",
+        "nav": '<html xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol><li><a href="p2.xhtml">Text</a></li><li><a href="p4.xhtml">Licence</a></li></ol></nav></body></html>',
+    }
+    items = "".join(f'<item id="{k}" href="{k}.xhtml" media-type="application/xhtml+xml"{" properties=" + chr(34) + "nav" + chr(34) if k == "nav" else ""}/>' for k in pages)
+    opf = f'<package version="3.0" xmlns="http://www.idpf.org/2007/opf"><metadata><meta name="cover" content="gone"/></metadata><manifest>{items}<item id="s" href="s.css" media-type="text/css"/></manifest><spine><itemref idref="p1"/><itemref idref="p2"/><itemref idref="p3"/><itemref idref="p4"/></spine></package>'
+    return container.packed({"mimetype": b"application/epub+zip", container.CONTAINER: container.container_xml("p.opf"), "p.opf": opf.encode(), "s.css": b".h{font-weight:bold}", **{f"{k}.xhtml": v.encode() for k, v in pages.items()}})
+
+
+def test_boilerplate_chapters_and_classes_of_a_book(spark, tmp_path):
+    (tmp_path / "b.epub").write_bytes(whole_book())
+    mapping = [{"old_name": "h", "role": "chapter-heading", "new_name": "chapter-header"}]
+    with zipfile.ZipFile(io.BytesIO(corpus.repair_corpus(spark, str(tmp_path), mapping=mapping).first()["content"])) as z:
+        names = set(z.namelist())
+        p1, p2, p3, nav, opf, css = (z.read(n).decode() for n in ("p1.xhtml", "p2.xhtml", "p3.xhtml", "nav.xhtml", "p.opf", "s.css"))
+    assert "p4.xhtml" not in names and 'idref="p4"' not in opf and 'href="p4.xhtml"' not in opf + nav and 'href="p2.xhtml"' in nav
+    assert "<h1>T</h1><p>preface</p>" in p1 and "<p>last</p></body>" in p3
+    assert p2.count('epub:type="chapter"') == 3 and p2.count('class="chapter-header"') == 3 and ".chapter-header {" in css
+    report = {(r["location"], r["category"]): r["n"] for r in corpus.repair_report(spark, str(tmp_path)).collect()}
+    assert report["p2.xhtml", "chapters"] == 3 and report["p4.xhtml", "whole pages of boilerplate"] == 1 and ("p1.xhtml", "opening boilerplate") in report
+    off = config.Settings(boilerplate_front=False, boilerplate_back=False, chapter_marks=False)
+    assert corpus.repair_report(spark, str(tmp_path), off).count() == 0
+
+
+def test_structure_classes_and_covers_of_a_book(spark, tmp_path):
+    (tmp_path / "b.epub").write_bytes(whole_book())
+    t = corpus.analyze_corpus(spark, str(tmp_path))
+    rows = t["structure"].orderBy("number").collect()
+    assert [(r["title"], r["name"], r["clean"], r["entry_no"]) for r in rows] == [("CHAPTER I", "p2.xhtml", True, 0), ("CHAPTER II", "p2.xhtml", True, None), ("CHAPTER III", "p2.xhtml", True, None)]
+    # no blank stands between the texts of two elements: their words run together
+    assert all(120 <= r["content_words"] <= 124 for r in rows)
+    assert [r["confidence"] for r in rows] == ["corroborated", "sequence only", "sequence only"]
+    assert corpus.structure_report(t["structure"])[-1] == "Some boundary can be split at."
+    assert t["covers"].first()["status"] == "dangling cover id gone"
+    assert {r["class"]: r["role"] for r in t["classes"].collect()} == {"h": "unknown"}
+
+
+def test_file_and_id_of_the_navigation_are_free():
+    opf = '<package version="2.0"><manifest><item id="nav" href="nav.xhtml"/></manifest></package>'
+    assert '<item id="nav1" href="nav1.xhtml"' in corpus.package(opf, "", set(), "nav1.xhtml", "now")
+    assert edits.free_name({"nav.xhtml", "nav1.xhtml"}, "nav.xhtml", lambda n: f"nav{n - 1}.xhtml") == "nav2.xhtml"
+
+
+def test_a_batch_run_again_repeats_nothing(spark, tmp_path):
+    batch = spark.createDataFrame([("x", bytearray(book()))], "book string, content binary")
+    for _ in range(2):
+        watch.write_batch(batch, 7, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path)).count() == 1
+
+
+def test_commands(spark, tmp_path, capsys):
+    from textmend.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.epub").write_bytes(whole_book())
+    (tmp_path / "in" / "y.epub").write_bytes(b"junk" + book())
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    assert main(["validate", folder]) == 1 and main(["validate", folder, "--repair"]) == 0
+    assert "failed: signature; trimmed; repaired" in capsys.readouterr().out
+    assert main(["map-structure", folder]) == 0
+    assert "- CHAPTER II: sequence only" in capsys.readouterr().out
+    mapping = str(tmp_path / "m.toml")
+    assert main(["map-css", folder, "--write-mapping", mapping]) == 0 and ".h: used 3x, mostly <p> 100%" in capsys.readouterr().out
+    assert config.load_mapping(mapping) == []
+    assert main(["repair", folder]) == 2
+    assert main(["repair", folder, "--dry-run", "--verbose"]) == 0 and "p2.xhtml: chapters: 3" in capsys.readouterr().out
+    assert main(["repair", folder, "-o", out, "--class-mapping", mapping]) == 0 and spark.read.parquet(out).count() == 2
+    assert main(["analyze", folder, "-o", out, "--json", "--details"]) == 0 and main(["analyze", folder, "-o", out, "--json"]) == 0
+    assert main(["init-config", "-o", str(tmp_path / "c.toml")]) == 0

@@ -40,14 +40,18 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "books").select("book_id", F.expr(SHEETS).alias("css")).distinct()
 
 
-def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book_id, rule_no, selector, body) of all rules; at-rules themselves are none, rules inside them are."""
+def rules_of(css: DataFrame) -> DataFrame:
+    """(book_id, rule_no, selector, body) of the rules of (book_id, css); at-rules themselves are none, rules inside them are."""
     clean = F.regexp_replace("css", r"(?s)/\*.*?\*/", "")
     pairs = F.arrays_zip(F.regexp_extract_all(clean, F.lit(_RULE), F.lit(1)).alias("s"), F.regexp_extract_all(clean, F.lit(_RULE), F.lit(2)).alias("b"))
-    r = sheets(spark, sf_dir).select("book_id", F.posexplode(pairs).alias("rule_no", "r")).select("book_id", F.col("rule_no").cast("long").alias("rule_no"), F.trim("r.s").alias("selector"), F.trim("r.b").alias("body"))
+    r = css.select("book_id", F.posexplode(pairs).alias("rule_no", "r")).select("book_id", F.col("rule_no").cast("long").alias("rule_no"), F.trim("r.s").alias("selector"), F.trim("r.b").alias("body"))
     return r.where("selector <> '' AND NOT startswith(selector, '@')")
 
 
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules_of(sheets(spark, sf_dir))
+
+
 def classes_of(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\.([a-zA-Z_-][\w-]*)"), F.lit(1))
 
@@ -99,8 +103,12 @@ def no_op_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return properties_of(rules(spark, sf_dir))
+
+
+def properties_of(found: DataFrame) -> DataFrame:
     """Properties of simple class selectors; of repeated ones the last rule wins."""
-    simple = rules(spark, sf_dir).select("book_id", "rule_no", F.explode(F.split("selector", ",")).alias("one"), "body").withColumn("class", F.regexp_extract(F.trim("one"), r"^\w*\.([a-zA-Z_-][\w-]*)\z", 1)).where("class <> ''")
+    simple = found.select("book_id", "rule_no", F.explode(F.split("selector", ",")).alias("one"), "body").withColumn("class", F.regexp_extract(F.trim("one"), r"^\w*\.([a-zA-Z_-][\w-]*)\z", 1)).where("class <> ''")
     d = simple.select("book_id", "class", "rule_no", F.posexplode(declarations(F.col("body"))).alias("k", "d")).where("d LIKE '%:%'")
     last = d.groupBy("book_id", "class", F.substring_index("d", ":", 1).alias("property")).agg(F.max_by("d", F.struct("rule_no", "k")).alias("d"))
     return last.select("book_id", "class", "property", F.expr("substring(d, length(property) + 2)").alias("value"))

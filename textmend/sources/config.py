@@ -28,6 +28,8 @@ class Settings:
     repair_containers: bool = True
 
 
+#: Roles that a mapping may give a class.
+ROLE_CLASSES = ("chapter-heading", "body-text")
 _CHOICES = {"ellipsis_style": ("unicode", "ascii"), "apostrophe_style": ("auto", "straight", "curly")}
 
 
@@ -60,7 +62,7 @@ def load_mapping(path: str) -> list[dict[str, str]]:
     rows = tomllib.loads(Path(path).read_text(encoding="utf-8")).get("class", [])
     seen: set[str] = set()
     for r in rows:
-        if r.get("role") not in ("chapter-header", "body"):
+        if r.get("role") not in ROLE_CLASSES:
             raise ValueError(f"unknown role: {r.get('role')}")
         for k in ("old_name", "new_name"):
             if not re.fullmatch(r"[A-Za-z_-][\w-]*", r.get(k, "")):

@@ -95,6 +95,9 @@ def package_rows(content: bytes) -> list[dict]:
         for i, e in enumerate(opf.iter()):
             if _local(e.tag) in _META and "purl.org/dc" in e.tag:
                 put("meta", i + 1, label=_local(e.tag), value=(e.text or "").strip())
+        cover = next((e.get("content", "") for e in opf.iter() if _local(e.tag) == "meta" and e.get("name") == "cover"), "")
+        if cover:
+            put("meta", 9_999, label="cover", value=cover)
         items = [e for e in opf.iter() if _local(e.tag) == "item"]
         for i, e in enumerate(items):
             put("item", i, id=e.get("id", ""), href=resolve(base, e.get("href", "")), media_type=e.get("media-type", ""), properties=e.get("properties", ""))

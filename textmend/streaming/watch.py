@@ -15,12 +15,14 @@ def incoming(spark: SparkSession, path: str) -> DataFrame:
     return files.selectExpr("path AS book", "content")
 
 
-def watch(spark: SparkSession, path: str, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Write the checked and repaired books of the folder to ``out``. The checkpoint keeps what was done, so that a
-    restart neither drops nor repeats a file."""
+def write_batch(batch: DataFrame, number: int, out: str) -> None:
+    """Write one batch to the folder of its number. A batch that is run again after a failure writes the same folder anew, so
+    that no file is repeated."""
+    epub.checked(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    def each(batch: DataFrame, _: int) -> None:
-        epub.checked(batch).write.mode("append").parquet(out)
 
-    writer = incoming(spark, path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+def watch(spark: SparkSession, path: str, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Write the checked and repaired books of the folder below ``out``, one folder for each batch. The checkpoint keeps what was
+    done, so that a restart neither drops nor repeats a file."""
+    writer = incoming(spark, path).writeStream.foreachBatch(lambda batch, number: write_batch(batch, number, out)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
