@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: White space as Unicode-aware splitting sees it (inside a character class).
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = f"[^{WS}]+"
+#: The same signs one by one.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Edges of words: letters, digits and underscores of any script are word characters, marks and joiners are none.
 EDGE_L, EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 

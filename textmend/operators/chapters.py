@@ -7,12 +7,12 @@ function over the few numbers of a candidate, one group for each book and style.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmend.functions import markers as M
 from textmend.operators.views import pages
+from textmend.plans.arrow import map_batches
 
 
 #: A cheap look at the first characters spares most lines the classification.
@@ -78,17 +78,18 @@ def sequences(found: DataFrame) -> DataFrame:
     """(book_id, style, score, length, members, rank): the best run of each style of a book, at least three long, ranked by
     score; of equal ones the style seen first. A member is (page place, page, line)."""
     key = dict(found.dtypes)
-    rows = with_parts(found).select("book_id", "style", F.col("place.p").alias("p"), F.col("place.c").alias("c"), F.col("place.l").alias("l"), "number", "score", "part")
+    rows = with_parts(found).select("book_id", "style", F.struct(F.col("place.p").cast("long").alias("p"), F.col("place.c").alias("c"), F.col("place.l").alias("l"), "number", "score", "part").alias("r"))
+    groups = rows.groupBy("book_id", "style").agg(F.array_sort(F.collect_list("r")).alias("rows"))
     schema = f"book_id {key['book_id']}, style string, score double, length long, first_p long, first_l long, members array<struct<p:long,c:{key['chapter_id']},l:int>>"
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["p", "c", "l"])
-        score, length, members = M.best_run(list(zip(range(len(g)), g["number"], g["score"], g["part"], strict=True)))
-        first = g.iloc[0]
-        chosen = g.iloc[members]
-        return pd.DataFrame({"book_id": [first["book_id"]], "style": [first["style"]], "score": [score], "length": [length], "first_p": [first["p"]], "first_l": [first["l"]], "members": [[{"p": int(p), "c": c, "l": int(l)} for p, c, l in zip(chosen["p"], chosen["c"].tolist(), chosen["l"], strict=True)]]})
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        best = [M.best_run([(i, r["number"], r["score"], r["part"]) for i, r in enumerate(g)]) for g in cols["rows"]]
+        return {
+            "book_id": cols["book_id"], "style": cols["style"], "score": [b[0] for b in best], "length": [b[1] for b in best], "first_p": [g[0]["p"] for g in cols["rows"]], "first_l": [g[0]["l"] for g in cols["rows"]],
+            "members": [[{k: g[i][k] for k in "pcl"} for i in b[2]] for g, b in zip(cols["rows"], best, strict=True)],
+        }
 
-    best = rows.groupBy("book_id", "style").applyInPandas(run, schema).where(f"length >= {M.LEAST_RUN}")
+    best = map_batches(groups, schema, run).where(f"length >= {M.LEAST_RUN}")
     rank = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("score"), "first_p", "first_l"))
     return best.withColumn("rank", rank.cast("long"))
 

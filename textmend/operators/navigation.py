@@ -7,7 +7,11 @@ nothing; null labels and hrefs are kept where a row is about the entry itself.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
 from textmend.plans.relational import duck_sql, spark_sql
+from textmend.plans.runtime import table
 
 _ITEMS = "items AS (SELECT book_id, item_id, href, media_type, item_properties, min(spine_pos) AS spine_pos FROM {manifest} GROUP BY book_id, item_id, href, media_type, item_properties)"
 _PAGE = "media_type IN ('application/xhtml+xml', 'text/html')"
@@ -72,5 +76,48 @@ LEFT JOIN (SELECT DISTINCT book_id, item_id, media_type FROM items) i ON i.book_
     "listed_without_text": f"WITH {_ITEMS}, p AS (SELECT DISTINCT book_id, href FROM items WHERE {_PAGE}) SELECT p.book_id, p.href FROM p LEFT ANTI JOIN {{chapters}} c ON c.book_id = p.book_id AND c.href = p.href AND c.document IS NOT NULL",
 }
 
-QUERIES = {k: spark_sql(v) for k, v in SQL.items()}
+
+
+def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of each book that was loaded last."""
+    order = Window.partitionBy("book_id").orderBy(F.desc_nulls_last("loaded_at"), "source_path")
+    return table(spark, sf_dir, "books").withColumn("latest", F.row_number().over(order)).where("latest = 1")
+
+
+def toc_merged_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of one depth with the same target and no children are one entry: an entry goes to the last one before it that
+    differs, or is one with children."""
+    t = table(spark, sf_dir, "toc").select("book_id", "entry_no", "toc_depth", "entry_label", "href").distinct()
+    w = Window.partitionBy("book_id").orderBy("entry_no", "href")
+    same = (F.lag("href").over(w) == F.col("href")) & (F.lag("toc_depth").over(w) == F.col("toc_depth")) & (F.col("href") != "") & (F.coalesce(F.lead("toc_depth").over(w), F.lit(0)) <= F.col("toc_depth"))
+    heads = t.withColumn("place", F.struct("entry_no", "href")).withColumn("head", F.when(~F.coalesce(same, F.lit(False)), F.struct("entry_no", "href"))).withColumn("head", F.last("head", ignorenulls=True).over(w))
+    return heads.groupBy("book_id", "head").agg(F.min("entry_no").alias("entry_no"), F.min("href").alias("href"), F.count("*").alias("merged"), F.min_by("entry_label", "entry_no").alias("first_label")).drop("head")
+
+
+def nav_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Navigation document of the books that need the upgrade: an entry for each page of the spine, labelled by its first labelled
+    entry, else by its title, else by its file."""
+    old = _latest(spark, sf_dir).where(F.coalesce(F.substring_index("epub_version", ".", 1).try_cast("int"), F.lit(0)) < 3).select("book_id")
+    items = table(spark, sf_dir, "manifest").where("media_type IN ('application/xhtml+xml', 'text/html')").groupBy("book_id", "item_id", "href", "media_type", "item_properties").agg(F.min("spine_pos").alias("spine_pos"))
+    w = Window.partitionBy("book_id").orderBy(F.asc_nulls_last("spine_pos"), "item_id", "href")
+    spine = items.withColumn("page_order", F.row_number().over(w)).where("spine_pos IS NOT NULL").join(old, "book_id")
+    labels = table(spark, sf_dir, "toc").where("coalesce(href, '') <> '' AND coalesce(entry_label, '') <> ''").groupBy("book_id", F.substring_index("href", "#", 1).alias("href")).agg(F.min_by("entry_label", F.struct("entry_no", "entry_label")).alias("entry_label"))
+    titles = table(spark, sf_dir, "chapters").where("title IS NOT NULL").groupBy("book_id", "href").agg(F.max("title").alias("title"))
+    return spine.join(labels, ["book_id", "href"], "left").join(titles, ["book_id", "href"], "left").select("book_id", "page_order", "href", F.coalesce("entry_label", "title", "href").alias("label"))
+
+
+def cover_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item marked as cover wins over one only named so; a cover that is no image, and two that differ, are problems."""
+    items = table(spark, sf_dir, "manifest")
+    marked = F.min(F.when(F.array_contains(F.split("item_properties", " "), "cover-image"), F.struct("item_id", "media_type")))
+    named = F.min(F.when(F.contains("item_id", F.lit("cover")) & F.col("media_type").startswith("image/"), F.struct("item_id", "media_type")))
+    per = items.groupBy("book_id").agg(marked.alias("m"), named.alias("n")).withColumn("c", F.coalesce("m", "n"))
+    return _latest(spark, sf_dir).select("book_id").join(per, "book_id", "left").select(
+        "book_id", F.col("c.item_id").alias("cover_item"), F.col("c").isNull().alias("missing"), F.coalesce(F.col("m.item_id") != F.col("n.item_id"), F.lit(False)).alias("mismatch"), F.coalesce(~F.col("c.media_type").startswith("image/"), F.lit(False)).alias("not_an_image")
+    )
+
+
+#: Queries with a form of their own; of the others both engines run the same text.
+NATIVE = {"toc_merged_labels": toc_merged_labels, "nav_entries": nav_entries, "cover_check": cover_check}
+QUERIES = {k: NATIVE.get(k) or spark_sql(v) for k, v in SQL.items()}
 ORACLE = {k: duck_sql(v.replace("LEFT ANTI JOIN", "ANTI JOIN").replace("LEFT SEMI JOIN", "SEMI JOIN")) for k, v in SQL.items()}

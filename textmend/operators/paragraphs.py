@@ -26,11 +26,12 @@ def is_junk(c: Column) -> Column:
 
 def mid_sentence(first: Column, second: Column) -> Column:
     """The second paragraph goes on with the sentence of the first."""
-    return (T.words(first) >= LEAST_WORDS) & (T.words(second) >= LEAST_WORDS) & ~first.rlike(rf"{_END}\z") & second.rlike(r"^\p{Ll}")
+    # the cheap tests come first
+    return second.rlike(r"^\p{Ll}") & ~F.right(first, F.lit(1)).rlike(_END) & (T.words(first) >= LEAST_WORDS) & (T.words(second) >= LEAST_WORDS)
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{T.WS}]+|[{T.WS}]+\z", "")
+    return F.btrim(c, F.lit(T.BLANKS))
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,9 +195,13 @@ def rx(t: str, pattern: str, to: str) -> str:
 
 
 def ellipses_sql(t: str) -> str:
-    # three dots exactly: the runs of dots are marked at both ends first
-    marked = rx(rx(t, r"\.(?:[ \t]+\.){2,}", "…"), r"\.{4,}", "\\0")
-    return f"replace({rx(marked, r'(^|[^.' + chr(0xE001) + r'])\.\.\.($|[^.])', chr(92) + '1…' + chr(92) + '2')}, chr(57345), '')"
+    # three dots exactly: runs of dots are marked at both ends first, and what was spaced dots, as a dot stood there; twice, as
+    # neighbours share a sign
+    spaced, run = chr(0xE002), chr(0xE001)
+    t = rx(rx(t, r"\.(?:[ \t]+\.){2,}", f"{spaced}…{spaced}"), r"\.{4,}", f"{run}\\0{run}")
+    for _ in range(2):
+        t = rx(t, rf"(^|[^.{run}{spaced}])\.\.\.($|[^.{run}{spaced}])", r"\1…\2")
+    return f"replace(replace({t}, '{run}', ''), '{spaced}', '')"
 
 
 def contractions_sql(t: str) -> str:

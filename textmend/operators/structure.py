@@ -161,9 +161,10 @@ def boundary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words from each confirmed chapter to the next one, from the line of its title where it stands in the page; the last one ends
     with its page."""
     # only lines as short as titles are kept, with the words before them
-    upto = lambda counts, i: F.aggregate(F.slice(counts, 1, i), F.lit(0).cast("long"), lambda a, n: a + n)
-    kept = lambda ls, counts: F.transform(F.filter(F.transform(ls, lambda x, i: F.struct(F.trim(x).alias("title"), i.alias("i"))), lambda x: (x["title"] != "") & (F.length(x["title"]) <= TITLE)), lambda x: F.struct(x["title"].alias("title"), upto(counts, x["i"]).alias("offset")))
-    short = T.let(F.split("document", "\n"), lambda ls: T.let(F.transform(ls, T.words), lambda counts: kept(ls, counts)))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("before"))
+    before = lambda counts: F.aggregate(counts, zero, lambda a, n: F.struct((a["n"] + n).alias("n"), F.array_append(a["before"], a["n"]).alias("before")), lambda a: a["before"])
+    numbered = lambda ls, offsets: F.filter(F.zip_with(ls, offsets, lambda x, n: F.struct(F.btrim(x, F.lit(" ")).alias("title"), n.alias("offset"))), lambda x: (x["title"] != "") & (F.length(x["title"]) <= TITLE))
+    short = T.let(F.split("document", "\n"), lambda ls: numbered(ls, before(F.transform(ls, T.words))))
     pages = _page_rows(spark, sf_dir, short.alias("lines"))
     at = pages.select("book_id", F.col("href").alias("file"), F.inline("lines")).groupBy("book_id", "file", "title").agg(F.min("offset").alias("offset"))
     starts = page_starts(pages.select("book_id", "href", "place", "words")).select("book_id", F.col("href").alias("file"), F.col("place").alias("page_place"), "start", F.col("words").alias("page_words"))
