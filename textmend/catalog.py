@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("textmend.operators.typography", "textmend.operators.repairs", "textmend.operators.chapters", "textmend.operators.navigation", "textmend.operators.structure", "textmend.operators.paragraphs", "textmend.operators.markup", "textmend.operators.styles", "textmend.operators.classes", "textmend.operators.containers")
+MODULES: tuple[str, ...] = ("textmend.operators.typography", "textmend.operators.repairs", "textmend.operators.chapters", "textmend.operators.navigation", "textmend.operators.structure", "textmend.operators.paragraphs", "textmend.operators.markup", "textmend.operators.styles", "textmend.operators.classes", "textmend.operators.elements", "textmend.operators.containers")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

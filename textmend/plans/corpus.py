@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from textmend.functions import text as T
 from textmend.operators import chapters, classes, structure, styles
+from textmend.operators import elements as X
 from textmend.operators.markup import empty_numbers, junk_numbers
 from textmend.operators.paragraphs import mid_sentence
 from textmend.operators.repairs import RepairOptions, repaired
@@ -26,14 +27,6 @@ from textmend.sources import epub, markup
 from textmend.sources.config import Settings
 
 LAST = 2**31 - 1
-# --- fixed values: elements that markers stand in, places that can't be cut at, boilerplate -------------------------
-CANDIDATES = ["p", "h1", "h2", "h3", "h4", "h5", "h6", "span"]
-UNSAFE = ["table", "thead", "tbody", "tfoot", "tr", "td", "th", "ul", "ol", "li", "dl", "dt", "dd"]
-NOTES = "footnote|endnote|note|noteref"
-WRAPPER_CLASS, FRONT_ID, BACK_ID = "pg-boilerplate", "pg-header", "pg-footer"
-START = r"(?i)\*{2,}\s*START OF (?:THIS|THE) PROJECT GUTENBERG EBOOK\b[^*]*\*{2,}"
-END = r"(?i)\*{2,}\s*END OF (?:THIS|THE) PROJECT GUTENBERG EBOOK\b[^*]*\*{2,}"
-
 
 class Corpus:
     """The tables of a folder of books that runs share: written once, read by each plan that needs them."""
@@ -54,11 +47,8 @@ class Corpus:
 
     def markers(self) -> DataFrame:
         """Chapter markers among the elements: innermost candidates whose whole text is one."""
-        cand = F.filter("elements", lambda e: e["tag"].isin(CANDIDATES))
-        # the elements are in order: an element holds another candidate if the next one ends inside it
-        inner = lambda c: F.filter(F.transform(c, lambda e, i: F.when(F.coalesce(F.get(c, i + 1)["elem_no"] <= e["end_no"], F.lit(False)), F.lit(None)).otherwise(e)), lambda e: e.isNotNull())
         marks = F.lower(F.concat_ws(" ", F.array_join("e.classes", " "), "e.id"))
-        texts = self.pages.select("book", "name", "text", F.explode(T.let(cand, inner)).alias("e")).withColumn("text", T.sub(markup.text_of(F.col("text"), F.col("e")), r"^\s+|\s+\z", "")).where(chapters.likely(F.col("text")))
+        texts = self.pages.select("book", "name", "text", F.explode(X.candidates(F.col("elements"))).alias("e")).withColumn("text", T.sub(markup.text_of(F.col("text"), F.col("e")), r"^\s+|\s+\z", "")).where(chapters.likely(F.col("text")))
         rows = texts.select("book", "name", "text", F.col("e.elem_no").alias("line_no"), F.col("e.tag").rlike("^h[1-6]$").alias("heading"), marks.rlike("chapter|title|heading").alias("hint")).join(self.order(), ["book", "name"])
         return chapters.marked(rows.select(F.col("book").alias("book_id"), F.col("pos").alias("page_no"), F.col("name").alias("chapter_id"), F.col("name").alias("href"), "line_no", "text", "heading", "hint"))
 
@@ -72,23 +62,8 @@ class Corpus:
         page in reading order."""
         e, text = F.col("elements"), F.col("text")
 
-        def tagged(pattern: str, own: str) -> Column:
-            found = F.filter(e, lambda x: x["id"].isin(FRONT_ID, BACK_ID) | F.array_contains(x["classes"], WRAPPER_CLASS))
-            return F.get(F.filter(found, lambda x: markup.text_of(text, x).rlike(pattern) | (x["id"] == own)), F.lit(0))["elem_no"]
-
-        def bare(pattern: str) -> Column:
-            # the shortest element around the marker; of equal ones the outermost
-            found = lambda m: F.transform(F.filter(e, lambda x: (x["text_from"] < m["at"]) & (x["text_to"] >= m["at"] + m["n"] - 1)), lambda x: F.struct((x["text_to"] - x["text_from"]).alias("n"), x["elem_no"].alias("no")))
-            mark = F.regexp_substr(text, F.lit(pattern))
-            return F.when(mark.isNotNull(), F.array_min(T.let(F.struct(F.position(mark, text).alias("at"), F.length(mark).alias("n")), found))["no"])
-
-        def only(no: Column) -> Column:
-            body = F.get(F.filter(e, lambda x: x["tag"] == "body"), F.lit(0))
-            top = F.get(F.filter(e, lambda x: (x["parent_no"] == body["elem_no"]) & (x["elem_no"] <= no) & (no <= x["end_no"])), F.lit(0))
-            blank = lambda a, z: F.substr(text, a + 1, z - a).rlike(r"^\s*\z")
-            return F.coalesce(blank(body["text_from"], top["text_from"]) & blank(top["text_to"], body["text_to"]), F.lit(False))
-
-        rows = self.pages.withColumn("ft", tagged(START, FRONT_ID)).withColumn("bt", tagged(END, BACK_ID)).withColumn("fx", bare(START)).withColumn("bx", bare(END)).withColumn("whole", only(F.col("bt")))
+        rows = self.pages.withColumn("ft", X.tagged_boilerplate(e, text, X.START, X.FRONT_ID)).withColumn("bt", X.tagged_boilerplate(e, text, X.END, X.BACK_ID))
+        rows = rows.withColumn("fx", X.bare_boilerplate(e, text, X.START)).withColumn("bx", X.bare_boilerplate(e, text, X.END)).withColumn("whole", X.nothing_else(e, text, F.col("bt")))
         rows = rows.select("book", "name", "ft", "bt", "fx", "bx", "whole").where("coalesce(ft, bt, fx, bx) IS NOT NULL").join(self.order(), ["book", "name"])
 
         def first(no: str, tag: bool) -> Column:
@@ -164,8 +139,7 @@ def structure_of(c: Corpus) -> DataFrame:
     up = lambda x: F.get(e, x["parent_no"])
     me = F.get(e, F.col("elem_no"))
     ids = F.filter(F.array(me["id"], up(me)["id"], up(up(me))["id"]), lambda i: i != "")
-    kind = lambda x: F.lower(F.concat_ws(" ", F.array_join(x["classes"], " "), x["attrs"]["epub:type"]))
-    unclean = F.exists(e, lambda x: (x["elem_no"] <= F.col("elem_no")) & (F.col("elem_no") <= x["end_no"]) & (x["tag"].isin(UNSAFE) | kind(x).rlike(NOTES)))
+    unclean = X.unclean(e, F.col("elem_no"))
     order = c.order().withColumn("place", F.struct(F.col("pos").alias("p"), F.col("name").alias("c")))
     words = structure.page_starts(c.pages.select(F.col("book").alias("book_id"), "name", T.words(F.col("text")).alias("words")).join(order.select(F.col("book").alias("book_id"), "name", "place"), ["book_id", "name"]))
     b = best.join(titles, ["book", "name", "elem_no"]).join(c.pages.select("book", "name", "text", "elements"), ["book", "name"])
