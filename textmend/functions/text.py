@@ -46,9 +46,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: White space below U+0080, whose class is a look-up in a table; the rest is brought to blanks first.
+_NARROW = r"\x09-\x0d\x1c-\x20"
+_WIDE = [b for b in BLANKS if ord(b) > 0x7F]
+
+
+def narrowed(c: Column) -> Column:
+    """The text with blanks for all wide white space; a text of single bytes has none."""
+    return let(c, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(reduce(lambda a, b: F.replace(a, F.lit(b), F.lit(" ")), _WIDE, t)))
+
+
 def words(c: Column) -> Column:
     """Number of words: runs of anything but white space."""
-    return F.regexp_count(c, F.lit(WORD)).cast("long")
+    return F.regexp_count(narrowed(c), F.lit(f"[^{_NARROW}]+")).cast("long")
 
 
 def occurrences(c: Column, what: str) -> Column:
@@ -75,8 +85,8 @@ def style(straight: Column, curly: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Words of each sentence: pieces between white space that follows . ! ? and precedes a capital or a quote."""
-    pieces = F.split(c, rf"(?<=[.!?])[{WS}]+(?=[A-Z\"“])")
-    return F.filter(F.transform(pieces, lambda p: words(p)), lambda n: n > 0)
+    pieces = F.split(narrowed(c), rf"(?<=[.!?])[{_NARROW}]+(?=[A-Z\"“])")
+    return F.filter(F.transform(pieces, lambda p: F.regexp_count(p, F.lit(f"[^{_NARROW}]+")).cast("long")), lambda n: n > 0)
 
 
 def typography(c: Column) -> Column:
@@ -90,7 +100,8 @@ def measures(c: Column, lengths: Column) -> dict[str, Column]:
     double_straight, double_curly = occurrences(c, '"'), occurrences(c, "“") + occurrences(c, "”")
     single_straight, single_curly = occurrences(c, "'"), occurrences(c, "‘") + occurrences(c, "’")
     return {
-        "words": words(c),
+        # sentences are cut at white space, so theirs are all the words
+        "words": F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n),
         "straight_double_quotes": double_straight,
         "curly_double_quotes": double_curly,
         "quote_style": style(double_straight, double_curly),

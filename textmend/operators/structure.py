@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textmend.functions import text as T
 from textmend.plans.relational import duck_sql, spark_sql, spark_text
-from textmend.plans.runtime import spread, table
+from textmend.plans.runtime import spread, stage, table
 
 LEAST_MARGIN, LEAST_WORDS = 3.0, 50
 #: Pages in one bin of the running sum over a book.
@@ -165,7 +165,7 @@ def boundary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = lambda counts: F.aggregate(counts, zero, lambda a, n: F.struct((a["n"] + n).alias("n"), F.array_append(a["before"], a["n"]).alias("before")), lambda a: a["before"])
     numbered = lambda ls, offsets: F.filter(F.zip_with(ls, offsets, lambda x, n: F.struct(F.btrim(x, F.lit(" ")).alias("title"), n.alias("offset"))), lambda x: (x["title"] != "") & (F.length(x["title"]) <= TITLE))
     short = T.let(F.split("document", "\n"), lambda ls: numbered(ls, before(F.transform(ls, T.words))))
-    pages = _page_rows(spark, sf_dir, short.alias("lines"))
+    pages = stage(_page_rows(spark, sf_dir, short.alias("lines")), "page-lines")
     at = pages.select("book_id", F.col("href").alias("file"), F.inline("lines")).groupBy("book_id", "file", "title").agg(F.min("offset").alias("offset"))
     starts = page_starts(pages.select("book_id", "href", "place", "words")).select("book_id", F.col("href").alias("file"), F.col("place").alias("page_place"), "start", F.col("words").alias("page_words"))
     # an href that several pages have is the first one's
