@@ -275,3 +275,15 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["repair", folder, "-o", out, "--class-mapping", mapping]) == 0 and spark.read.parquet(out).count() == 2
     assert main(["analyze", folder, "-o", out, "--json", "--details"]) == 0 and main(["analyze", folder, "-o", out, "--json"]) == 0
     assert main(["init-config", "-o", str(tmp_path / "c.toml")]) == 0
+
+
+def test_intermediate_tables_are_removed(spark, tmp_path):
+    import os
+
+    from textmend.plans import runtime
+
+    df = runtime.stage(spark.range(3).toDF("x"), "some")
+    folder = runtime.stage_dir(spark)
+    assert df.count() == 3 and os.listdir(folder)
+    runtime.clean(spark)
+    assert not os.path.exists(folder)

@@ -53,7 +53,12 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("textmend").getOrCreate()
-    return {"analyze": analyze, "repair": repair, "validate": validate, "map-css": map_css, "map-structure": map_structure}[a.command](spark, a, settings)
+    from textmend.plans import runtime
+
+    try:
+        return {"analyze": analyze, "repair": repair, "validate": validate, "map-css": map_css, "map-structure": map_structure}[a.command](spark, a, settings)
+    finally:
+        runtime.clean(spark)
 
 
 def analyze(spark, a, settings) -> int:
