@@ -312,6 +312,36 @@ def test_joined_terms_change_no_result(spark, labelled, monkeypatch, bound):
     assert sorted(tuple(r) for r in subjects.p10_found(spark, d).collect()) == want
 
 
+def test_texts_are_parsed_once(spark, labelled, monkeypatch):
+    """The counts, the sample and the labels share one pass over the texts; each pass costs about as much as all the rest."""
+    d, _ = labelled
+    texts = []
+    mapped = subjects.map_batches
+    monkeypatch.setattr(subjects, "map_batches", lambda df, *a: texts.append("text" in df.columns) or mapped(df, *a))
+    assert subjects.p10_found(spark, d).count() > 0
+    assert texts.count(True) == 1
+
+
+def test_what_a_document_says():
+    text = commit(["Add a reef. The tide, the TIDE!", "İstanbul x² 12_a", "Closes #3"], "+  tide and reef", "-old", "+123")
+    assert subjects.said(text) == ("add a reef\nthe tide", "i stanbul x² a", "old\ntide and reef", 0)
+    assert subjects.said(commit(["wip"], "-a b", "+a  b")) == ("", "", "", 0b111000)
+    assert [subjects.said(x) for x in (None, "")] == [("", "", "", 0b110000)] * 2
+    terms = subjects.Terms(["sea", "software"], {"reef": [1.0, 0.0], "tide": [1.0, 0.0], "stanbul": [0.0, 1.0]})
+    assert subjects.features(text, terms).tolist() == [[0, 1, 2, 0, 2, 0.75], [0, 0, 1, 0, 0, 0.25], [0] * 6]
+
+
+def test_only_words_that_may_be_terms_are_joined(spark, tables):
+    """Every term that isn't sent passes the filter, in any script; of 3,000 other words few do, and the join drops these."""
+    rare = spark.createDataFrame([(w, [1.0, 0.0]) for w in ["reef", "łódź", "海", "𐐷𐐷", *(f"w{chr(97 + k % 26)}{'x' * (k // 26)}" for k in range(500))]], "word string, weights array<double>")
+    terms = subjects.Terms(["sea", "software"], {}, rare)
+    assert all(subjects.marked(r["word"], terms.marks) for r in rare.collect())
+    assert sum(subjects.marked(f"other{k}", terms.marks) for k in range(3000)) < 30
+    texts = [doc(1, "reefs and 海 other"), doc(1, "reefs and 海 other"), doc(2, "nothing"), doc(3, None)]
+    rows = subjects.attach(subjects.parsed(spark.createDataFrame(texts, DOCS)), terms).collect()
+    assert sorted((r["doc_id"], sorted(x["word"] for x in r["rare"] or [])) for r in rows) == [(1, ["reef", "海"]), (1, ["reef", "海"]), (2, []), (3, [])]
+
+
 def test_held_out_snippets():
     """Trained on seven snippets of each area, the rest are labelled by their terms, as they are and set into commits."""
     rng = np.random.default_rng(9)

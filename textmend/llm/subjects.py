@@ -11,6 +11,9 @@ of at most ``SAMPLE`` documents, chosen by hash, with a probability of ``SURE``
 its second training. A fifth is held out to calibrate it. Combinations are decoded by a beam search over the
 chain; a document with no other area is software.
 
+Each document is parsed once: the words of its sentences that count are written to the shared folder, and the counts, the
+sample and the labels are made of these.
+
 The ``TERMS`` most frequent terms are sent to the tasks; of the others each document gets its own by a join, so
 the bound changes no result. Sources are hashed into ``SOURCES`` features.
 
@@ -22,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import ChainMap, Counter, defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Mapping
 
 import numpy as np
@@ -39,6 +42,8 @@ SURE = 0.9
 #: Terms sent to the tasks; sentences a term is counted in at least, as fewer say nothing; features of the sources.
 TERMS = 6_000
 LEAST = 8
+#: Bits of the filter that the tasks ask only for words by which may be terms that aren't sent.
+MARKS = 1 << 23
 SOURCES = 64
 BEAM = 6
 #: A word is a term of an area if so much of its use falls into that area, and so many times more than chance.
@@ -86,6 +91,8 @@ class Commit:
             first = line[:1]
             if not header:
                 # most lines: context and changes of a hunk
+                if first == " ":
+                    continue
                 if hunk and first == "+":
                     if line.startswith("+++ b/"):
                         continue
@@ -142,13 +149,30 @@ class Commit:
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def sentences(line: str) -> list[set[str]]:
-    """The sets of words of a line's sentences."""
+def sentences(line: str) -> list[str]:
+    """The distinct words of each of a line's sentences, with blanks between them; a word holds letters only."""
     low = line.lower()
     if ". " not in low and "? " not in low and "! " not in low:
-        w = set(_WORD.findall(low))
-        return [w] if w else []
-    return [w for s in _SENTENCE.split(low) if (w := set(_WORD.findall(s)))]
+        w = dict.fromkeys(_WORD.findall(low))
+        return [" ".join(w)] if w else []
+    return [" ".join(w) for s in _SENTENCE.split(low) if (w := dict.fromkeys(_WORD.findall(s)))]
+
+
+#: What a document says: sentences of the message's first line, of its other lines and of the changed lines, one below the
+#: other; structure has a bit for each of merge, automatic, binary, blank_only, nothing changed, short message.
+SAID = ("subject", "message", "changed")
+
+
+def said(text: str | None) -> tuple[str, str, str, int]:
+    """The columns of ``SAID`` and the structure of a document."""
+    c = Commit(text)
+    parts: tuple[list[str], list[str], list[str]] = ([], [], [])
+    k = 0
+    for message, line in c.told():
+        parts[k if message else 2].extend(sentences(line))
+        k = 1
+    structure = (c.merge, c.automatic, c.binary, c.blank_only, not c.changed, len(c.message) <= 1)
+    return "\n".join(parts[0]), "\n".join(parts[1]), "\n".join(parts[2]), sum(x << i for i, x in enumerate(structure))
 
 
 class Terms:
@@ -156,17 +180,18 @@ class Terms:
 
     def __init__(self, areas: list[str], weights: Mapping[str, list[float]], rare: DataFrame | None = None) -> None:
         self.areas = areas
-        self.weights: Mapping[str, tuple[tuple[int, float], ...]] = {w: _positive(v) for w, v in weights.items()}
-        self.seen: dict[str, list[tuple[int, int, float]]] = {}
-        #: (word, weights) of the terms that aren't sent to the tasks
+        self.weights: dict[str, tuple[tuple[int, float], ...]] | Both = {w: _positive(v) for w, v in weights.items()}
+        self.seen: dict[str, tuple[int, int, float]] = {}
+        #: (word, weights) of the terms that aren't sent to the tasks, and their filter
         self.rare = rare
+        self.marks = b"" if rare is None else marks(rare)
 
     def with_rare(self, rare: list | None) -> Terms:
         """These terms and the rarer ones of one document."""
         if not rare:
             return self
         out = Terms(self.areas, {})
-        out.weights = ChainMap({r["word"]: _positive(r["weights"]) for r in rare}, self.weights)
+        out.weights = Both({r["word"]: _positive(r["weights"]) for r in rare}, self.weights)
         return out
 
     def get(self, word: str) -> tuple[tuple[int, float], ...] | None:
@@ -182,7 +207,7 @@ class Terms:
         out.weights = dict(self.weights) | dict(other.weights)
         return out
 
-    def score(self, words: set[str]) -> tuple[int, int, float]:
+    def score(self, words: list[str]) -> tuple[int, int, float]:
         """(best area or -1, distinct terms of it, margin over the next one) of a sentence."""
         total: dict[int, float] = {}
         n: dict[int, int] = {}
@@ -204,18 +229,47 @@ class Terms:
         best = min(total, key=lambda i: (-total[i], i))
         return best, n.get(best, 0), total[best] - max(x for i, x in total.items() if i != best)
 
-    def line(self, line: str) -> list[tuple[int, int, float]]:
-        """Scores of a line's sentences that hold a term; lines are often repeated and so are remembered."""
-        out = self.seen.get(line)
+    def sentence(self, sentence: str) -> tuple[int, int, float]:
+        """Score of a sentence; sentences are often repeated and so are remembered."""
+        out = self.seen.get(sentence)
         if out is None:
-            out = [s for words in sentences(line) if (s := self.score(words))[0] >= 0]
+            out = self.score(sentence.split(" "))
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            self.seen[line] = out
+            self.seen[sentence] = out
         return out
 
     def __getstate__(self) -> dict:
-        return {"areas": self.areas, "weights": self.weights, "seen": {}, "rare": None}
+        return {"areas": self.areas, "weights": self.weights, "seen": {}, "rare": None, "marks": self.marks}
+
+
+class Both:
+    """Lookup in a document's own terms, then in those sent."""
+
+    __slots__ = ("own", "sent")
+
+    def __init__(self, own: dict, sent: dict) -> None:
+        self.own = own
+        self.sent = sent
+
+    def get(self, word: str) -> tuple[tuple[int, float], ...] | None:
+        v = self.own.get(word)
+        return self.sent.get(word) if v is None else v
+
+
+def marks(words: DataFrame) -> bytes:
+    """A bit for each word, at its checksum: other words may share it, but no word is without."""
+    at = words.select(F.pmod(F.crc32("word"), F.lit(MARKS)).alias("at"))
+    rows = at.groupBy(F.expr("at div 64").alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).collect()
+    out = bytearray(MARKS // 8)
+    for k, bits in rows:
+        out[8 * k : 8 * k + 8] = (bits & (1 << 64) - 1).to_bytes(8, "little")
+    return bytes(out)
+
+
+def marked(word: str, bits: bytes) -> int:
+    at = zlib.crc32(word.encode()) % MARKS
+    return bits[at >> 3] >> (at & 7) & 1
 
 
 def _positive(v: list[float]) -> tuple[tuple[int, float], ...]:
@@ -228,22 +282,35 @@ FEATURES = 6
 def features(text: str | None, terms: Terms) -> np.ndarray:
     """(areas, FEATURES) of a document: strong and weak sentences of the message and of the changed lines, in the
     subject line, and the share of the document's evidence; the last row holds its structure."""
-    c = Commit(text)
-    rows = [[0.0] * FEATURES for _ in range(len(terms.areas) + 1)]
-    subject = True
-    for message, line in c.told():
-        for best, n, margin in terms.line(line):
-            if n and margin > 0.05:
-                rows[best][(0 if n >= 2 else 2) + (0 if message else 1)] += 1
-                if message and subject:
-                    rows[best][4] += 1
-        if message:
-            subject = False
-    out = np.array(rows)
+    *parts, structure = said(text)
+    return dense(evidence(*parts, terms), structure, len(terms.areas))
+
+
+def evidence(subject: str, message: str, changed: str, terms: Terms) -> tuple[tuple[int, int], ...]:
+    """(place in the features, number of sentences) of what a document says, in order."""
+    out: dict[int, int] = {}
+    for k, part in enumerate((subject, message, changed)):
+        if part:
+            for sentence in part.split("\n"):
+                best, n, margin = terms.sentence(sentence)
+                if n and margin > 0.05:
+                    at = best * FEATURES + (0 if n >= 2 else 2) + (k == 2)
+                    out[at] = out.get(at, 0) + 1
+                    if k == 0:
+                        at = best * FEATURES + 4
+                        out[at] = out.get(at, 0) + 1
+    return tuple(sorted(out.items()))
+
+
+def dense(found: tuple[tuple[int, int], ...], structure: int, areas: int) -> np.ndarray:
+    """The features of a document by its evidence and structure."""
+    out = np.zeros((areas + 1, FEATURES))
+    for at, n in found:
+        out.flat[at] = n
     total = out[:-1, :4].sum()
     if total:
         out[:-1, 5] = out[:-1, :4].sum(axis=1) / total
-    out[-1] = c.merge, c.automatic, c.binary, c.blank_only, not c.changed, len(c.message) <= 1
+    out[-1] = [structure >> i & 1 for i in range(FEATURES)]
     return out
 
 
@@ -350,56 +417,80 @@ def first_terms(samples: list[tuple[str, str]]) -> Terms:
     return Terms(areas, weights)
 
 
+def parsed(documents: DataFrame) -> DataFrame:
+    """What each document says, with its structure, written once."""
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        parts = zip(*map(said, cols["text"]), strict=True) if cols["text"] else [[]] * 4
+        return {"doc_id": cols["doc_id"], "source": cols["source"], **dict(zip((*SAID, "structure"), map(list, parts), strict=True))}
+
+    schema = "doc_id long, source string, subject string, message string, changed string, structure int"
+    return stage(map_batches(documents.select("doc_id", "text", "source"), schema, run), "said")
+
+
 def term_counts(documents: DataFrame, terms: Terms) -> DataFrame:
-    """(word, area, n): sentences with the word that go to the area; area '' counts all sentences with it. A sentence goes
-    to the area of its known terms, or else to that of its document if one area has most of that."""
+    """(word, area, n) of parsed documents: sentences with the word that go to the area; area '' counts all sentences with it.
+    A sentence goes to the area of its known terms, or else to that of its document if one area has most of that."""
     areas = terms.areas
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        n: Counter[tuple[str, str]] = Counter()
-        for text, rare in zip(cols["text"], cols["rare"], strict=True):
+        every: Counter[str] = Counter()
+        going: list[Counter[str]] = [Counter() for _ in areas]
+        for *parts, rare in zip(*(cols[x] for x in SAID), cols["rare"], strict=True):
             known = terms.with_rare(rare)
-            told = [(words, known.score(words)) for _, line in Commit(text).told() for words in sentences(line)]
-            votes = Counter(best for _, (best, k, m) in told if best >= 0 and m > 0.05 for _ in range(k))
-            top = votes.most_common(1)
-            whole = top[0][0] if top and top[0][1] >= 3 and top[0][1] >= 0.75 * votes.total() else -1
-            for words, (best, k, m) in told:
+            told = [x for part in parts if part for x in part.split("\n")]
+            scores = [known.sentence(x) for x in told]
+            votes: dict[int, int] = {}
+            for best, k, m in scores:
+                if k and m > 0.05:
+                    votes[best] = votes.get(best, 0) + k
+            top = max(votes, key=votes.__getitem__, default=-1)
+            whole = top if top >= 0 and votes[top] >= 3 and votes[top] >= 0.75 * sum(votes.values()) else -1
+            for x, (best, k, m) in zip(told, scores, strict=True):
+                words = x.split(" ")
+                every.update(words)
                 to = best if best >= 0 and (k >= 2 or best == whole) and m > 0.05 else whole if best < 0 else -1
-                for w in words - COMMON:
-                    n[w, ""] += 1
-                    # a word doesn't speak for itself: its sentence or document has to go to the area without it
-                    v = known.get(w) if to >= 0 else None
-                    own = v is not None and any(i == to and x >= SHARE for i, x in v)
-                    if to >= 0 and (not own or k >= 2 or to == whole and votes[to] >= 4):
-                        n[w, areas[to]] += 1
-        return {"word": [w for w, _ in n], "area": [a for _, a in n], "n": list(n.values())}
+                if to < 0:
+                    continue
+                # a word doesn't speak for itself: its sentence or document has to go to the area without it
+                if k < 2 and not (to == whole and votes[to] >= 4):
+                    words = [w for w in words if not any(i == to and share >= SHARE for i, share in known.get(w) or ())]
+                going[to].update(words)
+        counts = [(w, a, n) for a, c in [("", every), *zip(areas, going, strict=True)] for w, n in c.items() if w not in COMMON]
+        return {"word": [w for w, _, _ in counts], "area": [a for _, a, _ in counts], "n": [n for _, _, n in counts]}
 
-    return map_batches(attach(documents, terms).select("text", "rare"), "word string, area string, n long", run).groupBy("word", "area").agg(F.sum("n").alias("n"))
+    return map_batches(attach(documents, terms).select(*SAID, "rare"), "word string, area string, n long", run).groupBy("word", "area").agg(F.sum("n").alias("n"))
 
 
 RARE = "array<struct<word:string,weights:array<double>>>"
 
 
 def attach(documents: DataFrame, terms: Terms) -> DataFrame:
-    """The documents with the column ``rare``: those of their terms that aren't sent to the tasks, null if there are none."""
-    columns = ["doc_id", "text", "source"]
+    """The parsed documents with the column ``rare``: those of their terms that aren't sent to the tasks, null if there are none."""
+    asks: dict[str, bool] = {}
     if terms.rare is None:
-        return documents.select(*columns, F.lit(None).cast(RARE).alias("rare"))
+        return documents.withColumn("rare", F.lit(None).cast(RARE))
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": [], "word": []}
-        for k, text in zip(cols["doc_id"], cols["text"], strict=True):
-            found = {w for _, line in Commit(text).told() for words in sentences(line) for w in words}
+        if len(asks) > 200_000:
+            asks.clear()
+        for k, *parts in zip(cols["doc_id"], *(cols[x] for x in SAID), strict=True):
+            found = {w for part in parts for w in part.split()}
             found |= {w[:-1] for w in found if w[-1] == "s" and len(w) > 3}
-            found = {w for w in found if w not in terms.weights and w not in COMMON}
-            out["doc_id"] += [k] * len(found)
-            out["word"] += found
+            for w in found:
+                ask = asks.get(w)
+                if ask is None:
+                    ask = asks[w] = w not in terms.weights and w not in COMMON and bool(marked(w, terms.marks))
+                if ask:
+                    out["doc_id"].append(k)
+                    out["word"].append(w)
         return out
 
-    asked = map_batches(documents.select("doc_id", "text"), "doc_id long, word string", run).distinct()
+    asked = map_batches(documents.select("doc_id", *SAID), "doc_id long, word string", run)
     # a document has at most its own words
-    own = asked.join(terms.rare.hint("merge"), "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "weights")).alias("rare"))
-    return documents.select(*columns).join(own.hint("merge"), "doc_id", "left")
+    own = asked.join(terms.rare.hint("merge"), "word").groupBy("doc_id").agg(F.collect_set(F.struct("word", "weights")).alias("rare"))
+    return documents.join(own.hint("merge"), "doc_id", "left")
 
 
 def more_terms(counts: DataFrame, areas: list[str], most: int | None = None) -> Terms:
@@ -429,10 +520,10 @@ def more_terms(counts: DataFrame, areas: list[str], most: int | None = None) ->
     return Terms(areas, {r["word"]: r["weights"] for r in sent}, rest)
 
 
-def learn(spark: SparkSession, sf_dir: str) -> tuple[Terms, Chain]:
-    """Terms from all documents, and the chain trained on the snippets and a bounded sample of the documents."""
+def learn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Terms, Chain]:
+    """The parsed documents, terms from all of them, and the chain trained on the snippets and a bounded sample of the documents."""
     samples = [(r["subject_area"], r["sample_text"]) for r in table(spark, sf_dir, "subject_samples").where("subject_area IS NOT NULL AND sample_text IS NOT NULL").orderBy("sample_id").collect()]
-    documents = table(spark, sf_dir, "documents")
+    documents = parsed(table(spark, sf_dir, "documents"))
     terms = first_terms(samples)
     for _ in range(2):
         terms = more_terms(stage(term_counts(documents, terms), "term-counts"), terms.areas)
@@ -441,14 +532,14 @@ def learn(spark: SparkSession, sf_dir: str) -> tuple[Terms, Chain]:
     chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        rows = [features(t, terms.with_rare(r)).ravel().tolist() for t, r in zip(cols["text"], cols["rare"], strict=True)]
+        rows = [dense(evidence(*parts, terms.with_rare(r)), t, len(terms.areas)).ravel().tolist() for *parts, t, r in zip(*(cols[x] for x in SAID), cols["structure"], cols["rare"], strict=True)]
         return {"doc_id": cols["doc_id"], "source": [source_feature(s) for s in cols["source"]], "x": rows}
 
     rows = map_batches(attach(chosen, terms), "doc_id long, source int, x array<double>", run).orderBy("doc_id").limit(SAMPLE).collect()
     # the snippets' own words are terms of their areas here too, whatever their use elsewhere
     given = composed(samples, first_terms(samples).joined(terms))
     docs = np.array([np.reshape(r["x"], (-1, FEATURES)) for r in rows]) if rows else np.zeros((0, len(terms.areas) + 1, FEATURES))
-    return terms, trained(terms.areas, docs, np.array([r["source"] for r in rows], dtype=np.int64), given)
+    return documents, terms, trained(terms.areas, docs, np.array([r["source"] for r in rows], dtype=np.int64), given)
 
 
 def trained(areas: list[str], docs: np.ndarray, source: np.ndarray, given: list[tuple[np.ndarray, np.ndarray]]) -> Chain:
@@ -508,7 +599,7 @@ def composed(samples: list[tuple[str, str]], terms: Terms) -> list[tuple[np.ndar
 
 
 def labelled(documents: DataFrame, terms: Terms, chain: Chain) -> DataFrame:
-    """(doc_id, source, subject_area) of every document and area."""
+    """(doc_id, source, subject_area) of every parsed document and area."""
     remembered: dict[tuple, list[int]] = {}
 
     def run(cols: dict[str, list]) -> dict[str, list]:
@@ -516,11 +607,10 @@ def labelled(documents: DataFrame, terms: Terms, chain: Chain) -> DataFrame:
         if len(remembered) > 200_000:
             remembered.clear()
         # documents with the same features are decoded once
-        keys = [(features(t, terms.with_rare(r)), source_feature(s)) for t, s, r in zip(cols["text"], cols["source"], cols["rare"], strict=True)]
-        names = [(f.tobytes(), s) for f, s in keys]
-        new = {n: f for n, (f, _) in zip(names, keys, strict=True) if n not in remembered}
+        names = [(evidence(*parts, terms.with_rare(r)), t, source_feature(s)) for *parts, t, s, r in zip(*(cols[x] for x in SAID), cols["structure"], cols["source"], cols["rare"], strict=True)]
+        new = list(dict.fromkeys(n for n in names if n not in remembered))
         if new:
-            found = chain.decode_all(np.array(list(new.values())), np.array([s for _, s in new]))
+            found = chain.decode_all(np.array([dense(e, t, len(terms.areas)) for e, t, _ in new]), np.array([s for _, _, s in new]))
             remembered.update(zip(new, found, strict=True))
         for k, s, n in zip(cols["doc_id"], cols["source"], names, strict=True):
             for a in remembered[n]:
@@ -533,14 +623,14 @@ def labelled(documents: DataFrame, terms: Terms, chain: Chain) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with each of its subject areas."""
-    terms, chain = learn(spark, sf_dir)
-    return labelled(table(spark, sf_dir, "documents"), terms, chain).select("doc_id", "subject_area").distinct()
+    documents, terms, chain = learn(spark, sf_dir)
+    return labelled(documents, terms, chain).select("doc_id", "subject_area").distinct()
 
 
 def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by source and subject area; a document counts in each of its areas."""
-    terms, chain = learn(spark, sf_dir)
-    return labelled(table(spark, sf_dir, "documents"), terms, chain).distinct().groupBy("source", "subject_area").agg(F.count("*").alias("documents"))
+    documents, terms, chain = learn(spark, sf_dir)
+    return labelled(documents, terms, chain).distinct().groupBy("source", "subject_area").agg(F.count("*").alias("documents"))
 
 
 QUERIES = {"p10_found": p10_found, "p10_composition": p10_composition}
